@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, mixing, simhash, tokenbin
+from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, tokenbin, wordpiece
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,10 @@ QUERIES: dict[str, Query] = {
     "op2_langid": on_documents(langid.op2_langid),
     "op3_token_binary": on_documents(tokenbin.op3_token_binary),
     "op5_line_dedup": on_documents(linededup.op5_line_dedup),
+    "op6_mpeg_audio": on_documents(mpegaudio.op6_mpeg_audio),
     "op7_mix": on_documents(mixing.op7_mix),
     "op8_simhash": on_documents(simhash.op8_simhash),
+    "op9_token_counts": on_documents(wordpiece.op9_token_counts),
     "pipeline": pipeline,
 }
 
