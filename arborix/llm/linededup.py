@@ -18,7 +18,6 @@ keep or lose the same keys; null doc_ids count as one document, the smallest.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .runs import Runs
 
 
 def line_keys(text: bytes | None, least: int) -> list[bytes]:
@@ -57,59 +57,29 @@ def hashes_of(documents: DataFrame, least: int) -> DataFrame:
 
 
 class LineIndex:
-    """Levelled runs; ``threshold`` documents make a key one that is dropped."""
+    """Levelled runs of line hashes; ``threshold`` documents make a key one that is dropped."""
 
-    def __init__(self, spark: SparkSession, *, threshold: int = 3, least: int = 20, fan_out: int = 2, buckets: int | None = None) -> None:
-        self.spark, self.threshold, self.least, self.fan_out = spark, threshold, least, fan_out
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.levels: list[list[str]] = [[]]
-
-    def _write(self, entries: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        sorted_ = entries.select("h1", "h2", "n", "keeper").repartition(self.buckets, "h1", "h2")
-        sorted_.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").saveAsTable(name)
-        return name
-
-    def runs(self) -> list[str]:
-        return [r for level in self.levels for r in level]
+    def __init__(self, spark: SparkSession, *, threshold: int = 3, least: int = 20, fan_out: int = 2) -> None:
+        self.spark, self.threshold, self.least = spark, threshold, least
+        # runs are of different batches: a key's documents are those of all of them
+        self.runs = Runs(spark, "line_run", ["h1", "h2"], [F.sum("n").alias("n"), F.max("keeper").alias("keeper")], fan_out=fan_out)
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of documents (doc_id, text)."""
         held = hashes_of(batch, self.least).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
         entries = held.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-        for run in self.runs():
+        for run in self.runs.names():
             settled = self.spark.table(run).filter(F.col("n") >= self.threshold)
             on = (entries["h1"] == settled["h1"]) & (entries["h2"] == settled["h2"]) & (entries["keeper"] <= settled["keeper"])
             entries = entries.join(settled, on, "left_anti")
-        self.levels[0].append(self._write(entries))
-        self._compact()
-
-    def _compact(self) -> None:
-        for k in range(64):
-            if k == len(self.levels) or len(self.levels[k]) < self.fan_out:
-                return
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            old, self.levels[k] = self.levels[k], []
-            self.levels[k + 1].append(self._write(self._merged(old)))
-            for run in old:
-                self.spark.sql(f"DROP TABLE {run}")
-
-    def _merged(self, runs: list[str]) -> DataFrame:
-        """Runs of different batches as one: a key's documents are those of all of them."""
-        out = self.spark.table(runs[0])
-        for run in runs[1:]:
-            out = out.unionByName(self.spark.table(run))
-        return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+        self.runs.add(entries)
 
     def dropped(self) -> DataFrame:
         """(h1, h2, keeper) of the keys found in enough documents."""
-        return self._merged(self.runs()).filter(F.col("n") >= self.threshold).select("h1", "h2", "keeper")
+        return self.runs.merged().filter(F.col("n") >= self.threshold).select("h1", "h2", "keeper")
 
     def close(self) -> None:
-        for run in self.runs():
-            self.spark.sql(f"DROP TABLE {run}")
-        self.levels = [[]]
+        self.runs.close()
 
 
 def strip_lines(documents: DataFrame, least: int, text: str = "text") -> DataFrame:

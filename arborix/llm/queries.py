@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, tokenbin, wordpiece
+from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, suffixdedup, tokenbin, wordpiece
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op7_mix": on_documents(mixing.op7_mix),
     "op8_simhash": on_documents(simhash.op8_simhash),
     "op9_token_counts": on_documents(wordpiece.op9_token_counts),
+    "op10_suffix_dedup": on_documents(suffixdedup.op10_suffix_dedup),
     "pipeline": pipeline,
 }
 
