@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, suffixdedup, tokenbin, wordpiece
+from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, suffixdedup, surrogates, tokenbin, wordpiece
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": lambda spark, sf_dir: decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_langid": on_documents(langid.op2_langid),
     "op3_token_binary": on_documents(tokenbin.op3_token_binary),
+    "op4_pii_surrogates": on_documents(surrogates.op4_pii_surrogates),
     "op5_line_dedup": on_documents(linededup.op5_line_dedup),
     "op6_mpeg_audio": on_documents(mpegaudio.op6_mpeg_audio),
     "op7_mix": on_documents(mixing.op7_mix),
