@@ -213,11 +213,11 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     now = digest(state)
     while now != before and now[0]:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"least{k}")  # tables: joins of two exchanges can split a hub's rows
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = scratch.save(large, f"large{k}")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = scratch.save(down.groupBy("a").agg(F.min("b").alias("m")), f"lower{k}")
         small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         k += 1
         state = scratch.save(small, f"edges{k}")
@@ -247,7 +247,7 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     """One row of each group of near-duplicates: that of its least doc_id (of repeated doc_ids, one row)."""
     found = near_duplicates(documents.select("doc_id", "text"), **options)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    single = documents.join(kept, "doc_id", "left_semi")
+    single = documents.join(kept.hint("merge"), "doc_id", "left_semi")  # the same join at every size
     nulls = documents.filter("doc_id IS NULL")
     return single.unionByName(nulls).select(*documents.columns)
 

@@ -131,11 +131,14 @@ class SuffixIndex:
         """Fingerprints that occur more than once."""
         return self.runs.merged().filter("copies > 1").select("anchor", "f1", "f2")
 
-    def undecided(self) -> DataFrame:
-        """(owner, mark, start, n): one of each different segment under an anchor that has several, not all of them repeated."""
-        merged = self.runs.merged()
-        shared = merged.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).filter("kinds > 1 AND fewest = 1").select("anchor")
-        return merged.join(shared, "anchor", "left_semi").select("place.*")
+    def shared(self) -> DataFrame:
+        """Anchors of several different segments, not all of them repeated."""
+        kinds = self.runs.merged().groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"))
+        return kinds.filter("kinds > 1 AND fewest = 1").select("anchor")
+
+    def undecided(self, shared: DataFrame) -> DataFrame:
+        """(owner, mark, start, n): one of each different segment under these anchors."""
+        return self.runs.merged().join(shared.hint("merge"), "anchor", "left_semi").select("place.*")
 
     def close(self) -> None:
         self.runs.close()
@@ -156,24 +159,26 @@ def repeated_windows(documents: DataFrame, scratch: common.Scratch, *, batches:
         index = SuffixIndex(spark)
         for k in range(count):
             index.add(entries.filter(F.col("batch") == k))
-        again = entries.join(index.matches(), ["anchor", "f1", "f2"]).select("owner", "mark", "start", "n")
+        # tables, and the same joins at every size: Spark can split a frequent string's rows, and what moves grows as the input does
+        matches = scratch.save(index.matches(), f"matches{level}")
+        again = entries.join(matches.hint("merge"), ["anchor", "f1", "f2"]).select("owner", "mark", "start", "n")
         again = scratch.save(again, f"again{level}")
         if level:  # places inside a segment of the first family -> places in its document
             again = again.join(held.select("id", "doc", "doc_mark", "at"), F.col("owner") == F.col("id")).select(F.col("doc").alias("owner"), F.col("doc_mark").alias("mark"), (F.col("start") + F.col("at")).alias("start"), "n")
         found.append(again)
         if size != SIZES[-1]:
-            ranges = scratch.save(index.undecided(), f"undecided{level}")
+            ranges = scratch.save(index.undecided(scratch.save(index.shared(), f"shared{level}")), f"undecided{level}")
             index.close()
             scratch.drop(f"entries{level}")
             settle(spark)
             grouped = ranges.groupBy("owner", "mark").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
             if level == 0:  # the undecided segments' bytes leave their documents once
-                cut = documents.join(grouped, ["owner", "mark"]).select("owner", "mark", "text", "ranges")
+                cut = documents.join(grouped.hint("merge"), ["owner", "mark"]).select("owner", "mark", "text", "ranges")
                 held = scratch.save(cut_out(cut).withColumn("id", F.monotonically_increasing_id()), "held")
                 rows = held.select(F.col("id").alias("owner"), F.col("doc_mark").alias("mark"), "text")
                 settle(spark)
             else:
-                rows = rows.join(grouped, ["owner", "mark"]).select("owner", "mark", "text", "ranges")
+                rows = rows.join(grouped.hint("merge"), ["owner", "mark"]).select("owner", "mark", "text", "ranges")
         else:
             index.close()
     out = found[0]
@@ -232,7 +237,7 @@ def dedup_substrings(documents: DataFrame, **options) -> DataFrame:
         return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
     cut = F.arrow_udf(run, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")(F.col("text"), F.col("runs"))
-    joined = marked.join(runs, ["owner", "mark"], "left").withColumn("__cut", cut)
+    joined = marked.join(runs.hint("merge"), ["owner", "mark"], "left").withColumn("__cut", cut)
     return joined.select(*documents.columns, "__cut.*")
 
 
