@@ -1,0 +1 @@
+"""Matching is a batch job; work arrives as new keys, which operators.joins.unfinished finds."""
