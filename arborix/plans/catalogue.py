@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from ..operators import aggregates as A
 from ..operators import filters as FI
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators import kernels as K
 from ..operators import ranking as R
+from ..operators import selection as SEL
 from ..sources import files
 from . import match
 from .views import COVERED, covered, oracle, points, view
@@ -865,3 +868,91 @@ def gr9_dilated_mask(swc):
     steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("zyx", o, strict=True)]) for o in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))])
     once = _raster(swc).select("skel_id", "z", "y", "x").distinct().withColumn("o", F.explode(steps))
     return once.select("skel_id", *[(F.col(c) + F.col(f"o.{c}")).cast("int").alias(c) for c in "zyx"]).distinct()
+
+
+# ---- kernels: tested against brute force and by hand -------------------------
+
+
+def _coverage_kernel(version: str):
+    def run(em_point, frag_point):
+        return K.coverage(em_point, frag_point, 25, version=version)
+
+    return run
+
+
+for _name, _version in (("jo7_greedy_coverage", ""), ("jo8_optimal_v1", "ilp_v1"), ("jo8_optimal_v2", "ilp_v2"), ("jo8_optimal_v3", "ilp_v3"), ("jo9_mixed_v1", "mixed_v1"), ("jo9_mixed_v2", "mixed_v2")):
+    QUERIES[_name] = lambda spark, sf_dir, f=_coverage_kernel(_version): f(view(spark, sf_dir, "em_point"), view(spark, sf_dir, "frag_point"))
+
+
+@query(None, "swc")
+def jo10_similarity(swc):
+    """Every skeleton against every other, with a table that falls with distance and rises with alignment."""
+    distances, angles = np.array([0.0, 2, 5, 10, 20, 40, 80]), np.linspace(0, 0.9, 10)
+    table = np.linspace(1, -1, len(distances))[:, None] * np.linspace(0.5, 1, len(angles))[None]
+    d = K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)
+    return K.similarity(d, d, table, distances, angles)
+
+
+_DOTPROPS = "skel_id long, node_id int, x double, y double, z double, tx double, ty double, tz double"
+
+
+@query(None, "voxel")
+def ag9_color_centers(voxels):
+    return SEL.color_modes(voxels, ["label"])
+
+
+@query(None, "swc")
+def gr1_peeled_weights(swc):
+    return K.per_skeleton(swc, K.weigh, "skel_id long, node_id int, weight double")
+
+
+@query(None, "swc")
+def gr2_pruned(swc):
+    return K.per_skeleton(swc, K.prune(60.0, 3), "skel_id long, node_id int")
+
+
+@query(None, "swc")
+def gr3_relabelled(swc):
+    return K.per_skeleton(swc, K.relabel, "skel_id long, node_id int, new_id int, new_parent int")
+
+
+@query(None, "swc")
+def gr6_resampled(swc):
+    return K.per_skeleton(swc, K.resample(10.0), "skel_id long, node_id int, x double, y double, z double")
+
+
+@query(None, "swc")
+def gr8_dotprops(swc):
+    return K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)
+
+
+@query(None, "swc")
+def snk1_write_swc(swc):
+    """Relabelled skeletons written as text, a folder each, and read back."""
+    new = K.per_skeleton(swc, K.relabel, "skel_id long, node_id int, new_id int, new_parent int")
+    rows = new.join(swc.select("skel_id", "node_id", "x", "y", "z"), ["skel_id", "node_id"])
+    nodes = rows.select(F.col("skel_id").cast("string").alias("skel"), F.col("new_id").alias("node_id"), F.lit(0).alias("node_type"), "x", "y", "z", F.lit(1.0).alias("diameter"), F.col("new_parent").alias("parent_id"))
+    path = files.work_folder(swc.sparkSession, "written")
+    files.write_swc(nodes, path)
+    return files.parse_swc(swc.sparkSession.read.text(path)).select(F.col("skel").cast("string").alias("skel"), "node_id", "x", "y", "z", "parent_id")
+
+
+def _entries(spark, sf_dir, clustering: str):
+    c = covered(spark, sf_dir, 25)
+    pairs = c.select("em_id", "lm_vol", "frag_id").distinct()
+    score = F.lit(0.5) + (F.col("frag_id") * 7 + F.col("em_id")) % 10 / F.lit(10.0)
+    channel = lambda m: ((F.col("frag_id") * m + F.col("lm_vol")) % 255 + 1).cast("double")
+    fragments = pairs.select("em_id", "lm_vol", "frag_id", score.alias("score"), channel(37).alias("r"), channel(91).alias("g"), channel(53).alias("b"))
+    return SEL.best_fragments(c, fragments, points(spark, sf_dir), clustering=clustering)
+
+
+@query(None, direct=True)
+def ml6_match_agglomerative(spark, sf_dir):
+    """Target by volume: colour clusters (ML2), removal with its skip rules (ML4, FI15), and the entry."""
+    return _entries(spark, sf_dir, "agglomerative")
+
+
+@query(None, direct=True)
+def ml6_match_kmeans(spark, sf_dir):
+    """The same with k-means clusters (ML1)."""
+    return _entries(spark, sf_dir, "kmeans")
