@@ -62,7 +62,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, *, threshold: int = 3, least: int = 20, fan_out: int = 2) -> None:
         self.spark, self.threshold, self.least = spark, threshold, least
         # runs are of different batches: a key's documents are those of all of them
-        self.runs = Runs(spark, "line_run", ["h1", "h2"], [F.sum("n").alias("n"), F.max("keeper").alias("keeper")], fan_out=fan_out)
+        self.runs = Runs(spark, "line_run", ["h1", "h2"], {"n": "sum", "keeper": "max"}, fan_out=fan_out)
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of documents (doc_id, text)."""

@@ -2,7 +2,9 @@
 
 A run is a bucketed, sorted table with one entry for each key. A batch becomes
 a run of level 0; ``fan_out`` runs of a level merge into one of the next, so
-that an entry is rewritten once for each level. All runs have the same buckets.
+that an entry is rewritten once for each level. All runs have the same buckets,
+so a join of a batch with a run moves the batch only, and runs merge bucket by
+bucket, by a full outer merge join that moves nothing.
 """
 
 from __future__ import annotations
@@ -10,11 +12,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: How two entries of a key become one; either may be missing.
+MERGES = {
+    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "max": lambda a, b: F.greatest(a, b),
+    "min": lambda a, b: F.least(a, b),
+}
 
 
 class Runs:
-    def __init__(self, spark: SparkSession, label: str, keys: list[str], merge: list[Column], *, fan_out: int = 2, buckets: int | None = None) -> None:
-        """merge: aggregates that make one entry, under the same names, of a key's entries in several runs."""
+    def __init__(self, spark: SparkSession, label: str, keys: list[str], merge: dict[str, str], *, fan_out: int = 2, buckets: int | None = None) -> None:
+        """merge: for each other column how entries of a key in several runs become one."""
         self.spark, self.label, self.keys, self.merge, self.fan_out = spark, label, keys, merge, fan_out
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = [[]]
@@ -24,7 +34,8 @@ class Runs:
 
     def _write(self, entries: DataFrame) -> str:
         name = f"{self.label}_{uuid.uuid4().hex}"
-        entries.repartition(self.buckets, *self.keys).write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("compression", "zstd").saveAsTable(name)
+        rows = entries.select(*self.keys, *self.merge).repartition(self.buckets, *self.keys)
+        rows.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("compression", "zstd").saveAsTable(name)
         return name
 
     def add(self, entries: DataFrame) -> None:
@@ -44,8 +55,16 @@ class Runs:
         first, *rest = names or self.names()
         out = self.spark.table(first)
         for name in rest:
-            out = out.unionByName(self.spark.table(name))
-        return out.groupBy(*self.keys).agg(*self.merge) if rest else out
+            out = self._pair(out, self.spark.table(name))
+        return out
+
+    def _pair(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """A union and a sum would be as short, but Spark takes a union of bucketed tables for one that is bucketed
+        itself and leaves equal keys apart."""
+        other = b.select(*self.keys, *[F.col(c).alias(f"__{c}") for c in self.merge]).hint("merge")
+        both = a.join(other, self.keys, "full_outer")
+        columns: list[Column] = [MERGES[how](F.col(c), F.col(f"__{c}")).alias(c) for c, how in self.merge.items()]
+        return both.select(*self.keys, *columns)
 
     def _drop(self, names: list[str]) -> None:
         for name in names:

@@ -120,7 +120,7 @@ class SuffixIndex:
     """A logarithmic family of arrays of segments: for each (anchor, fingerprint) how often, and where first."""
 
     def __init__(self, spark, *, fan_out: int = 2) -> None:
-        self.runs = Runs(spark, "suffixes", ["anchor", "f1", "f2"], [F.sum("copies").alias("copies"), F.min("place").alias("place")], fan_out=fan_out)
+        self.runs = Runs(spark, "suffixes", ["anchor", "f1", "f2"], {"copies": "sum", "place": "min"}, fan_out=fan_out)
 
     def add(self, entries: DataFrame) -> None:
         """A batch's suffix array joins the family."""
