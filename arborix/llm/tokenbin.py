@@ -23,7 +23,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Null doc_ids in an index.
 NO_ID = -(1 << 63)
-#: A blank beside other white space: the pieces around it may not be taken apart.
-IRREGULAR = re.compile(r" \s|\s ")
-BREAK = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -50,12 +46,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """A byte-level BPE from the tokenizers library, with a memory of pieces.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
 
-    A blank between two characters that are not white space always begins a new
-    pre-token, so a text may be cut before each of them, and a piece once
-    encoded need not be encoded again.
+class Encoder(dict):
+    """A byte-level BPE from the tokenizers library, with a memory: piece -> ids as bytes.
+
+    A piece is one or more whole pre-tokens (see ``pieces``), so its ids do not
+    depend on what stands around it. Pieces of letters only, with or without a
+    blank before them, are one pre-token and go straight to the model; the
+    others take the whole way.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -64,41 +67,38 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.code, self.known = ("H" if np.dtype(dtype).itemsize == 2 else "I"), {}  # of arrays of that width
-
-    def encode_all(self, texts: list[str | None], at_once: int = 1_000_000) -> Iterator[bytes]:
-        """Each text's ids as bytes. Unknown pieces of about ``at_once`` characters are encoded in one call."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size > at_once:
-                yield from self._encode(group)
-                group, size = [], 0
-        yield from self._encode(group)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, [pieces(t) for t in texts]
-        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = array(self.code, e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        if len(known) > REMEMBERED:  # a full memory stays as it was
-            for piece in new:
-                del known[piece]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"  # of arrays of that width
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = array(self.code, ids).tobytes()
+        if len(self) < REMEMBERED:  # a full memory stays as it is
+            self[piece] = out
         return out
 
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, pieces(text))) if text else b""
+
+
+#: White space beside a blank or line feed, and points and commas that do not follow a letter or digit.
+IRREGULAR = re.compile(r"\s[ \n]|[ \n]\s|[^\w][.,]|_[.,]|\0")
+BREAK = re.compile(r"(?<=\S) (?=\S)")
+
 
 def pieces(text: str) -> list[str]:
-    """A text cut before each blank between two characters that are not white space."""
-    if not text:
-        return []
-    if "\0" in text or text[0] == " " or text[-1] == " " or IRREGULAR.search(text):
+    """A text cut where a pre-token begins in any case: before a blank between two characters that are not
+    white space, and in regular texts around single line feeds and before a point or comma after a letter or digit."""
+    if text[0] in " \n.," or text[-1] in " \n" or IRREGULAR.search(text):
         first, *rest = BREAK.split(text)
         return [first, *[" " + p for p in rest]]
-    return text.replace(" ", "\0 ").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
 
 
 @lru_cache(maxsize=1)
@@ -142,7 +142,7 @@ def _writer(folder: str, path: str, dtype: str, end_id: int, file_tokens: int):
             ends.clear()
 
         for batch in batches:
-            for doc, coded in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc, coded in zip(batch.column(0).to_pylist(), map(enc.encode, batch.column(1).to_pylist()), strict=True):
                 if out is None:
                     name = uuid.uuid4().hex
                     out = fs.open_output_stream(f"{base}/{name}.bin", compression=None, buffer_size=1 << 20)
