@@ -77,13 +77,13 @@ def m0_merged(scores):
 
 # ---- sources and sinks -------------------------------------------------------
 
-_LINES = F.concat_ws(" ", "node_id", F.lit(0), F.floor("x").cast("long"), F.floor("y").cast("long"), F.floor("z").cast("long"), F.lit(1), "parent_id")
 _SWC_SQL = "SELECT skel_id, node_id, 0 AS node_type, floor(x)::DOUBLE * {0} AS x, floor(y)::DOUBLE * {0} AS y, floor(z)::DOUBLE * {0} AS z, 1.0e0 * {0} AS diameter, parent_id FROM swc {1}"
 
 
 def _swc_lines(swc):
     """Lines as files have them, with comments, blank lines and, for every third node, a leading blank."""
-    text = F.when(F.col("node_id") % 3 == 0, F.concat(F.lit(" "), _LINES)).otherwise(_LINES)
+    line = F.concat_ws(" ", "node_id", F.lit(0), *[F.floor(c).cast("long") for c in "xyz"], F.lit(1), "parent_id")
+    text = F.when(F.col("node_id") % 3 == 0, F.concat(F.lit(" "), line)).otherwise(line)
     return swc.select("skel_id", F.explode(F.array(text, F.lit("# comment"), F.lit(""))).alias("value"))
 
 
