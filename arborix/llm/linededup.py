@@ -120,13 +120,14 @@ def dedup_lines(documents: DataFrame, *, threshold: int = 3, least: int = 20, ba
         part = rows.filter(F.col("doc_id") > cuts[k]) if k < len(cuts) else rows
         part = part.filter(F.col("doc_id") <= cuts[k - 1]) if k and k < len(cuts) else part.filter((F.col("doc_id") <= cuts[k - 1]) | F.col("doc_id").isNull()) if k else part
         index.add(part)
-    drop = index.dropped()
+    drop = scratch.save(index.dropped(), "drop")  # a table: a join of two exchanges can split a frequent line's rows
     lines = hashes_of(rows, least)
     lost = lines.join(drop, ["h1", "h2"]).filter(F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("keeper"))
     per_doc = scratch.save(lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(binary128()).alias("__lose")), "lost")
     index.close()
     common.atexit.register(scratch.close)
-    joined = documents.join(per_doc, documents["doc_id"].eqNullSafe(per_doc["__id"]), "left").drop("__id")
+    # the same join at every size: what it moves then grows as the documents do
+    joined = documents.join(per_doc.hint("merge"), documents["doc_id"].eqNullSafe(per_doc["__id"]), "left").drop("__id")
     return strip_lines(joined, least)
 
 
