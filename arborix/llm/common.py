@@ -95,6 +95,12 @@ def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
+def columns(df: DataFrame, but: tuple[str, ...] | list[str] = ()) -> list[Column]:
+    """A table's columns by their exact names, except those named: what an operator adds under a name replaces what was there."""
+    without = {c.lower() for c in but}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in without]
+
+
 def crc32_mod3(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -62,34 +64,41 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + F.call_function("shiftright", size, shift) % 8).cast("int")
 
 
-def mix(documents: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64) -> DataFrame:
-    """Documents with size, source_size, target and copies (how often the mix takes the row)."""
-    names = {"source": F.col(f"`{source}`"), "id": F.col(f"`{doc_id}`").cast("string")}
-    tie = F.md5(F.concat(F.lit(seed), F.coalesce(names["id"], F.lit("-"))).cast("binary"))
-    sized = documents.withColumns({"size": size_of(text), "__source": names["source"], "__tie": tie, "__hash": F.xxhash64(F.col(f"`{text}`"))})
-    sized = sized.withColumns({"__class": size_class(F.col("size")), "__salt": (F.conv(F.substring("__tie", 1, 6), 16, 10).cast("long") % salts).cast("int")})
-    strata = sized.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+def placed(documents: DataFrame, *, doc_id: str, source: str, text: str, weights: tuple[int, ...], share: float, most: float, seed: str, salts: int) -> DataFrame:
+    """Documents with __size, __source_size, __target and __copies."""
+    source_, id_, body = (F.col(f"`{c}`") for c in (source, doc_id, text))
+    tie = F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("string"), F.lit("-"))).cast("binary"))
+    sized = documents.withColumns({"__size": size_of(text), "__source": source_, "__tie": tie, "__hash": F.xxhash64(body)})
+    sized = sized.withColumns({"__class": size_class(F.col("__size")), "__salt": (F.conv(F.substring("__tie", 1, 6), 16, 10).cast("long") % salts).cast("int")})
+    strata = sized.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words"))
     totals = targets(strata.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights=weights, share=share, most=most)
     # strata: classes times salts for each source, whatever the number of documents
     order = Window.partitionBy("__source").orderBy(F.col("__class").desc(), "__salt").rowsBetween(Window.unboundedPreceding, -1)
     based = strata.withColumn("__base", F.coalesce(F.sum("n").over(order), F.lit(0)))
     based = based.join(totals, F.col("__source").eqNullSafe(totals["source"])).select(
-        F.col("__source").alias("s"), F.col("__class").alias("c"), F.col("__salt").alias("k"), "__base", "source_size", "target",
+        F.col("__source").alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__k"), "__base", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
         unit(F.concat(F.lit(f"{seed}:"), F.coalesce("__source", F.lit("")))).alias("__offset"),
     )
-    within = Window.partitionBy("__source", "__class", "__salt").orderBy(F.col("size").desc(), "__tie", "__hash")
+    within = Window.partitionBy("__source", "__class", "__salt").orderBy(F.col("__size").desc(), "__tie", "__hash")
     ranked = sized.withColumn("__rank", F.row_number().over(within))
-    joined = ranked.join(based, ranked["__source"].eqNullSafe(based["s"]) & (ranked["__class"] == based["c"]) & (ranked["__salt"] == based["k"]))
+    joined = ranked.join(based, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__k")))
     rank = F.col("__base") + F.col("__rank")
     crossed = F.floor(F.col("__rate") * rank + F.col("__offset")) - F.floor(F.col("__rate") * (rank - 1) + F.col("__offset"))
-    return joined.withColumn("copies", crossed.cast("int")).select(*documents.columns, "size", "source_size", "target", "copies")
+    return joined.withColumn("__copies", crossed.cast("int"))
+
+
+def mix(documents: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64) -> DataFrame:
+    """Documents with size, source_size, target and copies (how often the mix takes the row); columns of these names are replaced."""
+    rows = placed(documents, doc_id=doc_id, source=source, text=text, weights=weights, share=share, most=most, seed=seed, salts=salts)
+    results = ("size", "source_size", "target", "copies")
+    return rows.select(*common.columns(documents, but=results), *[F.col(f"__{c}").alias(c) for c in results])
 
 
-def mixed(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of the documents."""
-    taken = mix(documents, **options).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+def mixed(documents: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with the columns of the documents, whatever their names."""
+    taken = placed(documents, doc_id=doc_id, source=source, text=text, weights=weights, share=share, most=most, seed=seed, salts=salts).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*common.columns(documents))
 
 
 def op7_mix(documents: DataFrame) -> DataFrame:

@@ -227,29 +227,35 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: Stands for null doc_ids where rows are matched.
+NO_ID = -(1 << 63)
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the least doc_id that links reach."""
+    """(doc_id, fp, component_id, keep_id, keep_mark): one row per document. component_id is the least doc_id that
+    links reach, null if there is none; keep_id and keep_mark (hash of the text) name the row to keep of each component."""
     spark = documents.sparkSession
     scratch = common.Scratch(spark, "simhash")
     ids = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = scratch.save(with_fingerprint(ids, size=size).select("doc_id", "fp"), "prints")
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    prints = scratch.save(with_fingerprint(ids, size=size).select("doc_id", F.xxhash64("text").alias("mark"), "fp"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "mark"))
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first")), "distinct")
     found = scratch.save(links(distinct.select("fp"), distinct.count(), distance=distance), "found")
     roots = components(join_crowds(found), scratch)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.save(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(classes, "root").select("fp", "component_id")
-    return scratch.keep(prints.join(named, "fp").select("doc_id", "fp", "component_id"))
+    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    named = rooted.select("fp", "root").join(classes, "root").select("fp", "component_id", F.col("first.id").alias("keep_id"), F.col("first.mark").alias("keep_mark"))
+    return scratch.keep(prints.join(named, "fp").select("doc_id", "fp", "component_id", "keep_id", "keep_mark"))
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates: that of its least doc_id (of repeated doc_ids, one row)."""
+    """One row of each group of near-duplicates: that of its least doc_id, of repeated doc_ids the least hash, of equal rows any."""
     found = near_duplicates(documents.select("doc_id", "text"), **options)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    single = documents.join(kept.hint("merge"), "doc_id", "left_semi")  # the same join at every size
-    nulls = documents.filter("doc_id IS NULL")
-    return single.unionByName(nulls).select(*documents.columns)
+    kept = found.select(F.col("keep_id").alias("__id"), F.col("keep_mark").alias("__mark")).distinct()
+    marked = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64("text")})
+    single = marked.join(kept.hint("merge"), ["__id", "__mark"], "left_semi")  # the same join at every size
+    return single.dropDuplicates(["__id", "__mark"]).select(*common.columns(documents))
 
 
 def op8_simhash(documents: DataFrame) -> DataFrame:

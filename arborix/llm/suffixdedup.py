@@ -214,13 +214,14 @@ def covered(size: int, runs: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(documents: DataFrame, **options) -> DataFrame:
-    """Documents with spans (start, end of each removed run of bytes), n_bytes, n_removed and kept (binary)."""
+    """Documents with spans (start, end of each removed run of bytes), n_bytes, n_removed and kept (binary); columns of these names are replaced."""
     spark = documents.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     scratch = common.Scratch(spark, "suffix")
-    marked = documents.withColumns({"owner": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.xxhash64("text")})
-    windows = repeated_windows(marked.select("owner", "mark", "text"), scratch, **options)
-    runs = scratch.save(windows.groupBy("owner", "mark").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "runs")
+    marked = documents.withColumns({"__owner": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64("text")})
+    windows = repeated_windows(marked.select(F.col("__owner").alias("owner"), F.col("__mark").alias("mark"), "text"), scratch, **options)
+    grouped = windows.groupBy(F.col("owner").alias("__owner"), F.col("mark").alias("__mark"))
+    runs = scratch.save(grouped.agg(F.collect_set(F.struct("start", "n")).alias("__runs")), "runs")
     for name in ("again0", "again1", "again2", "held"):
         scratch.drop(name)
     settle(spark)
@@ -236,9 +237,9 @@ def dedup_substrings(documents: DataFrame, **options) -> DataFrame:
             out.append((len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
         return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
-    cut = F.arrow_udf(run, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")(F.col("text"), F.col("runs"))
-    joined = marked.join(runs.hint("merge"), ["owner", "mark"], "left").withColumn("__cut", cut)
-    return joined.select(*documents.columns, "__cut.*")
+    cut = F.arrow_udf(run, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")(F.col("text"), F.col("__runs"))
+    joined = marked.join(runs.hint("merge"), ["__owner", "__mark"], "left").withColumn("__cut", cut)
+    return joined.select(*common.columns(documents, but=("n_bytes", "n_removed", "spans", "kept")), "__cut.*")
 
 
 def op10_suffix_dedup(documents: DataFrame) -> DataFrame:

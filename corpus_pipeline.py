@@ -16,7 +16,7 @@ from arborix.llm import common, decontaminate, langid, mixing, simhash, tokenbin
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go; ``lang`` stays as it was."""
-    return langid.identify(docs).filter("NOT rejected").select(*docs.columns)
+    return langid.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

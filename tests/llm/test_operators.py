@@ -355,3 +355,39 @@ def test_pieces_of_long_texts(monkeypatch):
     whole = list(suffixdedup.segments(text, 360))
     covered = np.concatenate([np.concatenate([np.arange(s, s + n) for s, n in zip(a, b)]) for a, b, *_ in whole])
     assert (covered == np.arange(len(text) - 399)).all()
+
+
+# ---- clashing names, repeated rows
+
+CLASH = ["size", "copies", "target", "source_size", "held_out", "lang_pred", "score", "bits", "rejected", "n_words", "n_hit", "n_items", "items", "contaminated", "n_lines", "n_dropped", "kept", "n_tokens", "fp", "mark", "owner", "runs", "spans", "n_bytes", "n_removed", "known", "len", "n_email", "s", "c", "k", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, documents):
+    return documents.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
+
+
+def test_columns_of_the_same_name_pass_or_are_replaced(clashing, items):
+    _, benchmark = items
+    for out in (langid.accepted(clashing), simhash.keep_one(clashing), decontaminate.decontaminate(clashing, benchmark), mixing.mixed(clashing)):
+        assert out.columns == clashing.columns
+        for r in out.select([F.col(f"`{c}`") for c in CLASH]).distinct().collect():
+            assert list(r) == [f"own {c}" for c in CLASH]
+    for f in (langid.identify, mixing.mix, linededup.dedup_lines, wordpiece.with_counts, surrogates.replace_pii, suffixdedup.dedup_substrings, lambda d: decontaminate.measure(d, benchmark), mpegaudio.with_media):
+        out = f(clashing)
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() == clashing.count()
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "quite another text here", "z"), (None, "a b c d", "w"), (None, "only this one has no id", "v"), (2, None, "u"), (3, "", "t")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    out = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert out == [(0, "only this one has no id"), (1, "a b c d"), (1, "quite another text here"), (2, "")]
+
+
+def test_repeated_rows_in_every_operator(spark, documents, items):
+    twice = documents.unionByName(documents)
+    _, benchmark = items
+    n = twice.count()
+    for f in (lambda d: decontaminate.op1_decontaminate(d, benchmark), langid.op2_langid, tokenbin.op3_token_binary, surrogates.op4_pii_surrogates, linededup.op5_line_dedup, mpegaudio.op6_mpeg_audio, mixing.op7_mix, simhash.op8_simhash, wordpiece.op9_token_counts, suffixdedup.op10_suffix_dedup):
+        assert f(twice).count() == n
