@@ -61,7 +61,9 @@ PATTERNS = {
     "person": rf"{TITLE}\s{NAME}(?:\s{NAME})?",
 }
 KINDS = tuple(PATTERNS)
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -]?)\d{4}\1\d{4}\1", r"(?: ?\d{4} ?|-?\d{4}-?)\d{4}[ -]?")
+#: No entity begins inside a word, unless with a digit after a letter: most places are passed over by this alone.
+GUARD = r"(?:(?<![A-Za-z0-9])|(?<=[A-Za-z])(?=\d))"
+PATTERN = GUARD + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -]?)\d{4}\1\d{4}\1", r"(?: ?\d{4} ?|-?\d{4}-?)\d{4}[ -]?") + ")"
 
 
 def kind_of(value: Column) -> Column:
