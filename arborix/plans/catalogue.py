@@ -16,7 +16,8 @@ from ..operators import joins as J
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..operators import selection as SEL
-from ..sources import files
+from ..operators import skeletonize as T
+from ..sources import files, volumes
 from . import match
 from .views import COVERED, covered, oracle, points, view
 
@@ -956,3 +957,89 @@ def ml6_match_agglomerative(spark, sf_dir):
 def ml6_match_kmeans(spark, sf_dir):
     """The same with k-means clusters (ML1)."""
     return _entries(spark, sf_dir, "kmeans")
+
+
+# ---- volumes -----------------------------------------------------------------
+
+_ONE = "SELECT z, y, x, max(label) AS label, max(r) AS r, max(g) AS g, max(b) AS b FROM voxel GROUP BY 1, 2, 3"
+
+
+def _one_per_place(voxels):
+    return voxels.groupBy("z", "y", "x").agg(*[F.max(c).alias(c) for c in ("label", "r", "g", "b")])
+
+
+def _shape(voxels) -> list[int]:
+    return [int(m) + 1 for m in voxels.agg(*[F.max(c) for c in "zyx"]).first()]
+
+
+@query(f"WITH o AS ({_ONE}) SELECT z, y, x, r, g, b FROM o WHERE r > 0 OR g > 0 OR b > 0", "voxel")
+def src5_raw_volume(voxels):
+    """A raw volume written as a chunked array and loaded."""
+    one = _one_per_place(voxels)
+    path = files.work_folder(voxels.sparkSession, "raw")
+    channels = one.select("z", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+    volumes.write_zarr(channels, path, "volumes/raw", ["c", "z", "y", "x"], "v", [3, *_shape(one)], [1, 8, 32, 256], "|u1")
+    return volumes.load_raw(voxels.sparkSession, path)
+
+
+@query(f"WITH o AS ({_ONE}) SELECT z, y, x, label FROM o WHERE label > 0", "voxel")
+def src6_label_volume(voxels):
+    one = _one_per_place(voxels)
+    path = files.work_folder(voxels.sparkSession, "labels")
+    volumes.write_zarr(one, path, "volumes", ["z", "y", "x"], "label", _shape(one), [4, 16, 128])
+    return volumes.load_labels(voxels.sparkSession, path)
+
+
+@query(f"WITH o AS ({_ONE}) SELECT z, y, x, label FROM o WHERE label IN (SELECT label FROM o WHERE label > 0 GROUP BY label HAVING count(*) > 100)", "voxel")
+def snk9_filtered_volume(voxels):
+    """Labels of few voxels removed, the rest written once: a second run finds the array there."""
+    one = _one_per_place(voxels)
+    kept = FI.large_groups(one.filter("label > 0"), ["label"], 100)
+    path = files.work_folder(voxels.sparkSession, "filtered")
+    if not volumes.write_zarr(kept, path, "volumes", ["z", "y", "x"], "label", _shape(one), [4, 16, 128]) or volumes.write_zarr(one, path, "volumes", ["z", "y", "x"], "label", _shape(one), [4, 16, 128]):
+        raise RuntimeError("an array is written once")
+    return volumes.load_labels(voxels.sparkSession, path)
+
+
+@query("SELECT l_suppkey % 10 AS em, 'R' || (l_partkey % 97) AS line_name, CAST(l_linenumber AS INT) AS rank FROM lineitem", "lineitem")
+def snk13_report_per_target(lines):
+    """A report folder for each target."""
+    rows = lines.select((F.col("l_suppkey") % 10).alias("em"), F.concat(F.lit("R"), F.col("l_partkey") % 97).alias("line_name"), F.col("l_linenumber").cast("int").alias("rank"))
+    path = files.work_folder(lines.sparkSession, "reports")
+    rows.repartition("em").sortWithinPartitions("em", "rank").write.partitionBy("em").csv(path, header=True)
+    return lines.sparkSession.read.csv(path, header=True, schema="line_name string, rank int, em long").select("em", "line_name", "rank")
+
+
+@query("SELECT em_id, lm_vol, '{\"frag_ids\":[' || string_agg(CAST(frag_id AS VARCHAR), ',' ORDER BY frag_id) || ']}' AS entry FROM frag_score GROUP BY 1, 2", "frag_score")
+def pr21_entry_as_json(scores):
+    ids = scores.groupBy("em_id", "lm_vol").agg(F.array_sort(F.collect_list("frag_id")).alias("frag_ids"))
+    return ids.select("em_id", "lm_vol", F.to_json(F.struct("frag_ids")).alias("entry"))
+
+
+@query(None, "swc")
+def src4_cached_dotprops(swc):
+    """Tangents computed once and read from then on."""
+    path = files.work_folder(swc.sparkSession, "dotprops")
+    for _ in range(2):
+        out = volumes.cached(K.per_skeleton(swc, K.dotprops(3), _DOTPROPS), path)
+    return out
+
+
+@query(None, "swc")
+def gr7_skeletonized(swc):
+    """Skeletons of the dilated lines of the given skeletons: voxels to nodes again."""
+    tube = gr9_dilated_mask(swc).filter("skel_id <> 0").withColumn("label", F.col("skel_id"))
+    return T.skeletonize(tube, ["label"], least_cable=20.0)
+
+
+_WALK = """e AS (SELECT a.skel_id, a.node_id AS a, b.node_id AS b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM swc a JOIN swc b ON a.skel_id = b.skel_id AND (a.parent_id = b.node_id OR b.parent_id = a.node_id)),
+    g AS (SELECT skel_id, a AS n, count(*) AS degree FROM e GROUP BY 1, 2),
+    w AS (SELECT e.skel_id, e.a AS tip, e.a AS prev, e.b AS cur, e.d AS len FROM e JOIN g ON g.skel_id = e.skel_id AND g.n = e.a AND g.degree = 1
+          UNION ALL SELECT w.skel_id, w.tip, w.cur, e.b, w.len + e.d FROM w JOIN g ON g.skel_id = w.skel_id AND g.n = w.cur AND g.degree = 2 JOIN e ON e.skel_id = w.skel_id AND e.a = w.cur AND e.b <> w.prev),
+    t AS (SELECT skel_id, tip FROM w GROUP BY 1, 2 HAVING max(len) <= 150.0e0),
+    x AS (SELECT DISTINCT w.skel_id, unnest([w.tip, CASE WHEN g.degree <= 2 THEN w.cur ELSE w.tip END]) AS n FROM w JOIN t ON t.skel_id = w.skel_id AND t.tip = w.tip JOIN g ON g.skel_id = w.skel_id AND g.n = w.cur)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT s.skel_id, s.node_id FROM swc s LEFT JOIN x ON x.skel_id = s.skel_id AND x.n = s.node_id WHERE x.n IS NULL", "swc")
+def gr2_pruned_once(swc):
+    return K.per_skeleton(swc, K.prune(150.0, 1), "skel_id int, node_id int")
