@@ -188,7 +188,10 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 def surrogate_table(entities: DataFrame, key: str, scratch: common.Scratch) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value), all surrogates of a kind distinct and none an entity."""
     name = lambda kind: F.substring_index(kind, "_", 1)  # noqa: E731  given names of all genders are one kind here
-    drawn = scratch.save(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("attempt"))), "drawn0")
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # drawing costs far more than the rows are long: by their bytes alone Spark would give them to a few tasks
+    dealt = entities.repartition(parts, "kind", "value")
+    drawn = scratch.save(dealt.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("attempt"))), "drawn0")
     real, k = entities.select(name(F.col("kind")).alias("k"), F.col("value").alias("surrogate")).distinct(), 0
     while True:
         named = drawn.withColumn("k", name(F.col("kind")))
@@ -233,7 +236,7 @@ def replaced(text: Column, known: Column) -> Column:
 
 
 def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surrogates") -> DataFrame:
-    """Documents with their text's entities replaced and a column n_<kind> for each kind."""
+    """Documents with their text's entities replaced and a column n_<kind> for each kind; columns of these names are replaced."""
     spark = documents.sparkSession
     scratch = common.Scratch(spark, "pii")
     body = F.col(f"`{text}`")
@@ -243,16 +246,17 @@ def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surroga
     parts = each.select("mark", "len", F.explode(parts_of(F.col("m"), F.col("kind"))).alias("p")).select("mark", "len", "p.kind", "p.value").distinct()
     parts = scratch.save(parts, "parts")
     names = surrogate_table(parts.select("kind", "value").distinct(), key, scratch)
-    maps = parts.join(names, ["kind", "value"]).groupBy("mark", "len").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("known"))
+    pairs = F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))
+    maps = parts.join(names, ["kind", "value"]).groupBy(F.col("mark").alias("__mark"), F.col("len").alias("__len")).agg(F.map_from_entries(pairs).alias("__known"))
     maps = scratch.save(maps, "maps")
     common.atexit.register(scratch.close)
-    on = (F.xxhash64(body) == maps["mark"]) & (F.length(body) == maps["len"])
+    on = (F.xxhash64(body) == F.col("__mark")) & (F.length(body) == F.col("__len"))
     joined = documents.join(maps.hint("merge"), on, "left")  # the same join at every size
-    kinds = F.when(F.col("known").isNotNull(), F.transform(matches_of(body), kind_of)).otherwise(F.array().cast("array<string>"))
+    kinds = F.when(F.col("__known").isNotNull(), F.transform(matches_of(body), kind_of)).otherwise(F.array().cast("array<string>"))
     out = joined.withColumn("__kinds", kinds)
     number = lambda k: F.size(F.filter("__kinds", lambda x: x == k)).cast("long")
     counts = {f"n_{k}": number(k) for k in KINDS}
-    return out.withColumns(counts | {text: F.when(F.col("known").isNull(), body).otherwise(replaced(body, F.col("known")))}).select(*documents.columns, *counts)
+    return out.withColumns(counts | {text: F.when(F.col("__known").isNull(), body).otherwise(replaced(body, F.col("__known")))}).select(*common.columns(documents, but=list(counts)), *counts)
 
 
 def op4_pii_surrogates(documents: DataFrame) -> DataFrame:
