@@ -117,39 +117,38 @@ def optimal_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6,
     return np.flatnonzero(choice >= 0)
 
 
-def cover(em: np.ndarray, frag: np.ndarray, radius: float, *, version: str = "", cap: int = 6) -> np.ndarray:
+def cover(em: np.ndarray, frag: np.ndarray, radius: float, *, version: str = "", cap: int = 6, step: float = 1.0) -> np.ndarray:
     """Coverage by the named version; the mixed ones solve large fragments only."""
     exact = {"ilp_v1": (True, 25, False), "ilp_v2": (False, 15, True), "ilp_v3": (False, 50, True)}
     if version in ("mixed_v1", "mixed_v2"):
         large = len(frag) > (250 if version == "mixed_v1" else 150)
         version = ("ilp_v1" if version == "mixed_v1" else "ilp_v2") if large else ""
     if not version:
-        return greedy_cover(em, frag, radius, cap)
+        return greedy_cover(em, frag, radius, cap, step)
     if version not in exact:
         raise ValueError(f"no coverage version {version!r}")
     squared, near, by_fragment = exact[version]
     return optimal_cover(em, frag, radius, cap, squared=squared, near=near, by_fragment=by_fragment)
 
 
-def coverage(em_points: DataFrame, frag_points: DataFrame, radius: float, *, version: str = "", cap: int = 6) -> DataFrame:
-    """(em_id, lm_vol, frag_id, em_pt) of covered points: one group for each target and fragment that are near at all."""
+def coverage(em_points: DataFrame, frag_points: DataFrame, radius: float, *, keys: tuple[str, ...] = ("lm_vol", "frag_id"), version: str = "", cap: int = 6, step: float = 1.0) -> DataFrame:
+    """(em_id, keys, em_pt) of covered points: one group for each target and fragment that are near at all."""
     from .joins import radius_join
 
-    near = radius_join(em_points.select("em_id", "em_pt", *XYZ), frag_points.select("lm_vol", "frag_id", "fp", *XYZ), radius)
-    packed = near.groupBy("em_id", "lm_vol", "frag_id").agg(
-        F.sort_array(F.collect_set(F.struct("em_pt", "l_x", "l_y", "l_z"))).alias("em"), F.sort_array(F.collect_set(F.struct("fp", "r_x", "r_y", "r_z"))).alias("frag")
-    )
+    types, group = dict(em_points.dtypes) | dict(frag_points.dtypes), ["em_id", *keys]
+    near = radius_join(em_points.select("em_id", "em_pt", *XYZ), frag_points.select(*keys, "fp", *XYZ), radius)
+    packed = near.groupBy(*group).agg(F.sort_array(F.collect_set(F.struct("em_pt", "l_x", "l_y", "l_z"))).alias("em"), F.sort_array(F.collect_set(F.struct("fp", "r_x", "r_y", "r_z"))).alias("frag"))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for em_id, vol, frag_id, em, frag in pdf.itertuples(index=False, name=None):
-                e = np.array([tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in em], float)
-                f = np.array([tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in frag], float)
-                rows += [(em_id, vol, frag_id, int(e[k, 0])) for k in cover(e[:, 1:], f[:, 1:], radius, version=version, cap=cap)]
-            yield pd.DataFrame(rows, columns=["em_id", "lm_vol", "frag_id", "em_pt"])
+            for *key, em, frag in pdf.itertuples(index=False, name=None):
+                e, f = (np.array([tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in side], float) for side in (em, frag))
+                # the group holds what is near: a round number that depends on all points stays the same
+                rows += [(*key, int(e[k, 0])) for k in cover(e[:, 1:], f[:, 1:], radius, version=version, cap=cap, step=step)]
+            yield pd.DataFrame(rows, columns=[*group, "em_pt"])
 
-    return packed.mapInPandas(run, "em_id int, lm_vol int, frag_id long, em_pt int")
+    return packed.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*group, "em_pt"]))
 
 
 # ---- skeletons ---------------------------------------------------------------

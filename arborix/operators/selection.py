@@ -111,17 +111,18 @@ def select(scores: np.ndarray, coverages: np.ndarray, values: np.ndarray, weight
     return chosen, best
 
 
-ENTRY = "em_id int, lm_vol int, frag_ids array<long>, cov_score double, aggregate_coverage double, n_fragments int"
+def best_fragments(covered: DataFrame, fragments: DataFrame, points: DataFrame, *, keys: tuple[str, ...] = ("em_id", "lm_vol"), clustering: str = "agglomerative") -> DataFrame:
+    """A match entry for each group: frag_ids, cov_score, aggregate_coverage, n_fragments.
 
-
-def best_fragments(covered: DataFrame, fragments: DataFrame, points: DataFrame, *, clustering: str = "agglomerative") -> DataFrame:
-    """A match entry for each (em_id, lm_vol).
-
-    covered: em_id, lm_vol, frag_id, em_pt, seg_len. fragments: em_id, lm_vol, frag_id, score, r, g, b. points: points
-    by em_id. A group is one target's fragments in one volume. The value of a fragment at a point is its coverage.
+    covered: keys, frag_id, em_pt, seg_len. fragments: keys, frag_id, score, r, g, b and, where the other side of a volume
+    limits the search, other_upper. points: points by em_id. A group is one target's fragments in one volume, side and
+    variant. The value of a fragment at a point is its coverage.
     """
-    per = covered.groupBy("em_id", "lm_vol", "frag_id").agg(F.collect_list("em_pt").alias("pts"), F.collect_list("seg_len").alias("w"), F.sum("seg_len").alias("sum_w"))
-    rows = per.join(fragments, ["em_id", "lm_vol", "frag_id"]).join(points, "em_id")
+    if "other_upper" not in fragments.columns:
+        fragments = fragments.withColumn("other_upper", F.lit(0.0))
+    group, types = list(keys), dict(fragments.dtypes)
+    per = covered.groupBy(*group, "frag_id").agg(F.collect_list("em_pt").alias("pts"), F.collect_list("seg_len").alias("w"), F.sum("seg_len").alias("sum_w"))
+    rows = per.join(fragments, [*group, "frag_id"]).join(points, "em_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frag_id", kind="stable").reset_index(drop=True)
@@ -132,11 +133,13 @@ def best_fragments(covered: DataFrame, fragments: DataFrame, points: DataFrame,
         for k, (pts, w) in enumerate(zip(pdf["pts"], pdf["w"], strict=True)):
             at = np.searchsorted(ids, pts)
             values[k, at], weights[at] = coverages[k], w
-        chosen, energy = select(pdf["score"].to_numpy(float), coverages, values, weights, pdf[["r", "g", "b"]].to_numpy(float), clustering=clustering)
+        chosen, energy = select(pdf["score"].to_numpy(float), coverages, values, weights, pdf[["r", "g", "b"]].to_numpy(float), clustering=clustering, other_upper=float(pdf["other_upper"].iloc[0]))
         together = (values[chosen] > 0).any(axis=0)
-        return pd.DataFrame([(pdf["em_id"].iloc[0], pdf["lm_vol"].iloc[0], [int(pdf["frag_id"].iloc[c]) for c in chosen], energy, 100.0 * weights[together].sum() / total, n)], columns=["em_id", "lm_vol", "frag_ids", "cov_score", "aggregate_coverage", "n_fragments"])
+        entry = [int(pdf["frag_id"].iloc[c]) for c in chosen], energy, 100.0 * weights[together].sum() / total, n
+        return pd.DataFrame([(*(pdf[c].iloc[0] for c in group), *entry)], columns=[*group, "frag_ids", "cov_score", "aggregate_coverage", "n_fragments"])
 
-    return rows.groupBy("em_id", "lm_vol").applyInPandas(run, ENTRY)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in group), "frag_ids array<long>", "cov_score double", "aggregate_coverage double", "n_fragments int"])
+    return rows.groupBy(*group).applyInPandas(run, schema)
 
 
 def color_modes(voxels: DataFrame, group: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import ranking as R
 from ..operators import selection as SEL
 from ..operators import skeletonize as T
 from ..sources import files, volumes
-from . import match
+from . import match, search
 from .views import COVERED, covered, oracle, points, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1043,3 +1043,17 @@ _WALK = """e AS (SELECT a.skel_id, a.node_id AS a, b.node_id AS b, sqrt((a.x-b.x
 @query(f"WITH RECURSIVE {_WALK} SELECT s.skel_id, s.node_id FROM swc s LEFT JOIN x ON x.skel_id = s.skel_id AND x.n = s.node_id WHERE x.n IS NULL", "swc")
 def gr2_pruned_once(swc):
     return K.per_skeleton(swc, K.prune(150.0, 1), "skel_id int, node_id int")
+
+
+@query(None, direct=True)
+def e2e_search(spark, sf_dir):
+    """The whole search on the derived points, with scores that depend on the ids and a mirrored second side."""
+    em, normal = view(spark, sf_dir, "em_point"), view(spark, sf_dir, "frag_point")
+    flipped = normal.withColumn("x", S.mirrored(F.col("x"), 0))
+    frags = normal.withColumn("side", F.lit("normal")).unionByName(flipped.withColumn("side", F.lit("flipped")))
+    sizes = frags.groupBy("side", "lm_vol", "frag_id").agg(F.count("*").alias("frag_points"))
+    number = lambda m: ((F.col("frag_id") * m + F.col("lm_vol") * 3 + F.col("em_id")) % 20) / F.lit(10.0) - F.lit(0.8)
+    scores = em.select("em_id").distinct().crossJoin(F.broadcast(sizes)).select("em_id", "side", "lm_vol", "frag_id", "frag_points", number(7).alias("score_full"), number(11).alias("score_pruned"))
+    channel = lambda m: ((F.col("frag_id") * m + F.col("lm_vol")) % 255 + 1).cast("double")
+    colors = normal.select("lm_vol", "frag_id").distinct().select("lm_vol", "frag_id", channel(37).alias("r"), channel(91).alias("g"), channel(53).alias("b"))
+    return search.ranked(search.entries(scores, em, frags, colors))
