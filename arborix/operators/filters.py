@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Named boxes (least x, y, z and most x, y, z); any other name takes the box of the given nodes.
-BOXES = {"hemibrain": (315.0, 0.0, 0.0, 1427.0, 668.0, 394.0), "hemibrain_flipped": (0.0, 0.0, 0.0, 1112.0, 668.0, 394.0)}
+#: Named boxes (least x, y, z and most x, y, z); any other name takes the box of the given nodes.
+BOXES = {
+    "hemibrain": (302.6390, 1.6348, 18.2223, 870.4659, 529.5118, 442.0632),
+    "hemibrain_flipped": (556.5341, 1.6348, 18.2223, 1124.3610, 529.5118, 442.0632),
+}
 
 
 def inside_box(box: tuple[float, ...]) -> Column:

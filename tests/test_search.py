@@ -65,7 +65,7 @@ def test_codes_in_blocks(spark):
 
 
 def test_named_box(spark):
-    nodes = spark.createDataFrame([(100.0, 1.0, 1.0), (500.0, 1.0, 1.0)], "x double, y double, z double")
+    nodes = spark.createDataFrame([(100.0, 50.0, 50.0), (500.0, 50.0, 50.0)], "x double, y double, z double")
     assert [r.x for r in filters.crop(nodes, "hemibrain", nodes).collect()] == [500.0]
 
 
