@@ -179,6 +179,10 @@ def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: st
     before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = files.withColumns({"number": F.row_number().over(Window.orderBy("at")) - 1, "base": F.coalesce(F.sum("tokens").over(before), F.lit(0))})
     based.select("number", "file", "first", "docs", "tokens", "size", "base", "dtype").coalesce(1).write.parquet(f"{folder}/manifest")
+    known = {r.file for r in files.select("file").toLocalIterator()}
+    for info in fs.get_file_info(pafs.FileSelector(base)):  # what lost and repeated tasks left behind
+        if info.is_file and info.extension in ("bin", "idx") and info.base_name.partition(".")[0] not in known:
+            fs.delete_file(info.path)
     return spark.read.parquet(f"{folder}/manifest")
 
 
