@@ -18,11 +18,13 @@ from ..schemas import COLORS, SCORES
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared folder that the session names; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="arborix-")
+    base, current = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and current.isDefined():
+        base = current.get()
+    elif not base:
+        base = "file://" + tempfile.mkdtemp(prefix="arborix-")
         spark.sparkContext.setCheckpointDir(base)
+        atexit.register(remove, spark, base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
