@@ -37,7 +37,7 @@ END_ID = 0
 #: Null doc_ids in an index.
 NO_ID = -(1 << 63)
 #: Pieces that a worker remembers.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -27,7 +27,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words whose count a worker remembers, and transitions it keeps.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
