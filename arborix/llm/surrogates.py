@@ -190,7 +190,7 @@ def surrogate_table(entities: DataFrame, key: str, scratch: common.Scratch) -> D
     name = lambda kind: F.substring_index(kind, "_", 1)  # noqa: E731  given names of all genders are one kind here
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # drawing costs far more than the rows are long: by their bytes alone Spark would give them to a few tasks
-    dealt = entities.repartition(parts, "kind", "value")
+    dealt = entities.repartition(parts, F.xxhash64("kind", "value"))
     drawn = scratch.save(dealt.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("attempt"))), "drawn0")
     real, k = entities.select(name(F.col("kind")).alias("k"), F.col("value").alias("surrogate")).distinct(), 0
     while True:
