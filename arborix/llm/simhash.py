@@ -231,9 +231,10 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, shingles: bool = False) -> DataFrame:
     """(doc_id, fp, component_id, keep_id, keep_mark): one row per document. component_id is the least doc_id that
-    links reach, null if there is none; keep_id and keep_mark (hash of the text) name the row to keep of each component."""
+    links reach, null if there is none; keep_id and keep_mark (hash of the text) name the row to keep of each component.
+    With ``shingles`` texts are also linked that are near copies by their word shingles."""
     spark = documents.sparkSession
     scratch = common.Scratch(spark, "simhash")
     ids = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -244,14 +245,32 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     roots = components(join_crowds(found), scratch)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.save(rooted, "rooted")
+    if shingles:
+        rooted = _joined_by_shingles(ids, prints, rooted)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     named = rooted.select("fp", "root").join(classes, "root").select("fp", "component_id", F.col("first.id").alias("keep_id"), F.col("first.mark").alias("keep_mark"))
     return scratch.keep(prints.join(named, "fp").select("doc_id", "fp", "component_id", "keep_id", "keep_mark"))
 
 
+def _joined_by_shingles(ids: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Components of fingerprints, joined further where texts of two of them are near copies."""
+    from . import shinglelinks
+
+    more = common.Scratch(ids.sparkSession, "shingles")
+    root_of = more.save(prints.select("mark", "fp").distinct().join(rooted.select("fp", "root"), "fp").select("mark", "root"), "root_of")
+    pairs = more.save(shinglelinks.links(ids.select(F.xxhash64("text").alias("mark"), "text"), more), "pairs")
+    a, b = (root_of.select(F.col("mark").alias(c), F.col("root").alias(f"root_{c}")).hint("merge") for c in "ab")
+    edges = pairs.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct()
+    further = components(edges, more).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    out = rooted.join(further, "root", "left").select("fp", "least", "first", F.coalesce("further", "root").alias("root"))
+    common.atexit.register(more.close)
+    return out
+
+
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates: that of its least doc_id, of repeated doc_ids the least hash, of equal rows any."""
-    found = near_duplicates(documents.select("doc_id", "text"), **options)
+    """One row of each group of near-duplicates, by fingerprints and by shingles: that of its least doc_id, of repeated
+    doc_ids the least hash, of equal rows any."""
+    found = near_duplicates(documents.select("doc_id", "text"), **{"shingles": True} | options)
     kept = found.select(F.col("keep_id").alias("__id"), F.col("keep_mark").alias("__mark")).distinct()
     marked = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64("text")})
     single = marked.join(kept.hint("merge"), ["__id", "__mark"], "left_semi")  # the same join at every size

@@ -291,12 +291,32 @@ def test_links_lose_nothing(spark, crowd, count):
 
 
 def test_keep_one_of_each_group(documents, texts):
-    kept = simhash.keep_one(documents)
+    kept = simhash.keep_one(documents, shingles=False)
     assert kept.columns == documents.columns
     want = {c for _, c in simhash.brute_force(texts).values()}
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_copies_by_shingles(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(3000)]
+    base = [list(rng.choice(words, 400)) for _ in range(30)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    for k, b in enumerate(base[:20]):  # three words of 400 changed: a similarity of about 0.93
+        for at in rng.integers(0, 400, 3):
+            b[at] = "changed"
+        rows.append((100 + k, " ".join(b)))
+    rows += [(200 + k, " ".join(b[:200] + list(rng.choice(words, 200)))) for k, b in enumerate(base)]  # a half in common
+    many = list(rng.choice(words, 300))
+    for k in range(700):  # more than are paired up
+        copy = many.copy()
+        copy[int(rng.integers(300))] = f"v{k}"
+        rows.append((1000 + k, " ".join(copy)))
+    rows += [(5000, None), (5001, "")]
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [*range(30), *range(200, 230), 1000, 5000]
+
+
 # ---- token counts
 
 
