@@ -4,7 +4,8 @@ An edit of a word moves a 64-bit fingerprint by several bits, so near copies in
 the sense of shingles (five words, Jaccard similarity of 0.8 or more) are looked
 for beside the fingerprint links: texts that agree on a band of minimum hashes
 are candidates, pivot distances of their fingerprints discard those that differ
-by too much in any coordinate, and the share of equal minimum hashes decides.
+by too much in any coordinate, the share of equal minimum hashes picks each text's
+most like one, and the shingles of both verify it.
 
 A band with over ``crowd`` texts is not paired up: each of its texts is compared
 with the leaders before it and becomes one itself if it is like none of them.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 #: Minimum hashes of a text, and how many make a band: 21 bands find a pair at 0.8 in 998 of 1,000 cases.
-BINS, ROWS = 256, 6
-BANDS = 21
+ROWS, BANDS = 6, 21
+BINS = ROWS * BANDS
+FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprint bits in which texts at 0.8 differ at most, but for one in ten thousand.
 REACH = 22
 
@@ -44,13 +46,13 @@ def shingle_hashes(text: bytes | None, size: int = 5) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of each of 256 equal parts of the range; an empty part takes that of the next one that is not."""
-    part = (hashes >> np.uint64(56)).astype(np.int64)  # hashes are sorted: a part's first is its least
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    held, least = part[first], (hashes[first] >> np.uint64(20)).astype(np.uint32)
-    at = np.searchsorted(held, np.arange(BINS))
-    gap = (held[at % len(held)] - np.arange(BINS)) % BINS
-    return least[at % len(held)] + (gap * 0x9E3779B1).astype(np.uint32)
+    """The least of the hashes under each of a number of random maps. (One hash cut into ranges would be cheaper, but in
+    a short text one shingle fills many ranges, and a line that many texts share would make them all candidates.)"""
+    out = np.full(BINS, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(hashes), 2048):
+        some = hashes[k : k + 2048, None] * FACTORS[None, :]
+        np.minimum(out, (some >> np.uint64(32)).min(axis=0).astype(np.uint32), out=out)
+    return out
 
 
 def signature(text: bytes | None) -> tuple[int, list[int], bytes] | None:
@@ -74,21 +76,21 @@ def _signatures(texts: pa.Array) -> pa.Array:
     return pa.array(out, _SIGNATURE)
 
 
-def like(low: np.ndarray, fps: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs (a, b) of rows are alike: pivots first, then the minimum hashes."""
+def likeness(low: np.ndarray, fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal minimum hashes of pairs (a, b) of rows; 0 where a pivot's distances differ too much."""
     table = np.bitwise_count(fps[:, None] ^ simhash.PIVOTS[None, :]).astype(np.int8)
     kept = np.arange(len(a))
     for p in range(table.shape[1]):
         kept = kept[np.abs(table[a[kept], p] - table[b[kept], p]) <= REACH]
-    out = np.zeros(len(a), bool)
+    out = np.zeros(len(a))
     for k in range(0, len(kept), 4096):
         some = kept[k : k + 4096]
-        out[some] = (low[a[some]] == low[b[some]]).mean(axis=1) >= similarity
+        out[some] = (low[a[some]] == low[b[some]]).mean(axis=1)
     return out
 
 
 def pair_up(similarity: float, crowd: int):
-    """Partitions sorted by key -> (a, b): links of each key's texts to earlier ones."""
+    """Partitions sorted by key -> (a, b): each of a key's texts with the earlier one that is most like it, if it is like any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, fps, low = None, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BINS), np.uint32)
@@ -106,25 +108,45 @@ def pair_up(similarity: float, crowd: int):
                     new, old = np.divmod(np.arange(m * (n + m)), n + m)
                     new = new + n
                     new, old = new[old < new], old[old < new]
-                    alike = like(low, fps, new, old, similarity)
-                    if alike.any():
-                        yield pa.record_batch({"a": ids[new[alike]], "b": ids[old[alike]]})
+                    share = likeness(low, fps, new, old).reshape(-1) if len(new) else np.zeros(0)
+                    order = np.lexsort((-share, new))
+                    order = order[np.concatenate([[True], new[order][1:] != new[order][:-1]])] if len(order) else order
+                    best = order[share[order] >= similarity]
+                    if len(best):
+                        yield pa.record_batch({"a": ids[new[best]], "b": ids[old[best]]})
                     if n + m > crowd:  # only leaders stay: those like none before them
                         follows = np.zeros(n + m, bool)
-                        follows[new[alike]] = True
+                        follows[new[best]] = True
                         ids, fps, low = ids[~follows], fps[~follows], low[~follows]
 
     return run
 
 
-def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.78, crowd: int = 512) -> DataFrame:
-    """(a, b) of different texts (mark, text) that are near copies; the default is below 0.8 by nearly a standard deviation of the estimate."""
+def jaccard(a: bytes | None, b: bytes | None) -> float:
+    x, y = shingle_hashes(a), shingle_hashes(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _jaccards(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([jaccard(x, y) for x, y in zip(common.utf8(a), common.utf8(b), strict=True)], pa.float64())
+
+
+def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8, slack: float = 0.1, crowd: int = 512) -> DataFrame:
+    """(a, b) of different texts (mark, text) that are near copies: candidates by their minimum hashes, with some slack,
+    verified by their shingles."""
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     signed = texts.withColumn("s", F.arrow_udf(_signatures, "fp long, keys array<long>, low binary")("text")).filter("s IS NOT NULL").select("mark", "s.*")
-    each = scratch.save(signed.dropDuplicates(["mark"]), "signatures")
-    keyed = each.select(F.explode("keys").alias("key"), "mark")
+    each = scratch.save(signed, "signatures").dropDuplicates(["mark"])
+    keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark"), "keyed")
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     wanted = keyed.join(shared.hint("merge"), "key", "left_semi")
     rows = wanted.join(each.select("mark", "fp", "low").hint("merge"), "mark").select("key", "mark", "fp", "low")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(pair_up(similarity, crowd), "a long, b long").distinct()
+    found = rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(pair_up(similarity - slack, crowd), "a long, b long")
+    found = scratch.save(found.distinct(), "candidates")
+    ends = found.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    bodies = scratch.save(texts.join(ends.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]), "bodies")
+    a, b = (bodies.select(F.col("mark").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in "ab")
+    verified = found.join(a, "a").join(b, "b").withColumn("j", F.arrow_udf(_jaccards, "double")("text_a", "text_b"))
+    return verified.filter(F.col("j") >= similarity).select("a", "b")
