@@ -268,9 +268,9 @@ def _joined_by_shingles(ids: DataFrame, prints: DataFrame, rooted: DataFrame) ->
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates, by fingerprints and by shingles: that of its least doc_id, of repeated
-    doc_ids the least hash, of equal rows any."""
-    found = near_duplicates(documents.select("doc_id", "text"), **{"shingles": True} | options)
+    """One row of each group of near-duplicates, by fingerprints and, with ``shingles``, by shingles too: that of its
+    least doc_id, of repeated doc_ids the least hash, of equal rows any."""
+    found = near_duplicates(documents.select("doc_id", "text"), **options)
     kept = found.select(F.col("keep_id").alias("__id"), F.col("keep_mark").alias("__mark")).distinct()
     marked = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64("text")})
     single = marked.join(kept.hint("merge"), ["__id", "__mark"], "left_semi")  # the same join at every size

@@ -291,7 +291,7 @@ def test_links_lose_nothing(spark, crowd, count):
 
 
 def test_keep_one_of_each_group(documents, texts):
-    kept = simhash.keep_one(documents, shingles=False)
+    kept = simhash.keep_one(documents)
     assert kept.columns == documents.columns
     want = {c for _, c in simhash.brute_force(texts).values()}
     assert {r.doc_id for r in kept.collect()} == want
@@ -313,7 +313,7 @@ def test_near_copies_by_shingles(spark):
         copy[int(rng.integers(300))] = f"v{k}"
         rows.append((1000 + k, " ".join(copy)))
     rows += [(5000, None), (5001, "")]
-    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingles=True).collect())
     assert kept == [*range(30), *range(200, 230), 1000, 5000]
 
 
