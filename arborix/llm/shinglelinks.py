@@ -93,6 +93,7 @@ def pair_up(similarity: float, crowd: int):
     """Partitions sorted by key -> (a, b): each of a key's texts with the earlier one that is most like it, if it is like any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         key, ids, fps, low = None, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BINS), np.uint32)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()

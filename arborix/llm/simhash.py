@@ -145,6 +145,7 @@ def pair_up(distance: int, crowd: int):
         return out(True, near.ravel(), np.repeat(fps, 65))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         keys, fps, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:

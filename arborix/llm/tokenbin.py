@@ -126,6 +126,7 @@ def _writer(folder: str, path: str, dtype: str, end_id: int, file_tokens: int):
     """A task's documents (doc_id, text), in order -> files and their manifest rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         fs, base = file_system(folder)
         enc, end, width = encoder(path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         ids, ends, out, n, name = [], [], None, 0, ""
