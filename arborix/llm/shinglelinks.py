@@ -5,10 +5,14 @@ the sense of shingles (five words, Jaccard similarity of 0.8 or more) are looked
 for beside the fingerprint links: texts that agree on a band of minimum hashes
 are candidates, pivot distances of their fingerprints discard those that differ
 by too much in any coordinate, the share of equal minimum hashes picks each text's
-most like one, and the shingles of both verify it.
-
-A band with over ``crowd`` texts is not paired up: each of its texts is compared
-with the leaders before it and becomes one itself if it is like none of them.
+most like one, and the shingles of both verify it. Those first links join most
+texts of a group; what they leave apart is compared again (``rest``): of each band
+whose texts are in several components, every pair of two components whose share
+allows it is verified, so a guess that fails never hides another link.
+
+In the first pass a band with over ``crowd`` texts is not paired up: each of its
+texts is compared with the leaders before it and becomes one itself if it is like
+none of them.
 """
 
 from __future__ import annotations
@@ -123,25 +127,95 @@ def pair_up(similarity: float, crowd: int):
     return run
 
 
-def jaccard(a: bytes | None, b: bytes | None) -> float:
-    x, y = shingle_hashes(a), shingle_hashes(b)
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
 
+def jaccard(a: bytes | None, b: bytes | None) -> float:
+    return overlap(shingle_hashes(a), shingle_hashes(b))
+
+
 def _jaccards(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(x, y) for x, y in zip(common.utf8(a), common.utf8(b), strict=True)], pa.float64())
 
 
+def _hashes(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_hashes(t).tobytes() for t in common.utf8(texts)], pa.binary())
+
+
+def join_up(similarity: float, slack: float):
+    """Partitions sorted by key -> (a, b): links, verified, that join a key's components as far as any pair does."""
+
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        ids, fps = rows["mark"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint32).reshape(-1, BINS)
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
+        sizes, label = np.array([len(h) for h in sets]), np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        out_a, out_b = [], []
+        for s in range(0, len(ids), 256):
+            new, old = np.divmod(np.arange(min(256, len(ids) - s) * len(ids)), len(ids))
+            new = new + s
+            able = (old < new) & (label[new] != label[old]) & (np.minimum(sizes[new], sizes[old]) >= similarity * np.maximum(sizes[new], sizes[old]))
+            new, old = new[able], old[able]
+            share = likeness(low, fps, new, old)
+            order = np.argsort(-share, kind="stable")
+            order = order[share[order] >= similarity - slack]
+            for x, y in zip(new[order].tolist(), old[order].tolist(), strict=True):
+                if label[x] != label[y] and overlap(sets[x], sets[y]) >= similarity:
+                    out_a.append(ids[x])
+                    out_b.append(ids[y])
+                    label[label == label[x]] = label[y]
+        return pa.record_batch({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
+        held, key = [], None
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for s, e in itertools.pairwise([0, *edges.tolist(), len(keys)]):
+                if s == e:
+                    continue
+                if held and keys[s] != key:
+                    yield joined(pa.Table.from_batches(held))
+                    held = []
+                key = keys[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    return run
+
+
+def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame, scratch: common.Scratch, similarity: float, slack: float) -> DataFrame:
+    """(a, b): what joins the components of the first links further, from all pairs in a band that are in different ones."""
+    rounds = common.Scratch(texts.sparkSession, "rest")
+    roots = scratch.save(simhash.components(first, rounds), "roots")
+    rounds.close()
+    labelled = wanted.join(roots.withColumnRenamed("node", "mark").hint("merge"), "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    labelled = scratch.save(labelled, "labelled")
+    apart = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    members = scratch.save(labelled.join(scratch.save(apart, "apart").hint("merge"), "key"), "members")
+    marks = scratch.save(members.select("mark").distinct(), "marks")
+    bodies = texts.join(marks.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.arrow_udf(_hashes, "binary")("text").alias("hashes"))
+    bodies = scratch.save(bodies.join(each.select("mark", "fp", "low").hint("merge"), "mark"), "hashes")
+    rows = members.join(bodies.hint("merge"), "mark").select("key", "mark", "root", "fp", "low", "hashes")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(join_up(similarity, slack), "a long, b long")
+
+
 def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8, slack: float = 0.1, crowd: int = 512) -> DataFrame:
     """(a, b) of different texts (mark, text) that are near copies: candidates by their minimum hashes, with some slack,
-    verified by their shingles."""
+    verified by their shingles. They join all texts that the verified candidates join; not every pair is among them."""
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     signed = texts.withColumn("s", F.arrow_udf(_signatures, "fp long, keys array<long>, low binary")("text")).filter("s IS NOT NULL").select("mark", "s.*")
     each = scratch.save(signed, "signatures").dropDuplicates(["mark"])
     keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark"), "keyed")
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
-    wanted = keyed.join(shared.hint("merge"), "key", "left_semi")
+    wanted = scratch.save(keyed.join(shared.hint("merge"), "key", "left_semi"), "wanted")
+    scratch.drop("keyed")
     rows = wanted.join(each.select("mark", "fp", "low").hint("merge"), "mark").select("key", "mark", "fp", "low")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(pair_up(similarity - slack, crowd), "a long, b long")
@@ -150,4 +224,6 @@ def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8,
     bodies = scratch.save(texts.join(ends.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]), "bodies")
     a, b = (bodies.select(F.col("mark").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in "ab")
     verified = found.join(a, "a").join(b, "b").withColumn("j", F.arrow_udf(_jaccards, "double")("text_a", "text_b"))
-    return verified.filter(F.col("j") >= similarity).select("a", "b")
+    first = scratch.save(verified.filter(F.col("j") >= similarity).select("a", "b"), "first")
+    scratch.drop("bodies")
+    return first.unionByName(rest(texts, wanted, each, first, scratch, similarity, slack)).distinct()

@@ -317,6 +317,45 @@ def test_near_copies_by_shingles(spark):
     assert kept == [*range(30), *range(200, 230), 1000, 5000]
 
 
+def edited(words, at, n, tag):
+    """A text with ``n`` words from ``at`` on replaced by others: n + 4 shingles go and as many come."""
+    return words[:at] + [f"{tag}-{k}" for k in range(n)] + words[at + n :]
+
+
+def joined(spark, rows, **options):
+    """Sets of marks that the shingle links join."""
+    from arborix.llm import shinglelinks
+
+    found = shinglelinks.links(spark.createDataFrame(rows, "mark long, text string"), common.Scratch(spark, "test"), **options).collect()
+    texts = {m: t.encode() for m, t in rows}
+    assert all(shinglelinks.jaccard(texts[r.a], texts[r.b]) >= 0.8 for r in found)
+    label = {m: m for m in texts}
+    for r in found:
+        old, new = label[r.a], label[r.b]
+        label = {m: new if v == old else v for m, v in label.items()}
+    groups = {}
+    for m, v in label.items():
+        groups.setdefault(v, set()).add(m)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_a_failed_guess_hides_no_link(spark):
+    rows, want = [], set()
+    for g in range(12):  # 204 words, 200 shingles
+        words = [f"g{g}w{k}" for k in range(204)]
+        rows.append((g * 1000, " ".join(edited(words, 20, 15, "twin"))))  # 0.826 to the last one
+        rows += [(g * 1000 + 1 + k, " ".join(edited(words, 5 + 4 * k, 20, f"d{k}"))) for k in range(40)]  # 0.786 to the last one
+        rows.append((g * 1000 + 999, " ".join(words)))
+        want.add(frozenset((g * 1000, g * 1000 + 999)))
+    texts = dict(rows)
+    from arborix.llm import shinglelinks
+
+    assert shinglelinks.jaccard(texts[0].encode(), texts[999].encode()) >= 0.82
+    assert max(shinglelinks.jaccard(texts[k].encode(), texts[999].encode()) for k in range(1, 41)) < 0.79
+    found = joined(spark, rows)
+    assert all(any(w <= f for f in found) for w in want)
+
+
 # ---- token counts
 
 
