@@ -12,7 +12,9 @@ allows it is verified, so a guess that fails never hides another link.
 
 In the first pass a band with over ``crowd`` texts is not paired up: each of its
 texts is compared with the leaders before it and becomes one itself if it is like
-none of them.
+none of them. That only saves work: the second pass compares all texts of such a
+band that are still apart, dealt over cells of about ``crowd`` texts for each two
+shares of the band, so that no task holds more than two shares.
 """
 
 from __future__ import annotations
@@ -59,24 +61,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(text: bytes | None) -> tuple[int, list[int], bytes] | None:
-    """(fingerprint, band keys, minimum hashes) of a text; None without words."""
+def signature(text: bytes | None) -> tuple[int, list[int], bytes, int] | None:
+    """(fingerprint, band keys, minimum hashes, number of shingles) of a text; None without words."""
     hashes = shingle_hashes(text)
     if not len(hashes):
         return None
     low = minima(hashes)
     keys = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return simhash.majority(hashes), keys, low.tobytes()
+    return simhash.majority(hashes), keys, low.tobytes(), len(hashes)
 
 
-_SIGNATURE = pa.struct([("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("low", pa.binary())])
+_SIGNATURE = pa.struct([("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("low", pa.binary()), ("size", pa.int64())])
 
 
 def _signatures(texts: pa.Array) -> pa.Array:
     out = []
     for t in common.utf8(texts):
         s = signature(t)
-        out.append(None if s is None else (int(np.uint64(s[0]).astype(np.int64)), common.signed(np.array(s[1], np.uint64)).tolist(), s[2]))
+        out.append(None if s is None else (int(np.uint64(s[0]).astype(np.int64)), common.signed(np.array(s[1], np.uint64)).tolist(), *s[2:]))
     return pa.array(out, _SIGNATURE)
 
 
@@ -145,19 +147,25 @@ def _hashes(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_hashes(t).tobytes() for t in common.utf8(texts)], pa.binary())
 
 
+#: Shingles that a share of a band in the second pass has at most, for one text of more: 8 bytes each.
+SHARE = 1 << 20
+
+
 def join_up(similarity: float, slack: float):
-    """Partitions sorted by key -> (a, b): links, verified, that join a key's components as far as any pair does."""
+    """Partitions sorted by cell -> (a, b): links, verified, that join a cell's components as far as any pair does."""
 
     def joined(rows: pa.Table) -> pa.RecordBatch:
         ids, fps = rows["mark"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
         low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint32).reshape(-1, BINS)
         sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
         sizes, label = np.array([len(h) for h in sets]), np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        share_of, one = rows["share"].to_numpy(), rows["one"][0].as_py()
         out_a, out_b = [], []
         for s in range(0, len(ids), 256):
             new, old = np.divmod(np.arange(min(256, len(ids) - s) * len(ids)), len(ids))
             new = new + s
-            able = (old < new) & (label[new] != label[old]) & (np.minimum(sizes[new], sizes[old]) >= similarity * np.maximum(sizes[new], sizes[old]))
+            able = (old < new) & (one | (share_of[new] != share_of[old])) & (label[new] != label[old])  # pairs of one share meet in its own cell
+            able &= np.minimum(sizes[new], sizes[old]) >= similarity * np.maximum(sizes[new], sizes[old])
             new, old = new[able], old[able]
             share = likeness(low, fps, new, old)
             order = np.argsort(-share, kind="stable")
@@ -189,30 +197,34 @@ def join_up(similarity: float, slack: float):
     return run
 
 
-def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame, scratch: common.Scratch, similarity: float, slack: float) -> DataFrame:
+def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame, scratch: common.Scratch, similarity: float, slack: float, crowd: int) -> DataFrame:
     """(a, b): what joins the components of the first links further, from all pairs in a band that are in different ones."""
     rounds = common.Scratch(texts.sparkSession, "rest")
     roots = scratch.save(simhash.components(first, rounds), "roots")
     rounds.close()
-    labelled = wanted.join(roots.withColumnRenamed("node", "mark").hint("merge"), "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    labelled = wanted.join(roots.withColumnRenamed("node", "mark").hint("merge"), "mark", "left").select("key", "mark", "size", F.coalesce("root", "mark").alias("root"))
     labelled = scratch.save(labelled, "labelled")
-    apart = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    members = scratch.save(labelled.join(scratch.save(apart, "apart").hint("merge"), "key"), "members")
+    shares = F.ceil(F.greatest(F.count("*") / F.lit(crowd), F.sum("size") / F.lit(SHARE))).cast("int")
+    apart = labelled.groupBy("key").agg(shares.alias("shares"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key", "shares")
+    members = labelled.join(scratch.save(apart, "apart").hint("merge"), "key")
+    members = members.withColumn("share", F.pmod(F.xxhash64("mark"), "shares").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    cell = F.xxhash64("key", F.least("share", "with"), F.greatest("share", "with"))
+    members = scratch.save(members.select(cell.alias("cell"), "mark", "root", "share", (F.col("share") == F.col("with")).alias("one")), "members")
     marks = scratch.save(members.select("mark").distinct(), "marks")
     bodies = texts.join(marks.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.arrow_udf(_hashes, "binary")("text").alias("hashes"))
     bodies = scratch.save(bodies.join(each.select("mark", "fp", "low").hint("merge"), "mark"), "hashes")
-    rows = members.join(bodies.hint("merge"), "mark").select("key", "mark", "root", "fp", "low", "hashes")
+    rows = members.join(bodies.hint("merge"), "mark").select("cell", "mark", "root", "share", "one", "fp", "low", "hashes")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(join_up(similarity, slack), "a long, b long")
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "mark").mapInArrow(join_up(similarity, slack), "a long, b long")
 
 
 def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8, slack: float = 0.1, crowd: int = 512) -> DataFrame:
     """(a, b) of different texts (mark, text) that are near copies: candidates by their minimum hashes, with some slack,
     verified by their shingles. They join all texts that the verified candidates join; not every pair is among them."""
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
-    signed = texts.withColumn("s", F.arrow_udf(_signatures, "fp long, keys array<long>, low binary")("text")).filter("s IS NOT NULL").select("mark", "s.*")
+    signed = texts.withColumn("s", F.arrow_udf(_signatures, "fp long, keys array<long>, low binary, size long")("text")).filter("s IS NOT NULL").select("mark", "s.*")
     each = scratch.save(signed, "signatures").dropDuplicates(["mark"])
-    keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark"), "keyed")
+    keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark", "size"), "keyed")
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     wanted = scratch.save(keyed.join(shared.hint("merge"), "key", "left_semi"), "wanted")
     scratch.drop("keyed")
@@ -226,4 +238,4 @@ def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8,
     verified = found.join(a, "a").join(b, "b").withColumn("j", F.arrow_udf(_jaccards, "double")("text_a", "text_b"))
     first = scratch.save(verified.filter(F.col("j") >= similarity).select("a", "b"), "first")
     scratch.drop("bodies")
-    return first.unionByName(rest(texts, wanted, each, first, scratch, similarity, slack)).distinct()
+    return first.unionByName(rest(texts, wanted, each, first, scratch, similarity, slack, crowd)).distinct()

@@ -356,6 +356,20 @@ def test_a_failed_guess_hides_no_link(spark):
     assert all(any(w <= f for f in found) for w in want)
 
 
+def test_a_crowd_loses_no_link(spark):
+    """Texts on one template, unlike one another but like the first in the share of minimum hashes; later ones are their near copies."""
+    words, n = [f"w{k}" for k in range(204)], 1400
+    rows = [(0, " ".join(words))]
+    for k in range(n):
+        own = edited(words, k * 7 % 180, 20, f"f{k}")  # 0.786 to the first
+        rows.append((1 + k, " ".join(own)))
+        if k % 4 == 0:
+            rows.append((10_000 + k, " ".join([*own[:-1], f"end{k}"])))  # 0.99 to the other
+    found = joined(spark, rows, crowd=64)
+    where = {m: g for g in found for m in g}
+    assert all(10_000 + k in where.get(1 + k, ()) for k in range(0, n, 4))
+
+
 # ---- token counts
 
 
