@@ -52,7 +52,7 @@ TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted((t for ts in TITLES.values()
 #: In order: of two that begin at the same place, the first counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"""(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|secret|token|api_key|apikey) ?[=:] ?"?)[^\s"=]{8,}""",
+    "secret": r"""(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|passwd|secret|token|api_key|apikey) ?[=:] ?"?)[^\s"=]{8,}""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])|(?<![\d.+-])3\d{3}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",

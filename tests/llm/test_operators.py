@@ -138,6 +138,13 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert found[3].text is None and found[4].text == "" and found[5].text == rows[4][1] and found[5].n_ip == 0
 
 
+def test_secrets_after_keys_of_any_case(spark):
+    secrets = ["9233A8ECF7C5AB01", "hunter2hunter2", "k3yk3yk3yk3y", "zz99zz99zz99"]
+    rows = [(1, f'TOKEN = "{secrets[0]}" Password: {secrets[1]} API_KEY={secrets[2]} token = "{secrets[3]}"')]
+    text = surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).first().text
+    assert not any(s in text for s in secrets) and text.startswith('TOKEN = "') and " Password: " in text and " API_KEY=" in text
+
+
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)}m Xy{chr(97 + i % 26)}{chr(97 + i // 26)} and 10.0.{i // 250}.{i % 250}") for i in range(400)]
     out = surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
