@@ -129,8 +129,18 @@ def parse(data: bytes | None) -> dict | None:
     """What a stream holds: see the fields of ``PARSED``."""
     if data is None:
         return None
-    start, tags = id3v2(data)
     end, more = tail_tags(data)
+    found = _parse(data, end, more)
+    if end < len(data):  # the bytes of a tag may be those of a frame: the end that leaves fewer bytes outside frames counts
+        without_ape = len(data) - 128 if data[len(data) - 128 : len(data) - 125] == b"TAG" else end
+        ends = [(without_ape, more)] * (end < without_ape) + [(len(data), {})]
+        found = min([found, *[_parse(data, e, t) for e, t in ends]], key=lambda f: (not f["frames"], f["skipped"], -f["frames"]))
+    return found
+
+
+def _parse(data: bytes, end: int, more: dict[str, str]) -> dict:
+    """What a stream holds whose audio ends at ``end``, before tags ``more``."""
+    start, tags = id3v2(data)
     at, skipped, offsets, samples, first, table = start, 0, [], 0, None, None
     good = bad = unchecked = 0
     rates, table_at = set(), -1

@@ -205,6 +205,25 @@ def test_payload_survives(documents, texts, empty):
     assert mpegaudio.op6_mpeg_audio(empty).count() == 0
 
 
+def test_payload_that_looks_like_a_tag_survives():
+    for mark, back in ((b"TAG", 128), (b"APETAGEX", 32)):
+        for n in range(192, 6400, 64):
+            media = mpegaudio.store(b"x" * n)
+            place = media.rindex(b"x") + 1 - (len(media) - back)  # payload bytes from the tag's place on
+            if place < len(mark):
+                continue
+            raw = b"x" * (n - place) + mark + b"x" * (place - len(mark))
+            media = mpegaudio.store(raw)
+            assert media[len(media) - back :].startswith(mark)
+            parsed = mpegaudio.parse(media)
+            assert parsed["skipped"] == 0 and mpegaudio.payload_of(media, parsed) == (n, mpegaudio.padded(raw))
+            tagged = mpegaudio.parse(media + b"TAG" + b"Title".ljust(125, b"\0"))
+            assert tagged["skipped"] == 0 and ("id3v1:title", "Title") in tagged["tags"] and tagged["frames"] == parsed["frames"]
+            break
+        else:
+            raise AssertionError("no text reaches the place of the tag")
+
+
 def test_damage_is_skipped_and_seen():
     media = mpegaudio.store(b"payload" * 2100)
     whole = mpegaudio.parse(media)
