@@ -9,7 +9,8 @@ several passes over the documents beyond that, so that the broadcast's size
 is bounded whatever the benchmark's.
 
 Defined cases: null and empty texts have no words and no hits; items without
-words have no windows; repeated items count once per item_id; repeated rows are
+words have no windows; repeated items count once per item_id; items without
+item_id hit like others and count as one more item, absent from ``items``; repeated rows are
 judged row by row; columns other than those named pass through untouched.
 """
 
@@ -60,7 +61,7 @@ class NgramSet:
     """Windows of a block of items, by length: a bitmap to reject, then exact words to verify."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        self.windows: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.windows: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             ws = words(text)
             n = min(size, len(ws))
@@ -94,12 +95,12 @@ def _set(key: str, block: Broadcast, size: int) -> NgramSet:
 def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[tuple[int, int, Broadcast]]:
     """(number, count, items) of broadcasts of about ``block_words`` words each, one after the other."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("t")).filter("item IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("t")).filter("t IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 2  # a word and its blank take two bytes at least
     count = max(1, -(-total // block_words))
     for i in range(count):
         rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == i).distinct().toLocalIterator()
-        yield i, count, spark.sparkContext.broadcast(tuple(sorted((r.item, bytes(r.t)) for r in rows)))
+        yield i, count, spark.sparkContext.broadcast(tuple(sorted(((r.item, bytes(r.t)) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1]))))
 
 
 SPANS = "array<struct<start:int,n:int,items:array<string>>>"
@@ -109,7 +110,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("items",
 def _scanner(block: Broadcast, key: str, size: int):
     def scan(texts: pa.Array) -> pa.Array:
         found = _set(key, block, size)
-        return pa.array([[(i, n, sorted(items)) for i, n, items in found.scan(words(t))] for t in common.utf8(texts)], _SPANS)
+        return pa.array([[(i, n, sorted(items, key=lambda x: (x is None, x or ""))) for i, n, items in found.scan(words(t))] for t in common.utf8(texts)], _SPANS)
 
     return scan
 
@@ -141,8 +142,8 @@ def measure(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             hit = np.zeros(len(ws), bool)
             for h in hits:
                 hit[h["start"] : h["start"] + h["n"]] = True
-            items = sorted({x for h in hits for x in h["items"]})
-            rows.append((len(ws), int(hit.sum()), len(items), items))
+            items = {x for h in hits for x in h["items"]}
+            rows.append((len(ws), int(hit.sum()), len(items), sorted(items - {None})))
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string()))]))
 
     text = options.get("text", "text")
@@ -198,8 +199,8 @@ def brute_force(documents: list[tuple[int, str | None]], items: list[tuple[int,
                 for p in range(len(ws) - n + 1):
                     if ws[p : p + n] == iw[i : i + n]:
                         hit |= set(range(p, p + n))
-                        found.add(str(item))
-        out[doc] = (len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+                        found.add(None if item is None else str(item))
+        out[doc] = (len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit))
     return out
 
 

@@ -21,6 +21,21 @@ def test_decontamination_is_brute_force(documents, texts, items):
     assert by_id(decontaminate.op1_decontaminate(documents, table)) == decontaminate.brute_force(texts, rows)
 
 
+def test_items_without_id_hit(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, "so " + passage), (2, "nothing of it"), (3, passage + " and other words")]
+    rows = [(None, passage), (None, "and other words"), (7, "eleven and other")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
+    got = by_id(decontaminate.op1_decontaminate(*tables))
+    assert got == decontaminate.brute_force(docs, rows) and [got[d][:3] for d in (1, 2, 3)] == [(12, 11, 1), (3, 0, 0), (14, 14, 2)]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.execute("CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", rows)
+    assert {r[0]: r[1:] for r in con.execute(decontaminate.SQL).fetchall()} == got
+
+
 def test_decontamination_in_blocks_is_the_same(documents, items):
     _, table = items
     whole = decontaminate.measure(documents, table).drop("items").collect()
