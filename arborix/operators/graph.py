@@ -45,3 +45,14 @@ def spine(nodes: DataFrame, group: str = "skel_id") -> DataFrame:
     """(group, leaf, hops): the deepest node below a root, the end of the longest path from it; of equals the least."""
     deepest = roots_by_doubling(nodes, group).groupBy(group).agg(F.max(F.struct("hops", (-F.col("node_id")).alias("n"))).alias("m"))
     return deepest.select(group, (-F.col("m.n")).alias("leaf"), F.col("m.hops").alias("hops"))
+
+
+def resampled(nodes: DataFrame, step: float, group: str = "skel_id") -> DataFrame:
+    """(group, node_id, x, y, z): points along each edge at most ``step`` apart, from the parent (excluded) to the node; nodes without parent stay."""
+    parents = nodes.select(group, F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in "xyz"])
+    joined = nodes.select(group, "node_id", "parent_id", *"xyz").join(parents, [group, "parent_id"], "left")
+    d = [F.col(c) - F.col(f"p_{c}") for c in "xyz"]
+    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    steps = F.coalesce(F.greatest(F.lit(1), F.ceil(length / F.lit(float(step)) - F.lit(1e-9)).cast("int")), F.lit(1))
+    placed = joined.withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return placed.select(group, "node_id", *[F.coalesce(F.col(f"p_{c}") + d[k] * (F.col("i") / F.col("n")), F.col(c)).alias(c) for k, c in enumerate("xyz")])

@@ -27,13 +27,22 @@ def renamed(points: DataFrame, prefix: str) -> DataFrame:
     return points.select(*[F.col(c).alias(f"{prefix}{c}") if c in "xyz" else F.col(c) for c in points.columns])
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, *, strict: bool = False) -> DataFrame:
-    """Pairs of points (x, y, z) within the radius, with d2; coordinates become l_x ... r_z."""
-    a = renamed(left, "l_").withColumns({f"__c{k}": c for k, c in enumerate(cells(radius, "l_"))})
-    around = F.array(*[F.struct(*[F.lit(d).cast("long").alias(f"d{k}") for k, d in enumerate(ds)]) for ds in itertools.product((-1, 0, 1), repeat=3)])
-    b = renamed(right, "r_").withColumn("__d", F.explode(around))
-    b = b.withColumns({f"__c{k}": c + F.col(f"__d.d{k}") for k, c in enumerate(cells(radius, "r_"))}).drop("__d")
-    near = a.join(b, ["__c0", "__c1", "__c2"]).drop("__c0", "__c1", "__c2").withColumn("d2", squared("l_", "r_"))
+def around() -> Column:
+    """The steps to a cell and its 26 neighbours."""
+    return F.array(*[F.struct(*[F.lit(d).cast("long").alias(f"d{k}") for k, d in enumerate(ds)]) for ds in itertools.product((-1, 0, 1), repeat=3)])
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius: float, *, strict: bool = False, copy: str = "left") -> DataFrame:
+    """Pairs of points (x, y, z) within the radius, with d2; coordinates become l_x ... r_z. ``copy`` names the side
+    (the smaller one: targets, as a rule) whose points are filed under 27 cells."""
+    sides = {}
+    for side, points in (("left", left), ("right", right)):
+        prefix, at = f"{side[0]}_", renamed(points, f"{side[0]}_")
+        if side == copy:
+            at = at.withColumn("__d", F.explode(around()))
+        steps = [F.col(f"__d.d{k}") if side == copy else F.lit(0) for k in range(3)]
+        sides[side] = at.withColumns({f"__c{k}": c + steps[k] for k, c in enumerate(cells(radius, prefix))}).drop("__d")
+    near = sides["left"].join(sides["right"], ["__c0", "__c1", "__c2"]).drop("__c0", "__c1", "__c2").withColumn("d2", squared("l_", "r_"))
     limit = F.lit(float(radius) * float(radius))
     return near.filter(F.col("d2") < limit if strict else F.col("d2") <= limit)
 
@@ -58,7 +67,7 @@ def all_distances(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
 
 def near_points(points: DataFrame, of: DataFrame, radius: float, key: list[str]) -> DataFrame:
     """Extra: points with any point of the other side within the radius."""
-    return points.join(radius_join(points, of, radius).select(*key).distinct(), key, "left_semi")
+    return points.join(radius_join(points, of, radius, copy="right").select(*key).distinct(), key, "left_semi")
 
 
 def checked_lookup(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:

@@ -16,8 +16,44 @@ from pyspark.sql import functions as F
 XYZ = ["x", "y", "z"]
 
 
+#: Distances that are held at once.
+BLOCK = 1 << 21
+
+
 def distances2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances of all pairs; callers hand over blocks of ``a``."""
+    out = (a[:, None, 0] - b[None, :, 0]) ** 2
+    for c in range(1, a.shape[1]):
+        out += (a[:, None, c] - b[None, :, c]) ** 2
+    return out
+
+
+def blocks(a: np.ndarray, b: np.ndarray):
+    """(first row, distances of a block of rows to all of b)."""
+    step = max(1, BLOCK // max(1, len(b)))
+    for k in range(0, len(a), step):
+        yield k, distances2(a[k : k + step], b)
+
+
+def near_pairs(em: np.ndarray, frag: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target point, fragment point, squared distance) within the radius, sorted by target point, then from near to far."""
+    found = []
+    for k, d2 in blocks(em, frag):
+        e, f = np.nonzero(d2 <= radius * radius)
+        found.append((e + k, f, d2[e, f]))
+    e, f, d2 = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((f, d2, e))
+    return e[order], f[order], d2[order]
+
+
+def place_within(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its first key, in the order of the others."""
+    order = np.lexsort(keys[::-1])
+    first = keys[0][order]
+    starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.zeros(0, np.int64)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return out
 
 
 # ---- coverage ----------------------------------------------------------------
@@ -30,35 +66,31 @@ def greedy_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6,
     leaves; those it gave up and those it kept look for another point in the
     next round, until a round covers nothing new.
     """
-    r2 = radius * radius
-    if not len(frag) or not len(em):
-        return np.zeros(0, np.int64)
-    d2 = distances2(em, frag)
-    alive = d2.min(axis=0) < r2
-    owner = d2.argmin(axis=1)
-    dist = d2[np.arange(len(em)), owner]
-    covered = np.zeros(len(em), bool)
+    e, f, d2 = near_pairs(em, frag, radius)
+    inside = d2 < radius * radius
+    e, f, d2 = e[inside], f[inside], d2[inside]
+    at = np.searchsorted(e, np.arange(len(em)))  # each target point's nearest pair that is left
+    end = np.searchsorted(e, np.arange(len(em)), "right")
+    left, covered = np.zeros(len(frag), bool), np.zeros(len(em), bool)
     for _ in range(int(radius / step + 1)):
-        if not alive.any():
-            break
-        mine = (dist < r2) & alive[owner]
-        full = np.bincount(owner[mine], minlength=len(frag)) > cap
-        crowd = np.flatnonzero(mine & full[owner])
-        if len(crowd):
-            crowd = crowd[np.lexsort((crowd, dist[crowd], owner[crowd]))]
-            first = np.flatnonzero(np.concatenate([[True], owner[crowd][1:] != owner[crowd][:-1]]))
-            place = np.arange(len(crowd)) - np.repeat(first, np.diff(np.append(first, len(crowd))))
-            dist[crowd[place >= cap]] = 100 * r2
-        now = dist < r2
-        if not (now & ~covered).any():
+        mine = np.flatnonzero(at < end)
+        owner = f[at[mine]]
+        full = np.bincount(owner, minlength=len(frag)) > cap
+        crowd = full[owner]
+        kept = ~crowd
+        kept[crowd] = place_within(owner[crowd], d2[at[mine]][crowd], mine[crowd]) < cap
+        now = mine[kept]
+        if covered[now].all():
             break
-        covered |= now
-        if not len(crowd):
+        covered[now] = True
+        if not crowd.any():
             break
-        alive &= ~full
-        d2[:, full] = 100 * r2
-        owner[crowd] = d2[crowd].argmin(axis=1)
-        dist = d2[np.arange(len(em)), owner]
+        left |= full
+        todo = mine[crowd]
+        while len(todo):  # on to the next point that has not left
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+            todo = todo[left[f[at[todo]]]]
     return np.flatnonzero(covered)
 
 
@@ -69,52 +101,51 @@ def optimal_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6,
     Target points enter one after the other along a cheapest augmenting path, which keeps the assignment optimal.
     ``near``: how many nearest partners are candidates, of each fragment point or of each target point.
     """
-    if not len(frag) or not len(em):
-        return np.zeros(0, np.int64)
-    d2 = distances2(em, frag)
-    inside = d2 <= radius * radius
-    rank = d2.argsort(axis=0, kind="stable").argsort(axis=0) if by_fragment else d2.argsort(axis=1, kind="stable").argsort(axis=1)
-    edge = inside & (rank < near)
-    cost = d2 - radius * radius if squared else np.sqrt(d2) - radius
-    choice, load = np.full(len(em), -1), np.zeros(len(frag), int)
+    e, f, d2 = near_pairs(em, frag, radius)
+    able = (place_within(f, d2, e) if by_fragment else place_within(e, d2, f)) < near
+    e, f, d2 = e[able], f[able], d2[able]
+    partners: list[dict[int, float]] = [{} for _ in range(len(em))]
+    for a, b, c in zip(e.tolist(), f.tolist(), (d2 - radius * radius if squared else np.sqrt(d2) - radius).tolist(), strict=True):
+        partners[a][b] = c
+    choice, takers = [-1] * len(em), {b: set() for b in set(f.tolist())}
     for start in range(len(em)):
         # label-correcting search over target points; a point may also end up without a partner, at cost 0
         best, via, queue = {start: 0.0}, {}, [(0.0, start)]
         end, end_cost = None, -1e-12
         while queue:
-            c, e = heapq.heappop(queue)
-            if c > best[e] + 1e-12:
+            c, x = heapq.heappop(queue)
+            if c > best[x] + 1e-12:
                 continue
-            if e != start and c < end_cost:
-                end, end_cost = (e, -1), c
-            for f in np.flatnonzero(edge[e]).tolist():
-                if choice[e] == f:
+            if x != start and c < end_cost:
+                end, end_cost = (x, -1), c
+            for b, cost in partners[x].items():
+                if choice[x] == b:
                     continue
-                at_f = c + cost[e, f]
-                if load[f] < cap:
-                    if at_f < end_cost:
-                        end, end_cost = (e, f), at_f
+                at_b = c + cost
+                if len(takers[b]) < cap:
+                    if at_b < end_cost:
+                        end, end_cost = (x, b), at_b
                     continue
-                for other in np.flatnonzero(choice == f).tolist():
-                    new = at_f - cost[other, f]
+                for other in sorted(takers[b]):
+                    new = at_b - partners[other][b]
                     if new < best.get(other, np.inf) - 1e-12:
-                        best[other], via[other] = new, (e, f)
+                        best[other], via[other] = new, (x, b)
                         heapq.heappush(queue, (new, other))
         if end is None:
             continue
-        e, f = end
-        if f >= 0:
-            load[f] += 1
-        elif choice[e] >= 0:
-            load[choice[e]] -= 1
-        path = [(e, f)]
-        while e != start:
-            e, f = via[e]
-            path.append((e, f))
-        for e, f in path:
-            choice[e] = f
-        load = np.bincount(choice[choice >= 0], minlength=len(frag))
-    return np.flatnonzero(choice >= 0)
+        x, b = end
+        path = [(x, b)]
+        while x != start:
+            x, b = via[x]
+            path.append((x, b))
+        for x, _ in path:
+            if choice[x] >= 0:
+                takers[choice[x]].discard(x)
+        for x, b in path:
+            choice[x] = b
+            if b >= 0:
+                takers[b].add(x)
+    return np.flatnonzero(np.array(choice) >= 0)
 
 
 def cover(em: np.ndarray, frag: np.ndarray, radius: float, *, version: str = "", cap: int = 6, step: float = 1.0) -> np.ndarray:
@@ -131,13 +162,28 @@ def cover(em: np.ndarray, frag: np.ndarray, radius: float, *, version: str = "",
     return optimal_cover(em, frag, radius, cap, squared=squared, near=near, by_fragment=by_fragment)
 
 
-def coverage(em_points: DataFrame, frag_points: DataFrame, radius: float, *, keys: tuple[str, ...] = ("lm_vol", "frag_id"), version: str = "", cap: int = 6, step: float = 1.0) -> DataFrame:
-    """(em_id, keys, em_pt) of covered points: one group for each target and fragment that are near at all."""
-    from .joins import radius_join
+def coverage(em_points: DataFrame, frag_points: DataFrame, radius: float, *, keys: tuple[str, ...] = ("lm_vol", "frag_id"), version: str = "", cap: int = 6, step: float = 1.0, pairs: DataFrame | None = None) -> DataFrame:
+    """(em_id, keys, em_pt) of covered points: one group for each target and fragment that are near at all, and among ``pairs``
+    (em_id, keys) if these are given.
 
-    types, group = dict(em_points.dtypes) | dict(frag_points.dtypes), ["em_id", *keys]
-    near = radius_join(em_points.select("em_id", "em_pt", *XYZ), frag_points.select(*keys, "fp", *XYZ), radius)
-    packed = near.groupBy(*group).agg(F.sort_array(F.collect_set(F.struct("em_pt", "l_x", "l_y", "l_z"))).alias("em"), F.sort_array(F.collect_set(F.struct("fp", "r_x", "r_y", "r_z"))).alias("frag"))
+    Which points are near is told by cells, as wide as the radius: a target's different cells, with those around them, meet a
+    fragment's different cells, and each side's points follow their cells. So what is joined are cells, not pairs of points,
+    and a group holds the points of either side whose cells touch.
+    """
+    from .joins import around, cells
+
+    types, group, cell = dict(em_points.dtypes) | dict(frag_points.dtypes), ["em_id", *keys], ["c0", "c1", "c2"]
+    placed = lambda df, *ids: df.select(*ids, *XYZ, *[c.alias(n) for c, n in zip(cells(radius), cell, strict=True)])
+    em, frag = placed(em_points, "em_id", "em_pt"), placed(frag_points, *keys, "fp")
+    beside = em.select("em_id", *cell).distinct().withColumn("d", F.explode(around()))  # the targets are the small side
+    beside = beside.select("em_id", F.struct(*cell).alias("own"), *[(F.col(c) + F.col(f"d.d{k}")).alias(c) for k, c in enumerate(cell)])
+    touching = beside.join(frag.select(*keys, *cell).distinct(), cell)
+    if pairs is not None:
+        touching = touching.join(pairs.select(*group).distinct(), group, "left_semi")
+    pack = lambda df, name, point: df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(point, *XYZ))).alias(name))
+    em_side = em.join(touching.select(*group, "own.*").distinct(), ["em_id", *cell])
+    frag_side = frag.join(touching.select(*group, *cell).distinct(), [*keys, *cell])
+    packed = pack(em_side, "em", "em_pt").join(pack(frag_side, "frag", "fp"), group)
 
     def run(batches):
         for pdf in batches:
@@ -246,37 +292,26 @@ def depth_first(ids: list[int], parents: list[int]) -> list[tuple[int, int, int]
     return out
 
 
-def resampled(xyz: np.ndarray, parents: list[int], step: float) -> np.ndarray:
-    """Points (x, y, z, node) along each edge at most ``step`` apart; the ends of edges stay."""
-    out = []
-    for k, p in enumerate(parents):
-        if p < 0:
-            out.append([*xyz[k], k])
-            continue
-        n = max(1, int(np.ceil(np.linalg.norm(xyz[k] - xyz[p]) / step - 1e-9)))
-        out += [[*(xyz[p] + (xyz[k] - xyz[p]) * (i / n)), k] for i in range(1, n + 1)]
-    return np.array(out, float).reshape(-1, 4)
-
-
 def tangents(xyz: np.ndarray, k: int = 5) -> np.ndarray:
     """Unit direction at each point: the main axis of its k nearest points, itself included."""
     out, k = np.zeros_like(xyz), min(k, len(xyz))
-    for a in range(0, len(xyz), 256):  # blocks: no matrix of all pairs
-        near = np.argpartition(distances2(xyz[a : a + 256], xyz), k - 1, axis=1)[:, :k]
+    for a, d2 in blocks(xyz, xyz):
+        near = np.argpartition(d2, k - 1, axis=1)[:, :k]
         local = xyz[near] - xyz[near].mean(axis=1, keepdims=True)
         _, vectors = np.linalg.eigh(local.transpose(0, 2, 1) @ local)
         axis = vectors[:, :, 2]
         sign = np.sign(axis[np.arange(len(axis)), np.abs(axis).argmax(axis=1)])
-        out[a : a + 256] = axis * sign[:, None]
+        out[a : a + len(d2)] = axis * sign[:, None]
     return out
 
 
 def pair_score(query: np.ndarray, target: np.ndarray, table: np.ndarray, distances: np.ndarray, angles: np.ndarray) -> float:
     """Mean over the query's points (x, y, z, tangent) of the table's score for the distance to the nearest target point and the angle between tangents."""
-    d2 = distances2(query[:, :3], target[:, :3])
-    near = d2.argmin(axis=1)
+    near, d2 = np.zeros(len(query), np.int64), np.zeros(len(query))
+    for k, some in blocks(query[:, :3], target[:, :3]):
+        near[k : k + len(some)], d2[k : k + len(some)] = some.argmin(axis=1), some.min(axis=1)
     dot = np.abs((query[:, 3:] * target[near, 3:]).sum(axis=1))
-    row = np.clip(np.searchsorted(distances, np.sqrt(d2[np.arange(len(query)), near]), "right") - 1, 0, len(table) - 1)
+    row = np.clip(np.searchsorted(distances, np.sqrt(d2), "right") - 1, 0, len(table) - 1)
     column = np.clip(np.searchsorted(angles, dot, "right") - 1, 0, table.shape[1] - 1)
     return float(table[row, column].mean())
 
@@ -304,15 +339,6 @@ def relabel(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["skel_id"].iloc[0], *r) for r in rows], columns=["skel_id", "node_id", "new_id", "new_parent"])
 
 
-def resample(step: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {n: k for k, n in enumerate(pdf["node_id"])}
-        p = resampled(pdf[XYZ].to_numpy(float), [place.get(q, -1) for q in pdf["parent_id"]], step)
-        return pd.DataFrame({"skel_id": pdf["skel_id"].iloc[0], "node_id": pdf["node_id"].to_numpy()[p[:, 3].astype(int)], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
-
-    return run
-
-
 def dotprops(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = tangents(pdf[XYZ].to_numpy(float), k)
@@ -321,27 +347,30 @@ def dotprops(k: int):
     return run
 
 
-def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distances: np.ndarray, angles: np.ndarray, block: int = 1000) -> DataFrame:
+def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distances: np.ndarray, angles: np.ndarray, block: int = 200_000) -> DataFrame:
     """(query, target, score) of every query against every target, both (skel_id, x ... tz).
 
-    The targets come in blocks of at most ``block`` skeletons, each broadcast on
-    its own; the queries, the larger side, stay where they are.
+    Skeletons are dealt to blocks of about ``block`` points on either side; each pair of blocks is a group of its own, so
+    that no task holds more than two blocks, and nothing passes the driver.
     """
-    spark, cols = queries.sparkSession, [*XYZ, "tx", "ty", "tz"]
-    pack = lambda t: t.groupBy("skel_id").agg(F.collect_list(F.struct(*cols)).alias("p"))
-    unpack = lambda p: np.array([[r[c] for c in cols] for r in p], float)
-    packed, out = pack(queries), None
-    count = targets.select("skel_id").distinct().count()
-    blocks = max(1, -(-count // block))
-    for k in range(blocks):
-        part = pack(targets.filter(F.pmod(F.xxhash64("skel_id"), F.lit(blocks)) == k)).collect()
-        held = spark.sparkContext.broadcast([(r["skel_id"], unpack(r["p"])) for r in part])
-
-        def run(batches, held=held):
-            for pdf in batches:
-                rows = [(q, t, pair_score(a, b, table, distances, angles)) for q, a in ((q, unpack(p)) for q, p in zip(pdf["skel_id"], pdf["p"], strict=True)) for t, b in held.value]
-                yield pd.DataFrame(rows, columns=["query", "target", "score"])
-
-        one = packed.mapInPandas(run, "query long, target long, score double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    cols = [*XYZ, "tx", "ty", "tz"]
+    count = lambda df: max(1, -(-df.count() // block))
+    n, m = count(queries), count(targets)
+    number = lambda size: F.pmod(F.xxhash64("skel_id"), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    a = queries.select("skel_id", *cols, number(n).alias("qb")).withColumn("tb", every(m))
+    # columns of its own on each side: both may come from one table
+    b = targets.select(F.col("skel_id").alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in cols], number(m).alias("t_block")).withColumn("q_block", every(n))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = [(t, p[[f"t_{c}" for c in cols]].to_numpy(float)) for t, p in right.groupby("t_id")]
+        rows = [(q, t, pair_score(x, y, table, distances, angles)) for q, x in ((q, p[cols].to_numpy(float)) for q, p in left.groupby("skel_id")) for t, y in held]
+        return pd.DataFrame(rows, columns=["query", "target", "score"])
+
+    return a.groupBy("qb", "tb").cogroup(b.groupBy("q_block", "t_block")).applyInPandas(run, "query long, target long, score double")
+
+
+def normalized(scores: DataFrame) -> DataFrame:
+    """(query, target, score) divided by what the query scores against itself, which must be among the rows."""
+    own = scores.filter("query = target").select("query", F.col("score").alias("own"))
+    return scores.join(own, "query").select("query", "target", (F.col("score") / F.col("own")).alias("score"))

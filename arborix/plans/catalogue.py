@@ -103,8 +103,7 @@ def src3_swc_folder(swc):
     nodes = swc.select(F.col("skel_id").cast("string").alias("skel"), "node_id", F.lit(0).alias("node_type"), *[F.floor(c).cast("double").alias(c) for c in "xyz"], F.lit(1.0).alias("diameter"), "parent_id")
     path = files.work_folder(swc.sparkSession, "swc")
     files.write_swc(nodes, path)
-    read = files.parse_swc(swc.sparkSession.read.text(path))
-    return read.groupBy(F.col("skel").cast("string").alias("skel")).agg(F.count("*").alias("nodes"), long(F.sum("node_id")).alias("ids"), F.sum("x").alias("x"))
+    return files.read_swc(swc.sparkSession, path).groupBy("skel").agg(F.count("*").alias("nodes"), long(F.sum("node_id")).alias("ids"), F.sum("x").alias("x"))
 
 
 def _score_documents(scores):
@@ -885,16 +884,31 @@ for _name, _version in (("jo7_greedy_coverage", ""), ("jo8_optimal_v1", "ilp_v1"
     QUERIES[_name] = lambda spark, sf_dir, f=_coverage_kernel(_version): f(view(spark, sf_dir, "em_point"), view(spark, sf_dir, "frag_point"))
 
 
+#: A table of scores that falls with distance and rises with alignment.
+_DISTANCES, _ANGLES = np.array([0.0, 2, 5, 10, 20, 40, 80]), np.linspace(0, 0.9, 10)
+_TABLE = np.linspace(1, -1, len(_DISTANCES))[:, None] * np.linspace(0.5, 1, len(_ANGLES))[None]
+_DOTPROPS = "skel_id long, node_id long, x double, y double, z double, tx double, ty double, tz double"
+
+
+def _similarity(queries, targets):
+    return K.similarity(queries, targets, _TABLE, _DISTANCES, _ANGLES)
+
+
+def _all_pairs(swc):
+    d = K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)
+    return _similarity(d, d)
+
+
 @query(None, "swc")
 def jo10_similarity(swc):
-    """Every skeleton against every other, with a table that falls with distance and rises with alignment."""
-    distances, angles = np.array([0.0, 2, 5, 10, 20, 40, 80]), np.linspace(0, 0.9, 10)
-    table = np.linspace(1, -1, len(distances))[:, None] * np.linspace(0.5, 1, len(angles))[None]
-    d = K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)
-    return K.similarity(d, d, table, distances, angles)
+    """Every skeleton against every other."""
+    return _all_pairs(swc)
 
 
-_DOTPROPS = "skel_id long, node_id int, x double, y double, z double, tx double, ty double, tz double"
+@query(None, "swc")
+def jo10_normalized(swc):
+    """The same, divided by a skeleton's score against itself."""
+    return K.normalized(files.read_back(_all_pairs(swc), "pairs"))
 
 
 @query(None, "voxel")
@@ -912,14 +926,29 @@ def gr2_pruned(swc):
     return K.per_skeleton(swc, K.prune(60.0, 3), "skel_id long, node_id int")
 
 
-@query(None, "swc")
+_RELABEL = """e AS (SELECT a.skel_id, a.node_id AS a, b.node_id AS b FROM swc a JOIN swc b ON a.skel_id = b.skel_id AND (a.parent_id = b.node_id OR b.parent_id = a.node_id)),
+    s AS (SELECT skel_id, coalesce(min(a) FILTER (WHERE degree = 1), min(a)) AS a FROM (SELECT skel_id, a, count(*) AS degree FROM e GROUP BY 1, 2) GROUP BY 1),
+    v AS (SELECT skel_id, a AS n, -1 AS prev, printf('%09d', a) AS path FROM s
+          UNION ALL SELECT v.skel_id, e.b, v.n, v.path || printf('%09d', e.b) FROM v JOIN e ON e.skel_id = v.skel_id AND e.a = v.n AND e.b <> v.prev),
+    o AS (SELECT skel_id, n AS node_id, prev, CAST(row_number() OVER (PARTITION BY skel_id ORDER BY path) AS INT) AS new_id FROM v),
+    r AS (SELECT o.skel_id, o.node_id, o.new_id, coalesce(p.new_id, -1) AS new_parent FROM o LEFT JOIN o p ON p.skel_id = o.skel_id AND p.node_id = o.prev)"""
+
+
+@query(f"WITH RECURSIVE {_RELABEL} SELECT CAST(skel_id AS BIGINT) AS skel_id, node_id, new_id, new_parent FROM r", "swc")
 def gr3_relabelled(swc):
     return K.per_skeleton(swc, K.relabel, "skel_id long, node_id int, new_id int, new_parent int")
 
 
-@query(None, "swc")
+@query(
+    """WITH e AS (SELECT s.skel_id, s.node_id, s.x, s.y, s.z, p.x AS px, p.y AS py, p.z AS pz, greatest(1, CAST(ceil(sqrt((s.x-p.x)*(s.x-p.x)+(s.y-p.y)*(s.y-p.y)+(s.z-p.z)*(s.z-p.z)) / 10.0e0 - 1e-9) AS INT)) AS n
+               FROM swc s JOIN swc p ON p.skel_id = s.skel_id AND p.node_id = s.parent_id),
+    i AS (SELECT *, unnest(range(1, n + 1)) AS i FROM e)
+    SELECT skel_id, node_id, px + (x-px) * (i / n) AS x, py + (y-py) * (i / n) AS y, pz + (z-pz) * (i / n) AS z FROM i
+    UNION ALL SELECT skel_id, node_id, x, y, z FROM swc s WHERE NOT EXISTS (SELECT 1 FROM swc p WHERE p.skel_id = s.skel_id AND p.node_id = s.parent_id)""",
+    "swc",
+)
 def gr6_resampled(swc):
-    return K.per_skeleton(swc, K.resample(10.0), "skel_id long, node_id int, x double, y double, z double")
+    return G.resampled(swc, 10.0)
 
 
 @query(None, "swc")
@@ -927,15 +956,15 @@ def gr8_dotprops(swc):
     return K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)
 
 
-@query(None, "swc")
+@query(f"WITH RECURSIVE {_RELABEL} SELECT CAST(r.skel_id AS VARCHAR) AS skel, r.new_id AS node_id, s.x, s.y, s.z, r.new_parent AS parent_id FROM r JOIN swc s ON s.skel_id = r.skel_id AND s.node_id = r.node_id", "swc")
 def snk1_write_swc(swc):
-    """Relabelled skeletons written as text, a folder each, and read back."""
+    """Relabelled skeletons written as text, a file each, and read back."""
     new = K.per_skeleton(swc, K.relabel, "skel_id long, node_id int, new_id int, new_parent int")
     rows = new.join(swc.select("skel_id", "node_id", "x", "y", "z"), ["skel_id", "node_id"])
     nodes = rows.select(F.col("skel_id").cast("string").alias("skel"), F.col("new_id").alias("node_id"), F.lit(0).alias("node_type"), "x", "y", "z", F.lit(1.0).alias("diameter"), F.col("new_parent").alias("parent_id"))
     path = files.work_folder(swc.sparkSession, "written")
     files.write_swc(nodes, path)
-    return files.parse_swc(swc.sparkSession.read.text(path)).select(F.col("skel").cast("string").alias("skel"), "node_id", "x", "y", "z", "parent_id")
+    return files.read_swc(swc.sparkSession, path).select("skel", "node_id", "x", "y", "z", "parent_id")
 
 
 def _entries(spark, sf_dir, clustering: str):
@@ -1047,13 +1076,20 @@ def gr2_pruned_once(swc):
 
 @query(None, direct=True)
 def e2e_search(spark, sf_dir):
-    """The whole search on the derived points, with scores that depend on the ids and a mirrored second side."""
-    em, normal = view(spark, sf_dir, "em_point"), view(spark, sf_dir, "frag_point")
+    """The whole search on the derived points and a mirrored second side: fragments scored against each target and against the
+    target without its short branches, then filtered, covered, matched and ranked."""
+    em, normal, swc = (view(spark, sf_dir, name) for name in ("em_point", "frag_point", "swc"))
     flipped = normal.withColumn("x", S.mirrored(F.col("x"), 0))
     frags = normal.withColumn("side", F.lit("normal")).unionByName(flipped.withColumn("side", F.lit("flipped")))
-    sizes = frags.groupBy("side", "lm_vol", "frag_id").agg(F.count("*").alias("frag_points"))
-    number = lambda m: ((F.col("frag_id") * m + F.col("lm_vol") * 3 + F.col("em_id")) % 20) / F.lit(10.0) - F.lit(0.8)
-    scores = em.select("em_id").distinct().crossJoin(F.broadcast(sizes)).select("em_id", "side", "lm_vol", "frag_id", "frag_points", number(7).alias("score_full"), number(11).alias("score_pruned"))
+    key = ("side", "lm_vol", "frag_id")
+    sizes = frags.groupBy(*key).agg(F.count("*").alias("frag_points")).withColumn("query", F.xxhash64(*key))
+    queries = K.per_skeleton(frags.select(F.xxhash64(*key).alias("skel_id"), F.col("fp").cast("long").alias("node_id"), *"xyz"), K.dotprops(3), _DOTPROPS)
+    queries = files.read_back(queries, "queries")  # once for both forms of the targets
+    whole = em.select(F.col("em_id").cast("long").alias("skel_id"), F.col("em_pt").cast("long").alias("node_id"), *"xyz")
+    left = K.per_skeleton(swc, K.prune(60.0, 3), "skel_id long, node_id long")
+    scored = lambda targets, name: _similarity(queries, K.per_skeleton(targets, K.dotprops(5), _DOTPROPS)).withColumnRenamed("score", name)
+    scores = scored(whole, "score_full").join(scored(whole.join(left, ["skel_id", "node_id"], "left_semi"), "score_pruned"), ["query", "target"], "left")
+    scores = scores.join(sizes, "query").select(F.col("target").cast("int").alias("em_id"), *key, "frag_points", "score_full", F.coalesce("score_pruned", F.lit(-1.0)).alias("score_pruned"))
     channel = lambda m: ((F.col("frag_id") * m + F.col("lm_vol")) % 255 + 1).cast("double")
     colors = normal.select("lm_vol", "frag_id").distinct().select("lm_vol", "frag_id", channel(37).alias("r"), channel(91).alias("g"), channel(53).alias("b"))
-    return search.ranked(search.entries(scores, em, frags, colors))
+    return search.ranked(search.entries(files.read_back(scores, "scores"), em, frags, colors))

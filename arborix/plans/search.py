@@ -63,9 +63,8 @@ def covered_points(candidates_: DataFrame, em_points: DataFrame, frag_points: Da
     """(em_id, side, lm_vol, frag_id, em_pt, seg_len) of the points that candidates cover."""
     weighted = A.rescaled_weights(em_points, "em_id", "seg_len")
     pairs = candidates_.select("em_id", "side", "lm_vol", "frag_id")
-    wanted = frag_points.join(pairs.select("side", "lm_vol", "frag_id").distinct(), ["side", "lm_vol", "frag_id"], "left_semi")
-    covered = K.coverage(weighted, wanted, options.radius, keys=("side", "lm_vol", "frag_id"), version=options.coverage, cap=options.cap, step=options.step)
-    return covered.join(pairs, ["em_id", "side", "lm_vol", "frag_id"], "left_semi").join(weighted.select("em_id", "em_pt", "seg_len"), ["em_id", "em_pt"])
+    covered = K.coverage(weighted, frag_points, options.radius, keys=("side", "lm_vol", "frag_id"), version=options.coverage, cap=options.cap, step=options.step, pairs=pairs)
+    return covered.join(weighted.select("em_id", "em_pt", "seg_len"), ["em_id", "em_pt"])
 
 
 def scored_fragments(candidates_: DataFrame, covered: DataFrame, points: DataFrame, options: SearchOptions, score: str) -> DataFrame:

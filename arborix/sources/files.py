@@ -5,10 +5,11 @@ Documents are parsed by schema; nothing that is read is ever evaluated as code.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +18,39 @@ from ..schemas import COLORS, SCORES
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared folder that the session names; a temporary one only where it names none."""
+    """A new folder in the shared folder that the session names, removed when the driver's JVM ends. Only a session of one
+    machine that names none gets a temporary one."""
     base, current = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base and current.isDefined():
         base = current.get()
     elif not base:
+        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="arborix-")
         spark.sparkContext.setCheckpointDir(base)
-        atexit.register(remove, spark, base)
+        remove_on_exit(spark, base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    remove_on_exit(spark, path)
     return path
 
 
+def remove_on_exit(spark: SparkSession, path: str) -> None:
+    """Whether the session was stopped before or not. The folder is left for its writer to create."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    fs.delete(where, True)  # the name stays on the list
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended
-        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, as executors see it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
 def parse_swc(lines: DataFrame, *, line: str = "value", factor: float = 1.0, strict: bool = False) -> DataFrame:
@@ -66,9 +81,32 @@ def swc_lines(nodes: DataFrame) -> Column:
 
 
 def write_swc(nodes: DataFrame, path: str) -> None:
-    """One folder for each ``skel``, its nodes in order of id."""
-    lines = nodes.withColumn("value", swc_lines(nodes))
-    lines.repartition("skel").sortWithinPartitions("skel", "node_id").select("skel", "value").write.partitionBy("skel").text(path)
+    """A file ``<skel>.swc`` for each skeleton, its nodes in order of id. Files appear whole, so a repeated task does no harm."""
+    lines = nodes.select(F.col("skel").cast("string").alias("skel"), "node_id", swc_lines(nodes).alias("value"))
+
+    def run(batches):
+        fs, base = folder_of(path)
+        fs.create_dir(base, recursive=True)
+        name, out, part, n = None, None, "", 0
+
+        def finish():
+            out.close()
+            fs.move(part, f"{base}/{name}.swc")
+            return pa.record_batch({"skel": pa.array([name]), "nodes": pa.array([n], pa.int64())})
+
+        for batch in batches:
+            for skel, value in zip(batch.column("skel").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if skel != name:
+                    if out is not None:
+                        yield finish()
+                    name, part, n = skel, f"{base}/_{skel}-{uuid.uuid4().hex}", 0
+                    out = fs.open_output_stream(part)
+                out.write(value.encode() + b"\n")
+                n += 1
+        if out is not None:
+            yield finish()
+
+    lines.repartition("skel").sortWithinPartitions("skel", "node_id").mapInArrow(run, "skel string, nodes long").agg(F.sum("nodes")).collect()
 
 
 def parse_scores(documents: DataFrame, column: str = "value") -> DataFrame:

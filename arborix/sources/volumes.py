@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 
@@ -19,11 +20,42 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import remove
+from .files import folder_of, remove
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+#: Codecs of a Blosc frame, by their number in its flags; the first, its own, is not among them.
+BLOSC = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
+
+
+def unblosc(data: bytes) -> bytes:
+    """The bytes of a Blosc frame: a header of 16 bytes, where each block begins, and each block's streams, its bytes dealt by their place in an item."""
+    flags, size = data[2], data[3]
+    total, block, _ = struct.unpack("<III", data[4:16])
+    if flags & 2:  # stored as they are
+        return data[16 : 16 + total]
+    codec = BLOSC.get(flags >> 5)
+    if codec is None or flags & 4:
+        raise ValueError("Blosc frames of its own codec or with shuffled bits cannot be read")
+    count, out = -(-total // block), []
+    for k, at in enumerate(struct.unpack(f"<{count}I", data[16 : 16 + 4 * count])):
+        n = min(block, total - k * block)
+        streams = size if not flags & 16 and size <= 16 and n == block and block // size >= 128 else 1
+        parts = []
+        for _ in range(streams):
+            packed, want = struct.unpack("<i", data[at : at + 4])[0], n // streams
+            piece = data[at + 4 : at + 4 + packed]
+            parts.append(piece if packed == want else unpacked(piece, codec, want))
+            at += 4 + packed
+        whole = b"".join(parts)
+        if flags & 1 and size > 1:
+            items = n // size * size
+            whole = np.frombuffer(whole[:items], np.uint8).reshape(size, -1).T.tobytes() + whole[items:]
+        out.append(whole)
+    return b"".join(out)
+
+
+def unpacked(data: bytes, codec: str, size: int) -> bytes:
+    return zlib.decompress(data) if codec == "zlib" else pa.decompress(data, size, codec, asbytes=True)
 
 
 def decompressed(data: bytes, kind: str | None) -> bytes:
@@ -35,6 +67,10 @@ def decompressed(data: bytes, kind: str | None) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    if kind == "lz4":  # the size stands before the block
+        return pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], "lz4_raw", asbytes=True)
+    if kind == "blosc":
+        return unblosc(data)
     raise ValueError(f"chunks compressed by {kind!r} cannot be read")
 
 
@@ -88,7 +124,7 @@ def load_raw(spark: SparkSession, path: str, key: str = "volumes/raw") -> DataFr
 
 def write_zarr(voxels: DataFrame, path: str, key: str, axes: list[str], value: str, shape: list[int], chunks: list[int], dtype: str = "<u8") -> bool:
     """Writes values other than 0 as a gzip-compressed array; leaves an array that is there alone and returns False."""
-    fs, base = file_system(f"{path}/{key}")
+    fs, base = folder_of(f"{path}/{key}")
     if fs.get_file_info(f"{base}/.zarray").type != pafs.FileType.NotFound:
         return False
     fs.create_dir(base, recursive=True)
@@ -99,7 +135,7 @@ def write_zarr(voxels: DataFrame, path: str, key: str, axes: list[str], value: s
         out = np.zeros(chunks, dtype)
         corner = [int(pdf[n].iloc[0]) for n in names]
         out[tuple(pdf[a].to_numpy() - c * n for a, c, n in zip(axes, corner, chunks, strict=True))] = pdf[value].to_numpy()
-        store, folder = file_system(f"{path}/{key}")
+        store, folder = folder_of(f"{path}/{key}")
         final, draft = f"{folder}/{'.'.join(map(str, corner))}", f"{folder}/.{uuid.uuid4().hex}"
         packed = zlib.compressobj(5, zlib.DEFLATED, 31)
         with store.open_output_stream(draft, compression=None) as f:
@@ -114,14 +150,30 @@ def write_zarr(voxels: DataFrame, path: str, key: str, axes: list[str], value: s
     return True
 
 
-def load_hdf(path: str, key: str) -> np.ndarray:
-    """A dataset of an HDF5 file on the driver, where the library for it is installed."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("HDF5 needs h5py; convert the file to zarr or Parquet") from e
-    with h5py.File(path, "r") as f:
-        return f[key][()]
+def read_hdf(spark: SparkSession, path: str, key: str, slab: int = 1 << 22) -> DataFrame:
+    """(file, at, value) of the values other than 0 of a dataset of each HDF5 file of a folder: a file is one task's work, read
+    by slabs of its first axis. Needs h5py on the executors."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(batches):
+        try:
+            import h5py
+        except ImportError as e:
+            raise RuntimeError("HDF5 needs h5py; convert the files to zarr or Parquet") from e
+        for batch in batches:
+            for where in batch.column(0).to_pylist():
+                fs, name = folder_of(where)
+                with fs.open_input_file(name) as source, h5py.File(source, "r") as f:
+                    data = f[key]
+                    step = max(1, slab // max(1, int(np.prod(data.shape[1:]))))
+                    for a in range(0, data.shape[0], step):
+                        block = np.asarray(data[a : a + step])
+                        at = np.argwhere(block)
+                        values = block[tuple(at.T)].astype(np.int64)
+                        at[:, 0] += a
+                        yield pa.record_batch({"file": pa.array([where.rsplit("/", 1)[-1]] * len(at), pa.string()), "at": pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), "value": values})
+
+    return files.repartition(max(1, files.count())).mapInArrow(run, "file string, at array<int>, value long")
 
 
 def cached(table: DataFrame, path: str) -> DataFrame:

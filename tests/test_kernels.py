@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from arborix.operators import graph
 from arborix.operators import kernels as K
 from arborix.operators import selection as SEL
 
@@ -81,6 +82,34 @@ def test_optimal_cover_is_optimal(seed):
     assert only == pytest.approx(best)
 
 
+@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize(("squared", "near", "by_fragment", "cap"), [(True, 2, False, 2), (False, 3, True, 2), (False, 50, True, 1)])
+def test_optimal_forms_are_optimal(seed, squared, near, by_fragment, cap):
+    rng = np.random.default_rng(seed)
+    em, frag = rng.uniform(0, 6, (rng.integers(1, 7), 3)), rng.uniform(0, 6, (rng.integers(1, 4), 3))
+    d2 = K.distances2(em, frag)
+    edge = d2 <= 16.0
+    for row in range(len(em)) if not by_fragment else range(len(frag)):  # the nearest partners only
+        line = d2[row] if not by_fragment else d2[:, row]
+        far = [k for nth, k in enumerate(sorted(range(len(line)), key=lambda k: (line[k], k))) if nth >= near]
+        if by_fragment:
+            edge[far, row] = False
+        else:
+            edge[row, far] = False
+    cost = d2 - 16.0 if squared else np.sqrt(d2) - 4.0
+    got = K.optimal_cover(em, frag, 4.0, cap, squared=squared, near=near, by_fragment=by_fragment)
+    best = best_by_enumeration(cost, edge, cap)
+    assert (best_by_enumeration(cost[got], edge[got], cap) if len(got) else 0.0) == pytest.approx(best)
+
+
+def test_near_pairs_in_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    em, frag = rng.uniform(0, 30, (50, 3)), rng.uniform(0, 30, (40, 3))
+    whole, cover = K.near_pairs(em, frag, 9.0), K.greedy_cover(em, frag, 9.0, 2).tolist()
+    monkeypatch.setattr(K, "BLOCK", 100)
+    assert all((a == b).all() for a, b in zip(whole, K.near_pairs(em, frag, 9.0))) and K.greedy_cover(em, frag, 9.0, 2).tolist() == cover
+
+
 def test_conflict_covers_once():
     assert len(K.optimal_cover(np.zeros((1, 3)), np.ones((2, 3)), 3.0, 1, squared=False, near=5, by_fragment=True)) == 1
 
@@ -111,9 +140,10 @@ def test_relabel_of_two_components():
     assert [r[1] for r in rows] == [1, 2, 3, 4] and [r[2] for r in rows] == [-1, 1, -1, 3]
 
 
-def test_resample_steps():
-    p = K.resampled(np.array([[0, 0, 0], [10, 0, 0]], float), [-1, 0], 2.5)
-    assert p[:, 0].tolist() == [0, 2.5, 5, 7.5, 10]
+def test_resample_steps(spark):
+    nodes = spark.createDataFrame([(7, 1, -1, 0.0, 0.0, 0.0), (7, 2, 1, 10.0, 0.0, 0.0), (7, 3, 9, 1.0, 1.0, 1.0)], "skel_id long, node_id int, parent_id int, x double, y double, z double")
+    rows = sorted((r.node_id, r.x) for r in graph.resampled(nodes, 2.5).collect())
+    assert rows == [(1, 0.0), (2, 2.5), (2, 5.0), (2, 7.5), (2, 10.0), (3, 1.0)]
 
 
 def test_tangents_of_a_line():

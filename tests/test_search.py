@@ -90,8 +90,76 @@ def test_zarr_in_other_forms(spark, tmp_path):
     got = {(r.z, r.y, r.x): r.label for r in volumes.load_labels(spark, f"file://{tmp_path}/v").collect()}
     want = {(z, y, x): int(block[z % 2, y, x] + z // 2) for z in range(3) for y in range(3) for x in range(4)}
     assert got == {k: v for k, v in want.items() if v}
-    with pytest.raises(RuntimeError):
-        volumes.load_hdf("x.h5", "volumes/raw")
+
+
+def blosc_frame(data: bytes, size: int, block: int, codec: str, shuffle: bool, split: bool) -> bytes:
+    """A frame as the format says, for reading back."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    pack = {"lz4": lambda b: pa.compress(b, "lz4_raw", asbytes=True), "zlib": zlib.compress, "zstd": lambda b: pa.compress(b, "zstd", asbytes=True), "snappy": lambda b: pa.compress(b, "snappy", asbytes=True)}[codec]
+    number = {"lz4": 1, "snappy": 2, "zlib": 3, "zstd": 4}[codec]
+    bodies = []
+    for a in range(0, len(data), block):
+        part = data[a : a + block]
+        if shuffle:
+            part = np.frombuffer(part, np.uint8).reshape(-1, size).T.tobytes()
+        streams = size if split and len(part) == block and block // size >= 128 else 1
+        pieces = [part[k * len(part) // streams : (k + 1) * len(part) // streams] for k in range(streams)]
+        packed = [c if len(c := pack(p)) < len(p) else p for p in pieces]
+        bodies.append(b"".join(struct.pack("<i", len(c)) + c for c in packed))
+    starts, at = [], 16 + 4 * len(bodies)
+    for b in bodies:
+        starts.append(at)
+        at += len(b)
+    flags = number << 5 | (0 if split else 16) | shuffle
+    return struct.pack("<BBBBIII", 2, 1, flags, size, len(data), block, at) + struct.pack(f"<{len(starts)}I", *starts) + b"".join(bodies)
+
+
+@pytest.mark.parametrize("codec", ["lz4", "zlib", "zstd", "snappy"])
+@pytest.mark.parametrize(("shuffle", "split"), [(True, True), (False, True), (True, False)])
+def test_blosc_frames(codec, shuffle, split):
+    data = np.concatenate([np.arange(3000), np.random.default_rng(1).integers(0, 9, 1500)]).astype("<u8").tobytes()
+    for block in (4096, 8192, len(data)):
+        assert volumes.decompressed(blosc_frame(data, 8, block, codec, shuffle, split), "blosc") == data
+    stored = bytes([2, 1, 1 << 5 | 2, 8]) + len(data).to_bytes(4, "little") + len(data).to_bytes(4, "little") + (len(data) + 16).to_bytes(4, "little") + data
+    assert volumes.decompressed(stored, "blosc") == data
+
+
+def test_zarr_of_blosc_chunks(spark, tmp_path):
+    import json
+
+    block = np.arange(24, dtype="<u2").reshape(2, 3, 4)
+    folder = tmp_path / "v" / "volumes"
+    folder.mkdir(parents=True)
+    (folder / "0.0.0").write_bytes(blosc_frame(block.tobytes(), 2, 48, "lz4", True, True))
+    (folder / ".zarray").write_text(json.dumps({"shape": [2, 3, 4], "chunks": [2, 3, 4], "dtype": "<u2", "compressor": {"id": "blosc", "cname": "lz4"}, "order": "C", "filters": None}))
+    got = {(r.z, r.y, r.x): r.label for r in volumes.load_labels(spark, f"file://{tmp_path}/v").collect()}
+    assert got == {tuple(map(int, at)): int(block[tuple(at)]) for at in np.argwhere(block)}
+
+
+def test_hdf_needs_its_library(spark, tmp_path):
+    pytest.importorskip("pyarrow")
+    (tmp_path / "x.h5").write_bytes(b"")
+    try:
+        import h5py
+    except ImportError:
+        with pytest.raises(Exception, match="h5py"):
+            volumes.read_hdf(spark, f"file://{tmp_path}", "volumes/raw").collect()
+        return
+    with h5py.File(tmp_path / "x.h5", "w") as f:
+        f["volumes/raw"] = np.arange(24).reshape(2, 3, 4)
+    assert volumes.read_hdf(spark, f"file://{tmp_path}", "volumes/raw", slab=4).count() == 23
+
+
+def test_skeleton_files_have_names(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"S{s}_{s + 1}", n, 0, n * 1.5, 0.0, 2.0, 1.0, n - 1 if n > 1 else -1) for s in range(5) for n in range(1, 9)], "skel string, node_id int, node_type int, x double, y double, z double, diameter double, parent_id int")
+    files.write_swc(nodes, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"S{s}_{s + 1}.swc" for s in range(5)]
+    read = files.read_swc(spark, f"file://{tmp_path}/out").select(nodes.columns)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, nodes.collect()))
 
 
 def test_skeleton_of_a_tube_is_its_axis():
