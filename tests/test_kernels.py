@@ -1,6 +1,7 @@
 """Kernels against hand cases and slow twins."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,6 +168,55 @@ def test_short_twigs_weigh_their_length():
     assert (w > 0).all() and w[twigs[0]] < w[10]
 
 
+def slow_weights(parents, last=5, chop=50):
+    """Peeling restated with lists: runs of nodes, the shortest that ends in a tip goes first."""
+    rest, weight, peeled = [(k, p - 1 if p > 0 else -1) for k, p in enumerate(parents)], [0.0] * len(parents), 1.0
+    while rest:
+        children = Counter(p for _, p in rest)
+        runs = []
+        for node, p in rest:
+            if p == -1 or children[p] > 1:
+                runs.append([])
+            runs[-1].append(node)
+        if len(runs) <= last:
+            ends = [min(len(r) + 1, chop) for r in runs]
+            for node, _ in rest:
+                weight[node] = max(peeled, (len(rest) - sum(ends)) / len(runs))
+            for r, n in zip(runs, ends):
+                for node in range(r[-1] - n, r[-1] + 1):
+                    weight[node] = n
+            return weight
+        shortest = min((r for r in runs if children[r[-1]] < 2), key=len)
+        peeled = float(len(shortest) + 1)
+        for node in shortest:
+            weight[node] = peeled
+        rest = [(node, p) for node, p in rest if node not in shortest]
+    return weight
+
+
+def tree_in_file_order(rng, n):
+    """Parents, 1-based, of a random tree in depth-first order with some long unbranched stretches."""
+    children = {0: []}
+    for k in range(1, n):
+        at = k - 1 if rng.random() < 0.8 else int(rng.integers(0, k))
+        children[at].append(k)
+        children[k] = []
+    out, number, stack = [], {}, [(0, -1)]
+    while stack:
+        node, parent = stack.pop()
+        number[node] = len(out) + 1
+        out.append(parent)
+        stack += [(c, number[node]) for c in reversed(children[node])]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_weights_like_their_twin(seed):
+    rng = np.random.default_rng(seed)
+    parents = tree_in_file_order(rng, int(rng.integers(2, 200)))
+    assert K.peeled_weights(np.array(parents)).tolist() == slow_weights(parents)
+
+
 def test_similarity_of_itself_is_best():
     rng = np.random.default_rng(0)
     p = rng.uniform(0, 100, (20, 3))
