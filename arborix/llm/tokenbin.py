@@ -9,15 +9,14 @@ done: what a lost or repeated task leaves behind is in no manifest. Prefix sums
 over the manifest, one row a file, give each file's base, and thereby every
 document's place in the whole.
 
-Defined cases: null and empty texts consist of the end id alone; the texts of
-special tokens are ordinary text; repeated doc_ids stand next to each other, in
+Defined cases: null and empty texts consist of the end id alone; special tokens
+in a text are what the library's plain call makes of them; repeated doc_ids stand next to each other, in
 the order of their texts' hashes; an empty table gives an empty manifest. Null
 doc_ids come first.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -36,8 +35,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Null doc_ids in an index.
 NO_ID = -(1 << 63)
-#: Pieces that a worker remembers.
-REMEMBERED = 250_000
+#: Words that a worker remembers in each of two generations.
+GENERATION = 120_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,13 +51,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
 
+class Irregular(ValueError):
+    """A text that may not be cut at its blanks."""
+
+
 class Encoder(dict):
-    """A byte-level BPE from the tokenizers library, with a memory: piece -> ids as bytes.
+    """A byte-level BPE from the tokenizers library, with a memory: word -> ids, as bytes, of the word after a blank.
+
+    A blank between two characters that are not white space begins a pre-token in any case, so the ids of a regular
+    text (its blanks all stand so) are those of its words, one after the other. Words of letters only are one pre-token
+    and go straight to the model; a point or comma after a letter or digit, and a line feed inside a word, are cut off as
+    pre-tokens of their own; all else takes the whole way, as do texts that are not regular or hold a special token.
 
-    A piece is one or more whole pre-tokens (see ``pieces``), so its ids do not
-    depend on what stands around it. Pieces of letters only, with or without a
-    blank before them, are one pre-token and go straight to the model; the
-    others take the whole way.
+    The memory has two generations: what is asked for moves to the young one, and when that is full it becomes the old
+    one and the words that were not asked for since are forgotten. Keys that begin with a blank stand for words that
+    have none before them.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -68,37 +75,56 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"  # of arrays of that width
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out = array(self.code, ids).tobytes()
-        if len(self) < REMEMBERED:  # a full memory stays as it is
-            self[piece] = out
+        self.marks, self.line = {c: self.whole(c) for c in ".,"}, self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        """The library's plain call."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        plain = word.startswith(" ")
+        letters = word[1:] if plain else word
+        if letters.isalpha():
+            if letters.isascii():
+                spelt = letters if plain else "Ġ" + letters
+            else:
+                spelt = (letters if plain else " " + letters).encode().decode("latin-1").translate(self.letters)
+            return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if not letters or letters[0].isspace() or letters[-1].isspace():
+            raise Irregular
+        return self.whole(letters if plain else " " + letters)
+
+    def __missing__(self, word: str) -> bytes:
+        if (mark := self.marks.get(word[-1:])) is not None and word[-2:-1].isalnum():
+            return self[word[:-1]] + mark  # parts are remembered, not the whole
+        out = self.old.get(word)
+        if out is None:
+            if "\n" in word:
+                first, *rest = word.split("\n")
+                return self[first] + b"".join([self.line + self[" " + r] for r in rest])
+            out = self._new(word)
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, pieces(text))) if text else b""
-
-
-#: White space beside a blank or line feed, and points and commas that do not follow a letter or digit.
-IRREGULAR = re.compile(r"\s[ \n]|[ \n]\s|[^\w][.,]|_[.,]|\0")
-BREAK = re.compile(r"(?<=\S) (?=\S)")
-
-
-def pieces(text: str) -> list[str]:
-    """A text cut where a pre-token begins in any case: before a blank between two characters that are not
-    white space, and in regular texts around single line feeds and before a point or comma after a letter or digit."""
-    if text[0] in " \n.," or text[-1] in " \n" or IRREGULAR.search(text):
-        first, *rest = BREAK.split(text)
-        return [first, *[" " + p for p in rest]]
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
+        """The ids of a whole text."""
+        if not text:
+            return b""
+        if not any(s in text for s in self.special):
+            first, *words = text.split(" ")
+            try:
+                return self[" " + first] + b"".join(map(self.__getitem__, words))
+            except Irregular:
+                pass
+        return self.whole(text)
 
 
 @lru_cache(maxsize=1)
@@ -106,6 +132,9 @@ def encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, dtype)
 
 
+common.held("tokens", encoder.cache_clear)
+
+
 @lru_cache(maxsize=8)
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
@@ -126,7 +155,6 @@ def _writer(folder: str, path: str, dtype: str, end_id: int, file_tokens: int):
     """A task's documents (doc_id, text), in order -> files and their manifest rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
         fs, base = file_system(folder)
         enc, end, width = encoder(path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         ids, ends, out, n, name = [], [], None, 0, ""
@@ -165,7 +193,6 @@ def _writer(folder: str, path: str, dtype: str, end_id: int, file_tokens: int):
 def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID, file_tokens: int = 8_000_000) -> DataFrame:
     """Writes the files into ``folder``; the manifest (also written there) gives each file its number, base and first document."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     path = vocabulary or vocabulary_path()
     dtype = "<u2" if max(vocabulary_size(path) - 1, end_id) < 1 << 16 else "<u4"
     fs, base = file_system(folder)
@@ -173,7 +200,7 @@ def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: st
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    written = ranged.select("doc_id", "text").mapInArrow(_writer(folder, path, dtype, end_id, file_tokens), MANIFEST)
+    written = common.arrow_stream("tokens", ranged.select("doc_id", "text"), _writer(folder, path, dtype, end_id, file_tokens), MANIFEST)
     numbered = written.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id(), "dtype": F.lit(dtype)})
     numbered.write.parquet(f"{folder}/files")  # once: the files exist from here on
     files = spark.read.parquet(f"{folder}/files")
@@ -210,7 +237,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.record_batch([doc, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array([width] * len(rows), pa.int32()), rows], names=["doc_id", "start", "n_tokens", "width", "ids"])
 
     count = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.repartition(count, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, width int, ids binary")
+    return common.arrow_stream("tokens", manifest.repartition(count, "file"), run, "doc_id long, start long, n_tokens long, width int, ids binary")
 
 
 def mapped(fs: pafs.FileSystem, path: str):
@@ -257,13 +284,13 @@ def op3_token_binary(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     folder = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(documents, folder)
-    common.atexit.register(common.delete, spark, folder)
+    common.delete_on_exit(spark, folder)
 
     def digest(width: pa.Array, ids: pa.Array) -> pa.Array:
         kinds = {2: "<u2", 4: "<u4"}
         return pa.array([zlib.crc32(np.frombuffer(b, kinds[w]).astype("<u4").tobytes()) for w, b in zip(width.to_pylist(), ids.to_pylist(), strict=True)], pa.int64())
 
-    return read(spark, folder).select("doc_id", "start", "n_tokens", F.arrow_udf(digest, "long")("width", "ids").alias("ids_crc32"))
+    return read(spark, folder).select("doc_id", "start", "n_tokens", common.arrow_udf("tokens", digest, "long")("width", "ids").alias("ids_crc32"))
 
 
 def brute_force(documents: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int]]:
@@ -271,7 +298,6 @@ def brute_force(documents: list[tuple[int, str | None]]) -> dict[int, tuple[int,
     from tokenizers import Tokenizer
 
     tokenizer, at, out = Tokenizer.from_file(vocabulary_path()), 0, {}
-    tokenizer.encode_special_tokens = True
     for doc, text in sorted(documents):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, END_ID]
         out[doc] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
