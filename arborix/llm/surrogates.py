@@ -5,15 +5,25 @@ canonical form, gets one surrogate for the whole table, drawn by a keyed digest:
 digits become digits and letters letters, card numbers keep their check digit
 right (or wrong), addresses stay addresses, and names keep title, gender and
 script. So the same entity has the same surrogate in every document and however
-it is written (``+1 (389) 555-5010`` and ``+1 389 555 5010``), and a surname is
-the same with and without given name. A table of all surrogates is checked:
-where two entities drew the same, or one drew a real entity, all but the first
-draw again, until every surrogate is distinct. Then each text is cut at its
+it is written (``+1 (389) 555-5010`` and ``+1 389 555 5010``).
+
+Persons are found by their titles, and then, in the same document, wherever
+their names stand without one. A given name's gender is that of the title;
+where a person (given name and surname) has a title of one gender anywhere in
+the table, it is theirs wherever they stand with another title or none. A
+surname is the same with and without given name.
+
+A table of all surrogates is checked: where two entities drew the same, or one
+drew a real entity, all but the first draw again, until every surrogate is
+distinct; from the fourth attempt on surrogates get longer within their format,
+so that short entities run out of no surrogates. Then each text is cut at its
 entities and joined again around their surrogates.
 
 Defined cases: null texts stay null and have no entities; texts without
 entities are untouched; repeated rows get equal texts; an empty table gives an
-empty result.
+empty result; with titles of both genders a person's other mentions are of none;
+columns named like a result are replaced. A table that after ``ATTEMPTS`` rounds
+still has two entities with one surrogate is an error.
 """
 
 from __future__ import annotations
@@ -47,7 +57,7 @@ TITLES = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-NAME = r"\p{Lu}[\p{L}'’-]+"
+NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"
 TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.?"
 #: In order: of two that begin at the same place, the first counts.
 PATTERNS = {
@@ -100,18 +110,43 @@ def gender_of(value: Column) -> Column:
     return F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("x")
 
 
-def parts_of(value: Column, kind: Column) -> Column:
-    """The (kind, canonical) pairs that make up an entity: a name's parts are entities of their own."""
-    names = F.split(F.regexp_replace(value, rf"^{TITLE}\s", ""), r"\s")
-    surname = F.element_at(names, -1)
-    pair = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    last = pair(F.concat(F.lit("surname_"), script_of(surname)), surname)
-    first = pair(F.concat(F.lit("given_"), gender_of(value), F.lit("_"), script_of(names[0])), names[0])
-    return F.when(kind != "person", F.array(pair(kind, canonical(value, kind)))).when(F.size(names) > 1, F.array(first, last)).otherwise(F.array(last))
+def names_of(value: Column) -> Column:
+    return F.split(F.regexp_replace(value, rf"^{TITLE}\s", ""), r"\s")
 
 
-def matches_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def parts_of(each: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(mark, len, key, kind, value) from (mark, len, m, kind): what to draw for each entity of a text. ``key`` is how the text asks for it."""
+    plain = canonical(F.col("m"), F.col("kind"))
+    others = each.filter("kind <> 'person'").select("mark", "len", F.concat_ws("|", "kind", plain).alias("key"), "kind", plain.alias("value"))
+    names = names_of(F.col("m"))
+    persons = each.filter("kind = 'person'").select("mark", "len", gender_of(F.col("m")).alias("gender"), F.when(F.size(names) > 1, names[0]).alias("given"), F.element_at(names, -1).alias("surname"))
+    persons = scratch.save(persons.distinct(), "persons")
+    surnames = persons.select("mark", "len", F.concat_ws("|", F.lit("surname"), "surname").alias("key"), F.concat(F.lit("surname_"), script_of(F.col("surname"))).alias("kind"), F.col("surname").alias("value"))
+    full = persons.filter("given IS NOT NULL")
+    known = scratch.save(full.groupBy("given", "surname").agg(F.bool_or(F.col("gender") == "f").alias("f"), F.bool_or(F.col("gender") == "m").alias("m")), "genders")
+    sure = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m")
+    told = full.join(known.hint("merge"), ["given", "surname"]).withColumns({"own": F.coalesce(sure, "gender"), "other": F.coalesce(sure, F.lit("x"))})
+    first = lambda df, gender, *key: df.select("mark", "len", F.concat_ws("|", F.lit("given"), *key).alias("key"), F.concat_ws("_", F.lit("given"), gender, script_of(F.col("given"))).alias("kind"), F.col("given").alias("value"))
+    alone = told.groupBy("mark", "len", "given").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    titled = first(told, F.col("own"), "gender", "given", "surname")
+    untitled = first(told, F.col("other"), F.lit("-"), "given", "surname")
+    bare = first(alone, F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("x"), F.lit("-"), "given", F.lit(""))
+    return others.unionByName(surnames).unionByName(titled).unionByName(untitled).unionByName(bare).distinct()
+
+
+def names_pattern(known: Column) -> Column:
+    """The names of a text's persons, wherever they stand alone; null if there are none. Names consist of letters, apostrophes and hyphens."""
+    keys = F.map_keys(known)
+    last = F.filter(F.transform(keys, lambda k: F.when(k.startswith("surname|"), F.substring_index(k, "|", -1))), lambda n: n.isNotNull())
+    given = F.filter(F.transform(keys, lambda k: F.when(k.rlike(r"^given\|-\|[^|]*\|$"), F.substring_index(F.substring_index(k, "|", 3), "|", -1))), lambda n: n.isNotNull())
+    longest = lambda names: F.array_join(F.reverse(F.array_sort(names)), "|")  # noqa: E731  a name before those it begins with
+    full = F.when(F.size(given) > 0, F.concat(F.lit("(?:"), longest(given), F.lit(r")\s(?:"), longest(last), F.lit(")|"))).otherwise("")
+    either = longest(F.concat(last, given))
+    return F.when(F.size(last) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), full, F.lit("(?:"), either, F.lit(r"))(?![\p{L}\p{N}])")))
+
+
+def matches_of(text: Column, pattern: Column | None = None) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN) if pattern is None else pattern, F.lit(0))
 
 
 def stream(key: str, kind: Column, value: Column, attempt: Column, size: Column) -> Column:
@@ -156,15 +191,20 @@ def pick(names: list[str], hexes: Column, at: int) -> Column:
 
 
 def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical entity at an attempt; later attempts at a name take double names, then spell new ones."""
-    size = F.greatest(F.length(value), F.lit(32))
+    """The surrogate of a canonical entity at an attempt; later attempts at a name take double names, then spell new ones,
+    and with each further four attempts all but addresses of machines are a letter or digit longer."""
+    grown = F.floor(attempt / 4).cast("int")
+    right = luhn(value) % 10 == 0
+    drawn_from = F.when(kind == "email", F.concat(F.repeat(F.lit("a"), grown), value)).when(kind.isin("card", "ssn", "phone", "iban"), F.concat(value, F.repeat(F.lit("1"), grown))).otherwise(F.concat(value, F.repeat(F.lit("a"), grown)))
+    size = F.greatest(F.length(value) + grown, F.lit(32))
     hexes = stream(key, kind, value, attempt, size)
+    value = drawn_from
     general = like(value, hexes)
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     domain = F.concat(like(F.substring_index(host, ".", 1), F.reverse(hexes)), F.lit(".example."), pick(["com", "net", "org"], hexes, 3))
     body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(general, F.lit(2), F.length(value) - 2))
     check = (10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    wrong = F.when(luhn(value) % 10 == 0, 0).otherwise(byte_at(hexes, F.lit(31)) % 9 + 1)
+    wrong = F.when(right, 0).otherwise(byte_at(hexes, F.lit(31)) % 9 + 1)
     octets = F.concat_ws(".", *[(byte_at(hexes, F.lit(k)) % (223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
     code = F.when(F.substr(value, F.lit(1), F.lit(1)) == "1", F.lit(1)).otherwise(F.lit(2))  # the country's digits stay
     phone = F.concat(F.substr(value, F.lit(1), code), F.substr(general, code + 1, F.length(value)))
@@ -179,84 +219,96 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     )
     for names, prefix in ((GIVEN, "given_"), (SURNAMES, "surname_")):
         for group, some in names.items():
-            spelt = F.concat(pick(some, hexes, 0), F.lit("-"), pick(some, hexes, 1), F.lit("-"), F.initcap(like(F.lit("abcdefgh"), hexes)))
+            spelt = F.concat(pick(some, hexes, 0), F.lit("-"), pick(some, hexes, 1), F.lit("-"), F.initcap(like(F.concat(F.lit("abcdefgh"), F.repeat(F.lit("a"), grown)), hexes)))
             name = F.when(attempt == 0, pick(some, hexes, 0)).when(attempt < 4, F.concat(pick(some, hexes, 0), F.lit("-"), pick(some, hexes, 1))).otherwise(spelt)
             out = out.when(kind == f"{prefix}{group}", name)
     return out.otherwise(general)
 
 
+#: Rounds of drawing: by then surrogates are 16 letters or digits longer, and only addresses of machines can have run out.
+ATTEMPTS = 64
+
+
 def surrogate_table(entities: DataFrame, key: str, scratch: common.Scratch) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value), all surrogates of a kind distinct and none an entity."""
     name = lambda kind: F.substring_index(kind, "_", 1)  # noqa: E731  given names of all genders are one kind here
-    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(entities)
     # drawing costs far more than the rows are long: by their bytes alone Spark would give them to a few tasks
     dealt = entities.repartition(parts, F.xxhash64("kind", "value"))
     drawn = scratch.save(dealt.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("attempt"))), "drawn0")
-    real, k = entities.select(name(F.col("kind")).alias("k"), F.col("value").alias("surrogate")).distinct(), 0
-    while True:
+    real = entities.select(name(F.col("kind")).alias("k"), F.col("value").alias("surrogate")).distinct()
+    for k in range(ATTEMPTS):
         named = drawn.withColumn("k", name(F.col("kind")))
         first = named.groupBy("k", "surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n"))
         clash = first.filter("n > 1").select("k", "surrogate", "first")
         again = named.join(clash, ["k", "surrogate"]).filter(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value")
         taken = named.join(real, ["k", "surrogate"], "left_semi").select("kind", "value")
-        # after many attempts a secret or name of a letter or two may have no free surrogate: it then grows
         redo = scratch.save(again.unionByName(taken).distinct().withColumn("redo", F.lit(True)), f"redo{k}")
         if redo.isEmpty():
             return drawn.select("kind", "value", "surrogate")
-        k += 1
-        next_ = F.col("attempt") + F.when(F.col("redo"), 1).otherwise(0)
-        longer = F.concat(F.col("value"), F.repeat(F.lit("a"), F.floor(F.col("attempt") / 8).cast("int")))
-        moved = drawn.join(redo, ["kind", "value"], "left").withColumn("attempt", next_)
-        redrawn = F.when(F.col("redo"), draw(key, F.col("kind"), F.when(F.col("kind").isin("secret"), longer).otherwise(F.col("value")), F.col("attempt"))).otherwise(F.col("surrogate"))
-        drawn = scratch.save(moved.withColumn("surrogate", redrawn).drop("redo"), f"drawn{k}")
+        moved = drawn.join(redo, ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("redo"), 1).otherwise(0))
+        redrawn = F.when(F.col("redo"), draw(key, F.col("kind"), F.col("value"), F.col("attempt"))).otherwise(F.col("surrogate"))
+        drawn = scratch.save(moved.withColumn("surrogate", redrawn).drop("redo"), f"drawn{k + 1}")
+        scratch.drop(f"drawn{k}", f"redo{k}")
+    raise RuntimeError(f"entities still share surrogates after {ATTEMPTS} attempts")
 
 
 def in_format(value: Column, surrogate: Column) -> Column:
-    """A canonical surrogate of digits and letters, with the other characters of the entity where they stood."""
-    step = F.aggregate(
+    """A canonical surrogate of digits and letters, with the other characters of the entity where they stood; what is longer follows."""
+    return F.aggregate(
         F.split(value, "(?!^)(?=.)"),
         F.struct(F.lit("").alias("s"), F.lit(1).alias("k")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["s"], F.substr(surrogate, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
-        lambda a: a["s"],
+        lambda a: F.concat(a["s"], F.substr(surrogate, a["k"], F.length(surrogate))),
     )
-    return step
 
 
-def replaced(text: Column, known: Column) -> Column:
-    """The text around its entities' surrogates; known: map from kind|canonical to surrogate."""
+def asked(m: Column, known: Column) -> Column:
+    """(kind, what stands for it) of an entity found in a text; known: map from key to surrogate."""
+    kind, names = kind_of(m), names_of(m)
+    titled = m.rlike(rf"^{TITLE}\s")
+    gender = F.when(titled, gender_of(m)).otherwise("-")
+    look = lambda *key: F.element_at(known, F.concat_ws("|", *key))
+    last = look(F.lit("surname"), F.element_at(names, -1))
+    both = F.concat(look(F.lit("given"), gender, names[0], F.element_at(names, -1)), F.lit(" "), last)
+    person = F.when(F.size(names) > 1, F.concat(title_of(m), both)).when(titled, F.concat(title_of(m), last)).otherwise(F.coalesce(last, look(F.lit("given"), F.lit("-"), names[0], F.lit(""))))
+    other = look(kind, canonical(m, kind))
+    formatted = F.when(kind.isin("card", "ssn", "phone", "iban"), in_format(m, other)).otherwise(other)
+    is_person = titled | other.isNull()
+    return F.struct(F.when(is_person, "person").otherwise(kind).alias("kind"), F.coalesce(F.when(is_person, person).otherwise(formatted), m).alias("new"))
 
-    def one(m: Column) -> Column:
-        kind = kind_of(m)
-        found = F.transform(parts_of(m, kind), lambda p: F.element_at(known, F.concat_ws("|", p["kind"], p["value"])))
-        return F.when(kind == "person", F.concat(title_of(m), F.array_join(found, " "))).when(kind.isin("card", "ssn", "phone", "iban"), in_format(m, found[0])).otherwise(found[0])
 
-    between = F.split(text, PATTERN, -1)
-    new = F.concat(F.transform(matches_of(text), one), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
+def replaced(text: Column, known: Column) -> Column:
+    """(text around its entities' surrogates, kinds of the entities)."""
+    pattern = F.coalesce(F.concat(F.lit(f"(?:{PATTERN})|(?:"), names_pattern(known), F.lit(")")), F.lit(PATTERN))
+    found = F.transform(matches_of(text, pattern), lambda m: asked(m, known))
+    # each step once: an array of one
+    cut = F.transform(F.array(F.struct(F.split(text, pattern, -1).alias("between"), found.alias("found"))), lambda r: F.struct(
+        F.array_join(F.zip_with(r["between"], F.concat(F.transform(r["found"], lambda e: e["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"),
+        F.transform(r["found"], lambda e: e["kind"]).alias("kinds"),
+    ))
+    return cut[0]
 
 
 def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surrogates") -> DataFrame:
     """Documents with their text's entities replaced and a column n_<kind> for each kind; columns of these names are replaced."""
     spark = documents.sparkSession
-    scratch = common.Scratch(spark, "pii")
     body = F.col(f"`{text}`")
-    found = documents.select(body.alias("t")).withColumn("m", matches_of(F.col("t"))).filter(F.size("m") > 0)
-    # a text is known by its hash and length: copies share one row of surrogates
-    each = found.select(F.xxhash64("t").alias("mark"), F.length("t").alias("len"), F.explode(F.array_distinct("m")).alias("m")).withColumn("kind", kind_of(F.col("m")))
-    parts = each.select("mark", "len", F.explode(parts_of(F.col("m"), F.col("kind"))).alias("p")).select("mark", "len", "p.kind", "p.value").distinct()
-    parts = scratch.save(parts, "parts")
-    names = surrogate_table(parts.select("kind", "value").distinct(), key, scratch)
-    pairs = F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))
-    maps = parts.join(names, ["kind", "value"]).groupBy(F.col("mark").alias("__mark"), F.col("len").alias("__len")).agg(F.map_from_entries(pairs).alias("__known"))
-    maps = scratch.save(maps, "maps")
-    common.atexit.register(scratch.close)
+    with common.Scratch(spark, "pii") as scratch:
+        found = documents.select(body.alias("t")).withColumn("m", matches_of(F.col("t"))).filter(F.size("m") > 0)
+        # a text is known by its hash and length: copies share one row of surrogates
+        each = found.select(F.xxhash64("t").alias("mark"), F.length("t").alias("len"), F.explode(F.array_distinct("m")).alias("m")).withColumn("kind", kind_of(F.col("m")))
+        parts = scratch.save(parts_of(scratch.save(each, "each"), scratch), "parts")
+        names = surrogate_table(parts.select("kind", "value").distinct(), key, scratch)
+        pairs = F.collect_set(F.struct("key", "surrogate"))
+        maps = scratch.keep(parts.join(names, ["kind", "value"]).groupBy(F.col("mark").alias("__mark"), F.col("len").alias("__len")).agg(F.map_from_entries(pairs).alias("__known")))
     on = (F.xxhash64(body) == F.col("__mark")) & (F.length(body) == F.col("__len"))
     joined = documents.join(maps.hint("merge"), on, "left")  # the same join at every size
-    kinds = F.when(F.col("__known").isNotNull(), F.transform(matches_of(body), kind_of)).otherwise(F.array().cast("array<string>"))
-    out = joined.withColumn("__kinds", kinds)
-    number = lambda k: F.size(F.filter("__kinds", lambda x: x == k)).cast("long")
-    counts = {f"n_{k}": number(k) for k in KINDS}
-    return out.withColumns(counts | {text: F.when(F.col("__known").isNull(), body).otherwise(replaced(body, F.col("__known")))}).select(*common.columns(documents, but=list(counts)), *counts)
+    out = joined.withColumn("__new", F.when(F.col("__known").isNotNull(), replaced(body, F.col("__known"))))
+    number = lambda k: F.coalesce(F.size(F.filter("__new.kinds", lambda x: x == k)), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.when(F.col("__new").isNull(), F.lit(0).cast("long")).otherwise(number(k)) for k in KINDS}
+    new = F.when(F.col("__new").isNull(), body).otherwise(F.col("__new.text"))
+    return out.withColumns(counts | {text: new}).select(*common.columns(documents, but=list(counts)), *counts)
 
 
 def op4_pii_surrogates(documents: DataFrame) -> DataFrame:
