@@ -53,16 +53,16 @@ def hashes_of(documents: DataFrame, least: int) -> DataFrame:
         h = np.array(found, np.uint64)
         return pa.record_batch([pa.array(docs, pa.int64()), common.signed(h[:, 0]), common.signed(h[:, 1])], names=["doc_id", "h1", "h2"])
 
-    return common.arrow_map(documents.select("doc_id", "text"), run, "doc_id long, h1 long, h2 long")
+    return common.arrow_map("lines", documents.select("doc_id", "text"), run, "doc_id long, h1 long, h2 long")
 
 
 class LineIndex:
     """Levelled runs of line hashes; ``threshold`` documents make a key one that is dropped."""
 
-    def __init__(self, spark: SparkSession, *, threshold: int = 3, least: int = 20, fan_out: int = 2) -> None:
+    def __init__(self, spark: SparkSession, *, threshold: int = 3, least: int = 20, fan_out: int = 2, buckets: int | None = None) -> None:
         self.spark, self.threshold, self.least = spark, threshold, least
         # runs are of different batches: a key's documents are those of all of them
-        self.runs = Runs(spark, "line_run", ["h1", "h2"], {"n": "sum", "keeper": "max"}, fan_out=fan_out)
+        self.runs = Runs(spark, "line_run", ["h1", "h2"], {"n": "sum", "keeper": "max"}, fan_out=fan_out, buckets=buckets)
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of documents (doc_id, text)."""
@@ -96,7 +96,7 @@ def strip_lines(documents: DataFrame, least: int, text: str = "text") -> DataFra
             rows.append((len(lines), n, None if t is None else t.decode("utf-8", "replace")))
         return pa.array(rows, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]))
 
-    s = F.arrow_udf(run, "n_lines long, n_dropped long, kept string")(F.col(f"`{text}`"), F.col("__lose"))
+    s = common.arrow_udf("lines", run, "n_lines long, n_dropped long, kept string")(F.col(f"`{text}`"), F.col("__lose"))
     return documents.withColumn("__s", s).withColumns({k: F.col(f"__s.{k}") for k in ("n_lines", "n_dropped", "kept")}).drop("__s", "__lose")
 
 
@@ -111,21 +111,22 @@ def dedup_lines(documents: DataFrame, *, threshold: int = 3, least: int = 20, ba
     settled key's keeper is final and later batches need not carry it.
     """
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
-    scratch, index = common.Scratch(spark, "lines"), LineIndex(spark, threshold=threshold, least=least, fan_out=fan_out)
+    scratch, index = common.Scratch(spark, "lines"), LineIndex(spark, threshold=threshold, least=least, fan_out=fan_out, buckets=common.partitions(documents))
     rows = documents.select("doc_id", "text")
-    cuts = documents.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    for k in range(len(cuts) + 1):
-        part = rows.filter(F.col("doc_id") > cuts[k]) if k < len(cuts) else rows
-        part = part.filter(F.col("doc_id") <= cuts[k - 1]) if k and k < len(cuts) else part.filter((F.col("doc_id") <= cuts[k - 1]) | F.col("doc_id").isNull()) if k else part
-        index.add(part)
-    drop = scratch.save(index.dropped(), "drop")  # a table: a join of two exchanges can split a frequent line's rows
-    lines = hashes_of(rows, least)
-    lost = lines.join(drop, ["h1", "h2"]).filter(F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("keeper"))
-    per_doc = scratch.save(lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(binary128()).alias("__lose")), "lost")
-    index.close()
-    common.atexit.register(scratch.close)
+    try:
+        cuts = documents.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+        cuts = sorted(set(cuts), reverse=True)
+        for k in range(len(cuts) + 1):
+            part = rows.filter(F.col("doc_id") > cuts[k]) if k < len(cuts) else rows
+            part = part.filter(F.col("doc_id") <= cuts[k - 1]) if k and k < len(cuts) else part.filter((F.col("doc_id") <= cuts[k - 1]) | F.col("doc_id").isNull()) if k else part
+            index.add(part)
+        drop = scratch.save(index.dropped(), "drop")  # a table: a join of two exchanges can split a frequent line's rows
+        lines = hashes_of(rows, least)
+        lost = lines.join(drop, ["h1", "h2"]).filter(F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("keeper"))
+        per_doc = scratch.keep(lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(binary128()).alias("__lose")))
+    finally:
+        index.close()
+        scratch.close()
     # the same join at every size: what it moves then grows as the documents do
     joined = documents.join(per_doc.hint("merge"), documents["doc_id"].eqNullSafe(per_doc["__id"]), "left").drop("__id")
     return strip_lines(joined, least)

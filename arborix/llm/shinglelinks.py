@@ -99,7 +99,6 @@ def pair_up(similarity: float, crowd: int):
     """Partitions sorted by key -> (a, b): each of a key's texts with the earlier one that is most like it, if it is like any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
         key, ids, fps, low = None, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BINS), np.uint32)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -178,7 +177,6 @@ def join_up(similarity: float, slack: float):
         return pa.record_batch({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
         held, key = [], None
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -211,18 +209,17 @@ def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame,
     cell = F.xxhash64("key", F.least("share", "with"), F.greatest("share", "with"))
     members = scratch.save(members.select(cell.alias("cell"), "mark", "root", "share", (F.col("share") == F.col("with")).alias("one")), "members")
     marks = scratch.save(members.select("mark").distinct(), "marks")
-    bodies = texts.join(marks.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.arrow_udf(_hashes, "binary")("text").alias("hashes"))
+    bodies = texts.join(marks.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", common.arrow_udf("near", _hashes, "binary")("text").alias("hashes"))
     bodies = scratch.save(bodies.join(each.select("mark", "fp", "low").hint("merge"), "mark"), "hashes")
     rows = members.join(bodies.hint("merge"), "mark").select("cell", "mark", "root", "share", "one", "fp", "low", "hashes")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "mark").mapInArrow(join_up(similarity, slack), "a long, b long")
+    return common.arrow_stream("near", rows.repartition(parts, "cell").sortWithinPartitions("cell", "mark"), join_up(similarity, slack), "a long, b long")
 
 
 def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8, slack: float = 0.1, crowd: int = 512) -> DataFrame:
     """(a, b) of different texts (mark, text) that are near copies: candidates by their minimum hashes, with some slack,
     verified by their shingles. They join all texts that the verified candidates join; not every pair is among them."""
-    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
-    signed = texts.withColumn("s", F.arrow_udf(_signatures, "fp long, keys array<long>, low binary, size long")("text")).filter("s IS NOT NULL").select("mark", "s.*")
+    signed = texts.withColumn("s", common.arrow_udf("near", _signatures, "fp long, keys array<long>, low binary, size long")("text")).filter("s IS NOT NULL").select("mark", "s.*")
     each = scratch.save(signed, "signatures").dropDuplicates(["mark"])
     keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark", "size"), "keyed")
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
@@ -230,12 +227,12 @@ def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8,
     scratch.drop("keyed")
     rows = wanted.join(each.select("mark", "fp", "low").hint("merge"), "mark").select("key", "mark", "fp", "low")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(pair_up(similarity - slack, crowd), "a long, b long")
+    found = common.arrow_stream("near", rows.repartition(parts, "key").sortWithinPartitions("key", "mark"), pair_up(similarity - slack, crowd), "a long, b long")
     found = scratch.save(found.distinct(), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
     bodies = scratch.save(texts.join(ends.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]), "bodies")
     a, b = (bodies.select(F.col("mark").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in "ab")
-    verified = found.join(a, "a").join(b, "b").withColumn("j", F.arrow_udf(_jaccards, "double")("text_a", "text_b"))
+    verified = found.join(a, "a").join(b, "b").withColumn("j", common.arrow_udf("near", _jaccards, "double")("text_a", "text_b"))
     first = scratch.save(verified.filter(F.col("j") >= similarity).select("a", "b"), "first")
     scratch.drop("bodies")
     return first.unionByName(rest(texts, wanted, each, first, scratch, similarity, slack, crowd)).distinct()

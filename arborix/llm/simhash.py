@@ -70,12 +70,11 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def with_fingerprint(documents: DataFrame, *, text: str = "text", size: int = 3, into: str = "fp") -> DataFrame:
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(common.signed(np.array([fingerprint(t, size) for t in common.utf8(texts)], np.uint64)))
 
-    return documents.withColumn(into, F.arrow_udf(run, "long")(F.col(f"`{text}`")))
+    return documents.withColumn(into, common.arrow_udf("near", run, "long")(F.col(f"`{text}`")))
 
 
 def plan(count: int, distance: int) -> tuple[int, int]:
@@ -145,7 +144,6 @@ def pair_up(distance: int, crowd: int):
         return out(True, near.ravel(), np.repeat(fps, 65))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
         keys, fps, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -187,7 +185,7 @@ def links(distinct: DataFrame, count: int, *, distance: int = 2, crowd: int = 40
     keyed = distinct.select(F.explode(F.array(*coordinate_keys(F.col("fp"), distance, width, groups))).alias("key"), "fp")
     # half the keys have one member: they need no Python
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 200_000)
-    found = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(pair_up(distance, crowd), "crowded boolean, a long, b long")
+    found = common.arrow_stream("near", keyed.repartition(parts, "key").sortWithinPartitions("key", "fp"), pair_up(distance, crowd), "crowded boolean, a long, b long")
     return found
 
 
@@ -247,25 +245,23 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.save(rooted, "rooted")
     if shingles:
-        rooted = _joined_by_shingles(ids, prints, rooted)
+        rooted = _joined_by_shingles(ids, prints, rooted, scratch)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     named = rooted.select("fp", "root").join(classes, "root").select("fp", "component_id", F.col("first.id").alias("keep_id"), F.col("first.mark").alias("keep_mark"))
     return scratch.keep(prints.join(named, "fp").select("doc_id", "fp", "component_id", "keep_id", "keep_mark"))
 
 
-def _joined_by_shingles(ids: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+def _joined_by_shingles(ids: DataFrame, prints: DataFrame, rooted: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Components of fingerprints, joined further where texts of two of them are near copies."""
     from . import shinglelinks
 
-    more = common.Scratch(ids.sparkSession, "shingles")
-    root_of = more.save(prints.select("mark", "fp").distinct().join(rooted.select("fp", "root"), "fp").select("mark", "root"), "root_of")
-    pairs = more.save(shinglelinks.links(ids.select(F.xxhash64("text").alias("mark"), "text"), more), "pairs")
-    a, b = (root_of.select(F.col("mark").alias(c), F.col("root").alias(f"root_{c}")).hint("merge") for c in "ab")
-    edges = pairs.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct()
-    further = components(edges, more).select(F.col("node").alias("root"), F.col("root").alias("further"))
-    out = rooted.join(further, "root", "left").select("fp", "least", "first", F.coalesce("further", "root").alias("root"))
-    common.atexit.register(more.close)
-    return out
+    with common.Scratch(ids.sparkSession, "shingles") as more:
+        root_of = more.save(prints.select("mark", "fp").distinct().join(rooted.select("fp", "root"), "fp").select("mark", "root"), "root_of")
+        pairs = more.save(shinglelinks.links(ids.select(F.xxhash64("text").alias("mark"), "text"), more), "pairs")
+        a, b = (root_of.select(F.col("mark").alias(c), F.col("root").alias(f"root_{c}")).hint("merge") for c in "ab")
+        edges = pairs.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct()
+        further = components(edges, more).select(F.col("node").alias("root"), F.col("root").alias("further"))
+        return scratch.save(rooted.join(further, "root", "left").select("fp", "least", "first", F.coalesce("further", "root").alias("root")), "joined")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:

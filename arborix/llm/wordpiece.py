@@ -131,16 +131,18 @@ def automaton(path: str) -> Automaton:
     return Automaton(load_pieces(path))
 
 
+common.held("wordpiece", automaton.cache_clear)
+
+
 def with_counts(documents: DataFrame, *, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Documents with n_words, n_tokens and max_word_tokens."""
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     path = vocabulary or vocabulary_path()
 
     def run(texts: pa.Array) -> pa.Array:
         a = automaton(path)
         return pa.array([a.text(t) for t in common.utf8(texts)], pa.struct([("n_words", pa.int64()), ("n_tokens", pa.int64()), ("max_word_tokens", pa.int64())]))
 
-    counted = documents.withColumn("__c", F.arrow_udf(run, "n_words long, n_tokens long, max_word_tokens long")(F.col(f"`{text}`")))
+    counted = documents.withColumn("__c", common.arrow_udf("wordpiece", run, "n_words long, n_tokens long, max_word_tokens long")(F.col(f"`{text}`")))
     return counted.withColumns({k: F.col(f"__c.{k}") for k in ("n_words", "n_tokens", "max_word_tokens")}).drop("__c")
 
 
