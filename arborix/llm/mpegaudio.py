@@ -3,8 +3,8 @@
 ``parse`` reads any MPEG-1, -2 or -2.5 audio stream of layers I to III from
 its bytes: it steps over ID3v2 tags, resynchronises on frame headers (a header
 counts if the next one, or the stream's end, stands where its length says),
-reads Xing, Info and VBRI tables and encoder delays, verifies layer III
-checksums, and gives the exact number of samples and the offset of each frame,
+reads Xing, Info and VBRI tables with their seek points and encoder delays,
+verifies the checksums of all layers, and gives the exact number of samples and the offset of each frame,
 so that a reader can seek without decoding. ``store`` writes bytes as such a
 stream: layer III frames of silence whose ancillary data are the bytes, of
 variable bitrate, with checksums, an ID3v2 tag and a Xing table.
@@ -68,11 +68,68 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first bits of some bytes."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        crc ^= (data[k // 8] >> (7 - k % 8) & 1) << 15
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
 def side_info(version: float, mode: int) -> int:
     """Bytes of layer III side information."""
     return (17 if mode == 3 else 32) if version == 1 else (9 if mode == 3 else 17)
 
 
+# Fixed values of the standards: bits of a layer II allocation by subband, as (subbands, bits) from the lowest on.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "half": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def allocation_of(version: float, bitrate: int, rate: int, channels: int) -> list[int]:
+    """Bits of each subband's allocation in layer II."""
+    each = bitrate // channels
+    if version != 1:
+        name = "half"
+    elif each <= 48:
+        name = "d" if rate == 32000 else "c"
+    else:
+        name = "a" if rate == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATIONS[name] for _ in range(n)]
+
+
+def checked_bits(frame: bytes, h: tuple, extension: int) -> int:
+    """How many bits behind the checksum it protects: side information, or allocations and what they select."""
+    version, layer, _, bitrate, rate, mode, *_ = h
+    if layer == 3:
+        return 8 * side_info(version, mode)
+    channels = 1 if mode == 3 else 2
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    if layer == 1:
+        return 4 * (32 if channels == 1 else min(bound, 32) + 32)
+    word, total, at, used = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6), 0, 0
+    for subband, bits in enumerate(allocation_of(version, bitrate, rate, channels)):
+        own = channels if subband < bound else 1
+        for _ in range(own):
+            at += bits
+            if at <= total and word >> (total - at) & ((1 << bits) - 1):
+                used += channels // own
+    return at + 2 * used  # two bits for each subband and channel in use
+
+
+def checksum_ok(frame: bytes, h: tuple) -> bool:
+    bits = checked_bits(frame, h, frame[3] >> 4 & 3)
+    if 48 + bits > 8 * len(frame):
+        return False
+    return crc16_bits(frame[2:4] + frame[6:], 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def synchsafe(data: bytes) -> int:
     return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
 
@@ -119,12 +176,21 @@ def table_of(frame: bytes, at: int) -> dict | None:
             gap = int.from_bytes(frame[at + 21 : at + 24], "big")
             out["delay"], out["padding"] = gap >> 12, gap & 0xFFF
         return out
-    if frame[36:40] == b"VBRI":
-        delay, _, size, frames = struct.unpack(">HHII", frame[42:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "delay": 0}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        _, _, size, frames, entries, scale, width, each = struct.unpack(">HHIIHHHH", frame[42:62])
+        raw = frame[62 : 62 + entries * width]
+        steps = [int.from_bytes(raw[k : k + width], "big") * scale for k in range(0, len(raw) - width + 1, width)] if 0 < width <= 8 else []
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "delay": 0, "steps": steps, "each": each}
     return None
 
 
+def seek_points(table: dict, start: int) -> list[int]:
+    """Places that a table gives: of each hundredth of the playing time, or of each of its steps."""
+    if "toc" in table and "bytes" in table:
+        return [start + b * table["bytes"] // 256 for b in table["toc"]]
+    return [start + int(n) for n in np.cumsum([0, *table["steps"]])] if table.get("steps") else []
+
+
 def parse(data: bytes | None) -> dict | None:
     """What a stream holds: see the fields of ``PARSED``."""
     if data is None:
@@ -163,8 +229,8 @@ def _parse(data: bytes, end: int, more: dict[str, str]) -> dict:
             if layer == 3 and (table := table_of(data[at : at + length], 4 + side_info(version, mode))):
                 table_at, at = at, at + length
                 continue
-        if protected and layer == 3:
-            good_one = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side_info(version, mode)]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if protected:
+            good_one = checksum_ok(data[at : at + length], h)
             good, bad = good + good_one, bad + (not good_one)
         else:
             unchecked += 1
@@ -178,17 +244,21 @@ def _parse(data: bytes, end: int, more: dict[str, str]) -> dict:
     toc_ok = "frames" not in table or table["frames"] == len(offsets)
     if toc_ok and "toc" in table and offsets:
         toc_ok = table["toc"] == toc_of(offsets, table_at, at)
+    if toc_ok and table.get("steps") and offsets:  # a step is rounded, and may be counted from the table's frame or from the next
+        whole = [*offsets, at]
+        places = [whole[min(k * table["each"], len(offsets))] for k in range(len(table["steps"]) + 1)]
+        toc_ok = any(all(abs(p - s) <= 2 * max(1, at // 65536) for p, s in zip(places, seek_points(table, base), strict=True)) for base in (offsets[0], table_at))
     return {
         "version": float(version), "layer": int(layer), "sample_rate": int(rate), "channels": 0 if not first else 1 if mode == 3 else 2, "frames": len(offsets), "samples": exact,
         "duration_us": exact * 1_000_000 // rate if rate else 0, "variable": len(rates) > 1, "table": table.get("kind"), "table_ok": bool(toc_ok),
-        "crc_good": good, "crc_bad": bad, "crc_none": unchecked, "skipped": skipped, "tags": list((tags | more).items()), "offsets": offsets, "audio_end": at if first else start,
+        "crc_good": good, "crc_bad": bad, "crc_none": unchecked, "skipped": skipped, "tags": list((tags | more).items()), "offsets": offsets, "seek": seek_points(table, max(0, table_at)), "audio_end": at if first else start,
     }
 
 
-PARSED = "version double, layer int, sample_rate int, channels int, frames long, samples long, duration_us long, variable boolean, table string, table_ok boolean, crc_good long, crc_bad long, crc_none long, skipped long, tags map<string,string>, offsets array<long>, audio_end long"
+PARSED = "version double, layer int, sample_rate int, channels int, frames long, samples long, duration_us long, variable boolean, table string, table_ok boolean, crc_good long, crc_bad long, crc_none long, skipped long, tags map<string,string>, offsets array<long>, seek array<long>, audio_end long"
 _PARSED = pa.struct([
     ("version", pa.float64()), ("layer", pa.int32()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("samples", pa.int64()), ("duration_us", pa.int64()), ("variable", pa.bool_()), ("table", pa.string()), ("table_ok", pa.bool_()),
-    ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("crc_none", pa.int64()), ("skipped", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("offsets", pa.list_(pa.int64())), ("audio_end", pa.int64()),
+    ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("crc_none", pa.int64()), ("skipped", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("offsets", pa.list_(pa.int64())), ("seek", pa.list_(pa.int64())), ("audio_end", pa.int64()),
 ])
 
 
@@ -211,6 +281,9 @@ def opening(index: int) -> bytes:
     return head + crc16(head[2:] + bytes(SIDE)).to_bytes(2, "big") + bytes(SIDE)
 
 
+common.held("audio", crc16.cache_clear)
+
+
 def text_frame(name: bytes, text: str) -> bytes:
     body = b"\x03" + text.encode()
     return name + bytes(len(body) >> s & 127 for s in (21, 14, 7, 0)) + b"\0\0" + body
@@ -250,8 +323,7 @@ def payload_of(data: bytes, parsed: dict) -> tuple[int, bytes]:
 
 def probe(media: DataFrame, column: str = "media", into: str = "audio") -> DataFrame:
     """Rows with a struct of what their stream holds, exact duration and frame offsets included."""
-    media.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
-    return media.withColumn(into, F.arrow_udf(lambda_parse, PARSED)(F.col(f"`{column}`")))
+    return media.withColumn(into, common.arrow_udf("audio", lambda_parse, PARSED)(F.col(f"`{column}`")))
 
 
 def lambda_parse(media: pa.Array) -> pa.Array:
@@ -264,8 +336,7 @@ def lambda_store(payload: pa.Array) -> pa.Array:
 
 def with_media(rows: DataFrame, column: str = "text", into: str = "media") -> DataFrame:
     """Rows with their text or bytes stored as a stream."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
-    return rows.withColumn(into, F.arrow_udf(lambda_store, "binary")(F.col(f"`{column}`").cast("binary")))
+    return rows.withColumn(into, common.arrow_udf("audio", lambda_store, "binary")(F.col(f"`{column}`").cast("binary")))
 
 
 def _digest(media: pa.Array, audio: pa.Array) -> pa.Array:
@@ -286,6 +357,5 @@ def op6_mpeg_audio(documents: DataFrame) -> DataFrame:
     """The contract's row for each document, from the streams read back."""
     scratch = common.Scratch(documents.sparkSession, "media")
     media = scratch.save(with_media(documents.select("doc_id", "text")).select("doc_id", "media"), "media")
-    common.atexit.register(scratch.close)
-    digest = probe(media).withColumn("d", F.arrow_udf(_digest, DIGEST)("media", "audio"))
+    digest = probe(media).withColumn("d", common.arrow_udf("audio", _digest, DIGEST)("media", "audio"))
     return digest.select("doc_id", "d.*")
