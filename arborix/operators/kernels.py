@@ -339,15 +339,15 @@ def relabel(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["skel_id"].iloc[0], *r) for r in rows], columns=["skel_id", "node_id", "new_id", "new_parent"])
 
 
-def dotprops(k: int):
+def dotprops(k: int, group: str = "skel_id"):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = tangents(pdf[XYZ].to_numpy(float), k)
-        return pdf[["skel_id", "node_id", *XYZ]].assign(tx=t[:, 0], ty=t[:, 1], tz=t[:, 2])
+        return pdf[[group, "node_id", *XYZ]].assign(tx=t[:, 0], ty=t[:, 1], tz=t[:, 2])
 
     return run
 
 
-def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distances: np.ndarray, angles: np.ndarray, block: int = 200_000) -> DataFrame:
+def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distances: np.ndarray, angles: np.ndarray, block: int = 200_000, ids: str = "long") -> DataFrame:
     """(query, target, score) of every query against every target, both (skel_id, x ... tz).
 
     Skeletons are dealt to blocks of about ``block`` points on either side; each pair of blocks is a group of its own, so
@@ -367,7 +367,7 @@ def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distan
         rows = [(q, t, pair_score(x, y, table, distances, angles)) for q, x in ((q, p[cols].to_numpy(float)) for q, p in left.groupby("skel_id")) for t, y in held]
         return pd.DataFrame(rows, columns=["query", "target", "score"])
 
-    return a.groupBy("qb", "tb").cogroup(b.groupBy("q_block", "t_block")).applyInPandas(run, "query long, target long, score double")
+    return a.groupBy("qb", "tb").cogroup(b.groupBy("q_block", "t_block")).applyInPandas(run, f"query {ids}, target {ids}, score double")
 
 
 def normalized(scores: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborix.operators import filters, joins, kernels, selection, skeletonize
-from arborix.plans import search
+from arborix.plans import search, stages
 from arborix.plans.catalogue import QUERIES
 from arborix.plans.views import view
 from arborix.sources import files, volumes
@@ -184,3 +184,34 @@ def test_boundary_distance_by_hand():
     mask[1:4, 1:4, 1:4] = True
     d = skeletonize.boundary_distance(mask)
     assert d[2, 2, 2] == 2 and d[1, 1, 1] == 1 and d[0, 0, 0] == 0
+
+
+def test_stages_from_volumes_to_reports(spark, tmp_path):
+    """Two lines of voxels: one is the target's, one stands elsewhere; the volume with the first comes out."""
+    rng = np.random.default_rng(0)
+    data = f"file://{tmp_path}"
+    lines = {1: [(30 + dz, 40 + dy, x) for x in range(20, 90) for dz in (-1, 0, 1) for dy in (-1, 0, 1)], 2: [(10 + dz, y, 12 + dx) for y in range(100, 150) for dz in (0, 1) for dx in (0, 1)], 3: [(5, 5, 5)]}
+    voxels = spark.createDataFrame([(*v, label) for label, vs in lines.items() for v in vs], "z int, y int, x int, label long")
+    shape, chunks = [64, 160, 160], [32, 64, 64]
+    volumes.write_zarr(voxels, f"{data}/labels", "volumes", ["z", "y", "x"], "label", shape, chunks)
+    raw = voxels.select("z", "y", "x", F.posexplode(F.array(F.lit(10), F.col("label") * 50, F.lit(200))).alias("c", "v"))
+    volumes.write_zarr(raw, f"{data}/raw", "volumes/raw", ["c", "z", "y", "x"], "v", [3, *shape], [1, *chunks], "|u1")
+    stage = lambda *words: stages.run(spark, [words[0], "--data", data, *words[1:]])
+    assert stage("small", "--labels", "labels", "--out", "large", "--least-voxels", "50")
+    assert not stage("small", "--labels", "labels", "--out", "large") and stage("small", "--labels", "labels", "--out", "large", "--least-voxels", "50", "--again")
+    assert stage("skeletons", "--labels", "large", "--out", "fragments", "--volume", "R1-line")
+    assert sorted(p.name for p in (tmp_path / "fragments").iterdir()) == ["R1-line_1.swc", "R1-line_2.swc"]
+    assert stage("colors", "--labels", "large", "--raw", "raw", "--volume", "R1-line", "--out", "colors") and spark.read.parquet(f"{data}/colors").count() == 2
+    target = spark.createDataFrame([("7", n, 0, float(x), 40.0 + rng.uniform(-1, 1), 30.0, 1.0, n - 1 if n > 1 else -1) for n, x in enumerate(range(20, 90), 1)], "skel string, node_id int, node_type int, x double, y double, z double, diameter double, parent_id int")
+    files.write_swc(target, f"{data}/targets")
+    assert stage("prune", "--skeletons", "targets", "--out", "pruned", "--length", "2.5", "--rounds", "1")
+    assert files.read_swc(spark, f"{data}/pruned").count() <= 70
+    assert stage("resample", "--skeletons", "targets", "--out", "points", "--step", "0.5") and spark.read.parquet(f"{data}/points").count() > 130
+    (tmp_path / "table.csv").write_text("0,0,0.5\n0,0.5,1\n5,0.2,0.5\n20,-1,-1\n")
+    shared = ("--targets", "targets", "--fragments", "fragments", "--width", "160")
+    assert stage("scores", *shared, "--pruned", "pruned", "--table", f"{tmp_path}/table.csv", "--out", "scores")
+    assert stage("match", *shared, "--scores", "scores", "--colors", "colors", "--out", "entries", "--energy-threshold", "-1.0", "--least-aggregate", "0.1", "--adaptive-factor", "1")
+    rows = spark.read.parquet(f"{data}/entries").collect()
+    assert [(r.em_id, r.lm_vol, r.frag_ids) for r in rows] == [("7", "R1-line", [1])] and rows[0].cov_score < 0 and not rows[0].mirrored
+    assert stage("report", "--entries", "entries", "--out", "report")
+    assert [r.line_name for r in spark.read.csv(f"{data}/report", header=True).collect()] == ["R1-line"]
