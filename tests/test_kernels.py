@@ -225,6 +225,37 @@ def test_similarity_of_itself_is_best():
     assert K.pair_score(q, q, table, np.array([0, 1.0]), np.array([0, 0.5])) == 2.0
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_tangents_and_scores_like_their_twins(seed, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 64)
+    rng = np.random.default_rng(seed)
+    clouds = [rng.uniform(0, 50, (int(rng.integers(4, 40)), 3)) for _ in range(2)]
+    props = []
+    for xyz in clouds:
+        t = K.tangents(xyz, 4)
+        for k, p in enumerate(xyz):
+            near = sorted(xyz, key=lambda q, p=p: ((q - p) ** 2).sum())[:4]
+            _, _, axes = np.linalg.svd(np.array(near) - np.mean(near, axis=0))
+            assert abs(abs(axes[0] @ t[k]) - 1) < 1e-6 or np.linalg.matrix_rank(np.array(near) - np.mean(near, axis=0)) < 1
+        props.append(np.hstack([xyz, t]))
+    distances, angles, table = np.array([0.0, 10, 20]), np.array([0.0, 0.3, 0.6, 0.9]), rng.uniform(-1, 1, (3, 4))
+    total = 0.0
+    for q in props[0]:
+        d, nearest = min((float(np.sqrt(((q[:3] - p[:3]) ** 2).sum())), k) for k, p in enumerate(props[1]))
+        angle = abs(float(q[3:] @ props[1][nearest][3:]))
+        total += table[sum(d >= b for b in distances[1:]), sum(angle >= b for b in angles[1:])]
+    assert K.pair_score(*props, table, distances, angles) == pytest.approx(total / len(props[0]))
+
+
+def test_similarity_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, n, *map(float, rng.uniform(0, 50, 3)), *map(float, v / np.linalg.norm(v))) for s in range(6) for n in range(10) for v in [rng.normal(size=3)]]
+    d = spark.createDataFrame(rows, "skel_id long, node_id long, x double, y double, z double, tx double, ty double, tz double")
+    table, distances, angles = np.array([[1.0, 2.0], [0.0, 0.5]]), np.array([0, 10.0]), np.array([0, 0.5])
+    one, many = (sorted(map(tuple, K.similarity(d, d.filter("skel_id < 4"), table, distances, angles, block=b).collect())) for b in (1000, 7))
+    assert one == many and len(one) == 24
+
+
 def test_color_cost_by_hand():
     d = SEL.color_costs(np.array([[0.0, 0, 0], [10, 5, 0], [100, -50, 0]]))
     assert d[0, 1] == pytest.approx(0.03125) and d[0, 2] == pytest.approx(4.6875)
@@ -266,3 +297,31 @@ def test_selection_beats_the_best_single_fragment(seed):
         adjusted = SEL.adjusted_coverage(values, weights, points) * scores
         if len(chosen) == n:
             assert energy >= -adjusted.sum() - 1e-9
+
+
+def test_clusters_that_the_other_side_beats_are_skipped():
+    # two fragments of one colour on different points: together they are worth more than either
+    scores, weights = np.array([1.0, 0.9]), np.ones(10)
+    values = np.zeros((2, 10))
+    values[0, :5], values[1, 5:] = 50.0, 50.0
+    colors = np.array([[200.0, 100, 50], [200.0, 100, 50]])
+    for clustering in ("agglomerative", "kmeans"):
+        chosen, energy = SEL.select(scores, np.array([50.0, 50.0]), values, weights, colors, clustering=clustering)
+        single, least = SEL.select(scores, np.array([50.0, 50.0]), values, weights, colors, clustering=clustering, other_upper=-1000.0)
+        assert single == [0] and least == pytest.approx(-50.0)
+        assert energy <= least and (clustering == "agglomerative" or sorted(chosen) == [0, 1])
+
+
+def test_color_center_is_that_of_the_larger_cluster(spark):
+    rng = np.random.default_rng(3)
+    dark, light = rng.integers(0, 20, (60, 3)), rng.integers(200, 220, (25, 3))
+    rows = [(7, *map(int, c)) for c in [*dark, *light]] + [(8, 5, 6, 7)] * 3
+    out = {r.label: (r.r, r.g, r.b) for r in SEL.color_modes(spark.createDataFrame(rows, "label int, r int, g int, b int"), ["label"]).collect()}
+    assert out[7] == pytest.approx(tuple(dark.mean(axis=0)), abs=1.0) and out[8] == pytest.approx((5, 6, 7), abs=1.0)
+
+
+def test_cached_table_is_read_again(spark, tmp_path):
+    from arborix.sources import volumes
+
+    path, first, other = f"file://{tmp_path}/t", spark.range(5), spark.range(9)
+    assert volumes.cached(first, path).count() == 5 and volumes.cached(other, path).count() == 5
