@@ -212,21 +212,22 @@ def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame,
     bodies = texts.join(marks.hint("merge"), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", common.arrow_udf("near", _hashes, "binary")("text").alias("hashes"))
     bodies = scratch.save(bodies.join(each.select("mark", "fp", "low").hint("merge"), "mark"), "hashes")
     rows = members.join(bodies.hint("merge"), "mark").select("cell", "mark", "root", "share", "one", "fp", "low", "hashes")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(texts)
     return common.arrow_stream("near", rows.repartition(parts, "cell").sortWithinPartitions("cell", "mark"), join_up(similarity, slack), "a long, b long")
 
 
 def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8, slack: float = 0.1, crowd: int = 512) -> DataFrame:
     """(a, b) of different texts (mark, text) that are near copies: candidates by their minimum hashes, with some slack,
     verified by their shingles. They join all texts that the verified candidates join; not every pair is among them."""
-    signed = texts.withColumn("s", common.arrow_udf("near", _signatures, "fp long, keys array<long>, low binary, size long")("text")).filter("s IS NOT NULL").select("mark", "s.*")
-    each = scratch.save(signed, "signatures").dropDuplicates(["mark"])
+    # a table before the filter: a filter on a function's result would have it computed twice
+    signed = scratch.save(texts.select("mark", common.arrow_udf("near", _signatures, "fp long, keys array<long>, low binary, size long")("text").alias("s")), "signatures")
+    each = signed.filter("s IS NOT NULL").select("mark", "s.*").dropDuplicates(["mark"])
     keyed = scratch.save(each.select(F.explode("keys").alias("key"), "mark", "size"), "keyed")
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     wanted = scratch.save(keyed.join(shared.hint("merge"), "key", "left_semi"), "wanted")
     scratch.drop("keyed")
     rows = wanted.join(each.select("mark", "fp", "low").hint("merge"), "mark").select("key", "mark", "fp", "low")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(texts)
     found = common.arrow_stream("near", rows.repartition(parts, "key").sortWithinPartitions("key", "mark"), pair_up(similarity - slack, crowd), "a long, b long")
     found = scratch.save(found.distinct(), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
