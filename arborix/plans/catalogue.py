@@ -12,12 +12,13 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as FI
 from ..operators import graph as G
+from ..operators import images as IM
 from ..operators import joins as J
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..operators import selection as SEL
 from ..operators import skeletonize as T
-from ..sources import files, volumes
+from ..sources import files, pages, volumes
 from . import match, search
 from .views import COVERED, covered, oracle, points, view
 
@@ -710,6 +711,52 @@ def ag17_clip_value(voxels):
     return every.withColumn("kind", F.lit("all")).unionByName(positive.withColumn("kind", F.lit("positive"))).withColumn("clip", F.round("clip", 6))
 
 
+def _scaled(c: str, clip: str) -> str:
+    return f"CAST(floor(least(greatest(CAST({c} AS DOUBLE), 0.0e0), {clip}) / {clip} * 255.0e0) AS INT)"
+
+
+_VIEW = """drawn AS (SELECT DISTINCT y, x FROM line), largest AS (SELECT y, x, max(r) AS r, max(g) AS g, max(b) AS b FROM voxel {0} GROUP BY 1, 2)"""
+_DRAWN = "SELECT coalesce(p.y, s.y) AS y, coalesce(p.x, s.x) AS x, {0} FROM bright p FULL JOIN drawn s ON p.y = s.y AND p.x = s.x"
+
+
+def _painted(*color: int) -> str:
+    return _DRAWN.format(", ".join(f"CASE WHEN s.y IS NULL THEN {c} ELSE {v} END AS {c}" for c, v in zip("rgb", color, strict=True)))
+
+
+_CLIP = "clip AS (SELECT greatest(" + ", ".join(f"quantile_cont({c}::DOUBLE, 0.9) FILTER ({c} > 0)" for c in "rgb") + ") AS clip FROM largest)"
+_NOT_BLACK = ", ".join(f"CASE {_scaled(c, 'clip')} WHEN 0 THEN 100 ELSE {_scaled(c, 'clip')} END AS {c}" for c in "rgb")
+
+
+@query(f"WITH {_RASTER}, {_VIEW.format('WHERE label % 2 = 0')}, {_CLIP}, bright AS (SELECT y, x, {_NOT_BLACK} FROM largest, clip) {_painted(255, 0, 255)}", "voxel", "swc")
+def gr10_overlay(voxels, swc):
+    """The projection of a match's fragments with the target drawn on it."""
+    return IM.overlay(voxels.filter("label % 2 = 0"), _raster(swc))
+
+
+@query(
+    f"""WITH {_RASTER}, back AS (SELECT y, x, CAST(max(r) AS DOUBLE) AS v, arg_max(z, (r, -z)) AS z FROM voxel GROUP BY 1, 2), front AS (SELECT y, x, min(z) AS own FROM line GROUP BY 1, 2),
+    halo AS (SELECT DISTINCT y + a AS y, x + b AS x, true AS near FROM line, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), every AS (SELECT y, x FROM back UNION SELECT y, x FROM halo)
+    SELECT y, x, round(CASE WHEN own IS NOT NULL THEN own / 8.0e0 ELSE coalesce(z / 8.0e0, 0) END, 6) AS depth,
+           round(CASE WHEN own IS NOT NULL THEN 255.0e0 WHEN near THEN 0.0e0 ELSE {_scaled('v', '200.0e0')} / 2.5e0 END, 6) AS intensity,
+           CASE WHEN own IS NOT NULL THEN 'skeleton' WHEN near THEN 'halo' ELSE 'volume' END AS layer
+    FROM every LEFT JOIN back USING (y, x) LEFT JOIN halo USING (y, x) LEFT JOIN front USING (y, x)""",
+    "voxel", "swc",
+)
+def gr10_depth(voxels, swc):
+    """The depth at which a channel is brightest, with the target and its halo."""
+    line = _raster(swc)
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    halo = line.select("y", "x").distinct().withColumn("o", F.explode(steps)).select((F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"))
+    out = IM.depth_view(voxels, line, halo, channel="r", depth=8, clip=200.0)
+    return out.withColumns({"depth": F.round("depth", 6), "intensity": F.round("intensity", 6)})
+
+
+@query(f"WITH {_RASTER}, {_VIEW.format('')}, bright AS (SELECT y, x, {', '.join(f'{_scaled(c, '510.0e0')} AS {c}' for c in 'rgb')} FROM largest) {_painted(0, 255, 255)}", "voxel", "swc")
+def or10_viewer(voxels, swc):
+    """A whole volume's projection with a skeleton on it."""
+    return IM.viewer(voxels, _raster(swc))
+
+
 @query("SELECT label, CASE WHEN avg(r) >= avg(g) AND avg(r) >= avg(b) THEN 0 WHEN avg(g) >= avg(b) THEN 1 ELSE 2 END AS channel FROM voxel GROUP BY 1", "voxel")
 def ag18_best_channel(voxels):
     return A.best_channel(voxels, ["label"])
@@ -821,6 +868,16 @@ def so12_bookmarks(scores):
     return R.by_line(ranked, "em_id", "line", "rank").select("em_id", "lm_vol", "line", "bookmark")
 
 
+@query(f"WITH {_ENERGY} SELECT CAST(em_id AS VARCHAR) AS name, count(*) AS pages FROM e GROUP BY 1", "frag_score")
+def snk14_pages(scores):
+    """A document of pages with bookmarks for each target, its pages by line."""
+    ranked = R.ranked(_energies(scores), "em_id", F.col("cov_score"), F.col("lm_vol")).withColumn("line", F.col("lm_vol") % 6)
+    rows = R.by_line(ranked, "em_id", "line", "rank")
+    texts = [F.concat(F.lit(label), F.col(c).cast("string")) for label, c in (("EM: ", "em_id"), ("LM: Line Name ", "line"), ("rank: ", "rank"))]
+    pages_ = rows.select(F.col("em_id").cast("string").alias("name"), F.col("bookmark").cast("int").alias("position"), F.concat_ws(": ", "rank", "lm_vol").alias("bookmark"), F.col("line").cast("string").alias("line"), F.array(*texts).alias("lines"), F.array().cast("array<string>").alias("images"))
+    return files.read_back(pages.write_pdf(pages_, files.work_folder(scores.sparkSession, "pages")), "documents")
+
+
 @query("SELECT lm_vol FROM frag_score UNION SELECT lm_vol FROM frag_score_flipped", "frag_score", "frag_score_flipped")
 def se1_union(normal, flipped):
     return normal.select("lm_vol").union(flipped.select("lm_vol")).distinct()

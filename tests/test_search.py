@@ -186,6 +186,48 @@ def test_boundary_distance_by_hand():
     assert d[2, 2, 2] == 2 and d[1, 1, 1] == 1 and d[0, 0, 0] == 0
 
 
+def read_png(data):
+    import struct
+    import zlib
+
+    from arborix.sources import pages
+
+    width, height, rows = pages.png_stream(data)
+    at = len(pages.SIGNATURE)
+    while at < len(data):  # every chunk's sum
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+        at += 12 + n
+    raw = np.frombuffer(zlib.decompress(rows), np.uint8).reshape(height, 1 + 3 * width)
+    assert not raw[:, 0].any()
+    return raw[:, 1:].reshape(height, width, 3)
+
+
+def test_pixels_become_images_and_pages(spark, tmp_path):
+    import re
+
+    from arborix.operators import images
+    from arborix.sources import pages
+
+    voxels = spark.createDataFrame([(z, y, x, 10 * x, 20, 0) for z in range(3) for y in range(4) for x in range(6)], "z int, y int, x int, r int, g int, b int")
+    line = spark.createDataFrame([(1, 2, x) for x in range(5)], "z int, y int, x int")
+    view = images.overlay(voxels, line)
+    assert pages.write_png(view.withColumn("em", F.lit("one")).unionByName(images.by_depth(images.depth_view(voxels, line, line, channel="r", depth=3, clip=50.0)).withColumn("em", F.lit("two"))), f"file://{tmp_path}", "em", 4, 6) == 2
+    image = read_png((tmp_path / "one.png").read_bytes())
+    assert image[2, 3].tolist() == [255, 0, 255] and image[0, 0].tolist() == [100, 106, 100] or image[0, 0, 2] == 100
+    rows = [("em", k, f"{k}: (line)", f"R{k % 2}", ["a", "b\\"], [f"file://{tmp_path}/one.png", f"file://{tmp_path}/two.png"]) for k in range(5)] + [("other", 0, "x", None, None, None)]
+    table = spark.createDataFrame(rows, pages.PAGES)
+    assert sorted(map(tuple, pages.write_pdf(table, f"file://{tmp_path}/pdf").collect())) == [("em", 5), ("other", 1)]
+    data = (tmp_path / "pdf" / "em.pdf").read_bytes()
+    start = int(re.search(rb"startxref\n(\d+)", data)[1])
+    places = [int(m) for m in re.findall(rb"(\d{10}) 00000 n", data[start:])]
+    for number, at in enumerate(places, 1):  # every object stands where the table says
+        assert data[at:].startswith(b"%d 0 obj" % number)
+    assert data.count(b"/Subtype /Image") == 10 and len(re.findall(rb"/Type /Page ", data)) == 5 and rb"(0: \(line\))" in data
+    for m in re.finditer(rb"/Length (\d+) >>\nstream\n", data):
+        assert data[m.end() + int(m[1]) :].startswith(b"\nendstream")
+
+
 def test_stages_from_volumes_to_reports(spark, tmp_path):
     """Two lines of voxels: one is the target's, one stands elsewhere; the volume with the first comes out."""
     rng = np.random.default_rng(0)
