@@ -11,12 +11,14 @@ taken stay near the target.
 
 Defined cases: null and empty texts have size 0 and are sampled like others;
 null sources form the last source; a source whose size is 0 has target 0;
-repeated rows are separate documents; an empty table gives an empty result.
+repeated rows are separate documents; an empty table gives an empty result;
+columns named like a result are replaced.
 Reruns agree: order and offsets are functions of the rows and the seed.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,13 @@ from . import common
 WEIGHTS = (3, 1, 2)
 
 
+def _sizes(texts: pa.Array) -> pa.Array:
+    return pa.array([len(t.split()) if t else 0 for t in common.utf8(texts)], pa.int64())
+
+
 def size_of(text: str = "text") -> Column:
-    """Words between blanks; null has none."""
-    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    """Words between blanks (``[\\x20\\x09-\\x0D]``); null has none."""
+    return common.arrow_udf("mixing", _sizes, "long")(F.col(f"`{text}`"))
 
 
 def targets(totals: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,13 +70,17 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + F.call_function("shiftright", size, shift) % 8).cast("int")
 
 
-def placed(documents: DataFrame, *, doc_id: str, source: str, text: str, weights: tuple[int, ...], share: float, most: float, seed: str, salts: int) -> DataFrame:
-    """Documents with __size, __source_size, __target and __copies."""
-    source_, id_, body = (F.col(f"`{c}`") for c in (source, doc_id, text))
-    tie = F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("string"), F.lit("-"))).cast("binary"))
-    sized = documents.withColumns({"__size": size_of(text), "__source": source_, "__tie": tie, "__hash": F.xxhash64(body)})
-    sized = sized.withColumns({"__class": size_class(F.col("__size")), "__salt": (F.conv(F.substring("__tie", 1, 6), 16, 10).cast("long") % salts).cast("int")})
-    strata = sized.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words"))
+def sized(documents: DataFrame, *, doc_id: str, source: str, text: str, seed: str, salts: int) -> DataFrame:
+    """Documents with what decides their place in their source: __source, __size, __class, __salt, __tie, __hash."""
+    tie = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-"))).cast("binary"))
+    out = documents.withColumns({"__size": size_of(text), "__source": F.col(f"`{source}`"), "__tie": tie, "__hash": F.xxhash64(F.col(f"`{text}`"))})
+    return out.withColumns({"__class": size_class(F.col("__size")), "__salt": (F.conv(F.substring("__tie", 1, 6), 16, 10).cast("long") % salts).cast("int")})
+
+
+def placed(rows: DataFrame, *, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """Sized documents with __source_size, __target and __copies."""
+    with common.Scratch(rows.sparkSession, "mixing") as scratch:  # a row for each source, class and salt
+        strata = scratch.keep(rows.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words")))
     totals = targets(strata.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights=weights, share=share, most=most)
     # strata: classes times salts for each source, whatever the number of documents
     order = Window.partitionBy("__source").orderBy(F.col("__class").desc(), "__salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,29 +91,37 @@ def placed(documents: DataFrame, *, doc_id: str, source: str, text: str, weights
         unit(F.concat(F.lit(f"{seed}:"), F.coalesce("__source", F.lit("")))).alias("__offset"),
     )
     within = Window.partitionBy("__source", "__class", "__salt").orderBy(F.col("__size").desc(), "__tie", "__hash")
-    ranked = sized.withColumn("__rank", F.row_number().over(within))
+    ranked = rows.withColumn("__rank", F.row_number().over(within))
     joined = ranked.join(based, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__k")))
     rank = F.col("__base") + F.col("__rank")
     crossed = F.floor(F.col("__rate") * rank + F.col("__offset")) - F.floor(F.col("__rate") * (rank - 1) + F.col("__offset"))
     return joined.withColumn("__copies", crossed.cast("int"))
 
 
+RESULTS = ("size", "source_size", "target", "copies")
+
+
+@common.shielded
 def mix(documents: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64) -> DataFrame:
     """Documents with size, source_size, target and copies (how often the mix takes the row); columns of these names are replaced."""
-    rows = placed(documents, doc_id=doc_id, source=source, text=text, weights=weights, share=share, most=most, seed=seed, salts=salts)
-    results = ("size", "source_size", "target", "copies")
-    return rows.select(*common.columns(documents, but=results), *[F.col(f"__{c}").alias(c) for c in results])
+    rows = placed(sized(documents, doc_id=doc_id, source=source, text=text, seed=seed, salts=salts), weights=weights, share=share, most=most, seed=seed)
+    return rows.select(*common.columns(documents, but=RESULTS), *[F.col(f"__{c}").alias(c) for c in RESULTS])
 
 
+@common.shielded
 def mixed(documents: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of the documents, whatever their names."""
-    taken = placed(documents, doc_id=doc_id, source=source, text=text, weights=weights, share=share, most=most, seed=seed, salts=salts).filter("__copies > 0")
+    rows = sized(documents, doc_id=doc_id, source=source, text=text, seed=seed, salts=salts)
+    taken = placed(rows, weights=weights, share=share, most=most, seed=seed).filter("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*common.columns(documents))
 
 
 def op7_mix(documents: DataFrame) -> DataFrame:
-    """The contract's row for each document."""
-    return mix(documents.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """The contract's row for each document. Sizes are counted once; what follows needs no texts."""
+    with common.Scratch(documents.sparkSession, "sizes") as scratch:
+        rows = scratch.keep(sized(documents.select("doc_id", "source", "text"), doc_id="doc_id", source="source", text="text", seed="mix", salts=64).drop("text", "source"))
+    out = placed(rows, weights=WEIGHTS, share=1.5, most=2.0, seed="mix")
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in RESULTS]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""
