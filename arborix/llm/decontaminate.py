@@ -11,7 +11,8 @@ is bounded whatever the benchmark's.
 Defined cases: null and empty texts have no words and no hits; items without
 words have no windows; repeated items count once per item_id; items without
 item_id hit like others and count as one more item, absent from ``items``; repeated rows are
-judged row by row; columns other than those named pass through untouched.
+judged row by row; an empty table gives an empty result, an empty benchmark no
+hits; columns named like a result are replaced, all others pass untouched.
 """
 
 from __future__ import annotations
@@ -57,32 +58,63 @@ def hashed(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hash, ws), np.int64, len(ws)).view(np.uint64)
 
 
+class Windows:
+    """Different windows of one length: sorted hashes, where each window's words stand in the items' text, and its items. A
+    bitmap of the hashes' first bits rejects most of what is looked up."""
+
+    def __init__(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, items: np.ndarray, text: bytes) -> None:
+        order = np.lexsort((items, hashes))
+        hashes, begins, ends, items = hashes[order], begins[order], ends[order], items[order]
+        first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        for k in np.flatnonzero(~first).tolist():  # an equal hash: as a rule the same window again
+            first[k] = text[begins[k] : ends[k]] != text[begins[k - 1] : ends[k - 1]]
+        self.text, self.items = text, items
+        self.starts = np.append(np.flatnonzero(first), len(items))  # where each window's items begin
+        self.hashes, self.begins, self.ends = hashes[first], begins[first], ends[first]
+        self.bitmap = np.zeros(1 << BITS, bool)
+        self.bitmap[self.hashes >> np.uint64(64 - BITS)] = True
+
+    def find(self, h: int, window: bytes) -> set[int]:
+        """Numbers of the items that hold a window, compared word by word."""
+        found: set[int] = set()
+        k = int(np.searchsorted(self.hashes, np.uint64(h)))
+        while k < len(self.hashes) and self.hashes[k] == h:
+            if self.text[self.begins[k] : self.ends[k]] == window:
+                found.update(self.items[self.starts[k] : self.starts[k + 1]].tolist())
+            k += 1
+        return found
+
+
 class NgramSet:
-    """Windows of a block of items, by length: a bitmap to reject, then exact words to verify."""
+    """Windows of a block of items, by length: about 30 bytes for each word of the block."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        self.windows: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int) -> None:
+        self.names = [item for item, _ in items]
+        parts, held, at = [], defaultdict(list), 0
+        for number, (_, text) in enumerate(items):
             ws = words(text)
             n = min(size, len(ws))
-            for i in range(len(ws) - n + 1 if n else 0):
-                self.windows[n][tuple(ws[i : i + n])].add(item)
-        self.maps = {}
-        for n, found in self.windows.items():
-            bitmap = np.zeros(1 << BITS, bool)
-            bitmap[np.concatenate([rolling(hashed(list(w)), n) for w in found]) >> np.uint64(64 - BITS)] = True
-            self.maps[n] = bitmap
-
-    def scan(self, ws: list[bytes]) -> list[tuple[int, int, set[str]]]:
+            if n:
+                ends = at + np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+                begins = np.concatenate([[at], ends[:-1] + 1])
+                count = len(ws) - n + 1
+                held[n].append((rolling(hashed(ws), n), begins[:count], ends[n - 1 :], np.full(count, number, np.int32)))
+                parts.append(b" ".join(ws))
+                at = int(ends[-1]) + 1
+        text = b" ".join(parts)
+        self.windows = {n: Windows(*(np.concatenate(c) for c in zip(*found, strict=True)), text) for n, found in held.items()}
+
+    def scan(self, ws: list[bytes]) -> list[tuple[int, int, set[str | None]]]:
         """(first word, words, items) of each verified hit."""
         out = []
         if ws:
             hashes = hashed(ws)
-            for n, bitmap in self.maps.items():
+            for n, windows in self.windows.items():
                 if len(ws) >= n:
-                    for i in np.flatnonzero(bitmap[rolling(hashes, n) >> np.uint64(64 - BITS)]).tolist():
-                        if items := self.windows[n].get(tuple(ws[i : i + n])):
-                            out.append((i, n, items))
+                    rolled = rolling(hashes, n)
+                    for i in np.flatnonzero(windows.bitmap[rolled >> np.uint64(64 - BITS)]).tolist():
+                        if found := windows.find(int(rolled[i]), b" ".join(ws[i : i + n])):
+                            out.append((i, n, {self.names[k] for k in found}))
         return out
 
 
@@ -92,6 +124,9 @@ def _set(key: str, block: Broadcast, size: int) -> NgramSet:
     return NgramSet(list(block.value), size)
 
 
+common.held("decontaminate", _set.cache_clear)
+
+
 def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[tuple[int, int, Broadcast]]:
     """(number, count, items) of broadcasts of about ``block_words`` words each, one after the other."""
     spark = benchmark.sparkSession
@@ -115,14 +150,13 @@ def _scanner(block: Broadcast, key: str, size: int):
     return scan
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", size: int = 10, block_words: int = 4_000_000, into: str = HITS) -> DataFrame:
+def find_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", size: int = 10, block_words: int = 2_000_000, into: str = HITS) -> DataFrame:
     """Documents with a column of verified hits: first word, number of words, item ids."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     out, run = documents, uuid.uuid4().hex
     scratch = common.Scratch(spark, "hits")
     for k, count, block in blocks_of(benchmark, block_words):
-        hits = F.arrow_udf(_scanner(block, f"{run}-{k}", size), SPANS)(F.col(f"`{text}`"))
+        hits = common.arrow_udf("decontaminate", _scanner(block, f"{run}-{k}", size), SPANS)(F.col(f"`{text}`"))
         out = out.withColumn(into, F.concat(into, hits) if k else hits)
         if count > 1:  # one pass at a time, so that a worker holds one block
             out = scratch.save(out, f"pass{k}")
@@ -131,6 +165,7 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text"
     return out
 
 
+@common.shielded
 def measure(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents with n_words, n_hit, n_items, items (sorted), contaminated."""
     found = find_spans(documents, benchmark, **options)
@@ -147,11 +182,12 @@ def measure(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string()))]))
 
     text = options.get("text", "text")
-    measured = found.withColumn(HITS, F.arrow_udf(digest, "n_words long, n_hit long, n_items long, items array<string>")(F.col(f"`{text}`"), F.col(HITS)))
+    measured = found.withColumn(HITS, common.arrow_udf("decontaminate", digest, "n_words long, n_hit long, n_items long, items array<string>")(F.col(f"`{text}`"), F.col(HITS)))
     names = ("n_words", "n_hit", "n_items", "items")
     return measured.withColumns({n: F.col(f"{HITS}.{n}") for n in names}).withColumn("contaminated", F.col("n_hit") > 0).drop(HITS)
 
 
+@common.shielded
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", remove: str = "documents", **options) -> DataFrame:
     """Drops contaminated documents, or (``remove="spans"``) cuts hit words and what stands between them."""
     found = find_spans(documents, benchmark, text=text, **options)
@@ -178,7 +214,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
             out.append(None if t is None else t.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    return found.withColumn(text, F.arrow_udf(cut, "string")(F.col(f"`{text}`"), F.col(HITS))).drop(HITS)
+    return found.withColumn(text, common.arrow_udf("decontaminate", cut, "string")(F.col(f"`{text}`"), F.col(HITS))).drop(HITS)
 
 
 def op1_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
