@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,19 @@ def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents that may have columns named like its inner ones, which all begin with two underscores."""
+
+    @wraps(operator)
+    def run(documents: DataFrame, *tables: DataFrame, **options) -> DataFrame:
+        hidden = {c: f"hidden{k}-{uuid.uuid4().hex}" for k, c in enumerate(documents.columns) if c.startswith("__") and c not in options.values()}
+        if not hidden:
+            return operator(documents, *tables, **options)
+        return operator(documents.withColumnsRenamed(hidden), *tables, **options).withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return run
+
+
 def columns(df: DataFrame, but: tuple[str, ...] | list[str] = ()) -> list[Column]:
     """A table's columns by their exact names, except those named: what an operator adds under a name replaces what was there."""
     without = {c.lower() for c in but}

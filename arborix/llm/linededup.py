@@ -12,7 +12,8 @@ and shuffles the new batch only.
 A key is 128 bits of a hash. Defined cases: null and empty texts are one empty
 line; keys shorter than ``least`` code points are never dropped; a key counts
 once for each doc_id; rows of one doc_id are one document to the counts, and
-keep or lose the same keys; null doc_ids count as one document, the smallest.
+keep or lose the same keys; null doc_ids count as one document, the smallest;
+an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -104,6 +105,7 @@ def binary128() -> Column:
     return F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
 
 
+@common.shielded
 def dedup_lines(documents: DataFrame, *, threshold: int = 3, least: int = 20, batches: int = 3, fan_out: int = 2) -> DataFrame:
     """Documents with n_lines, n_dropped and kept (the text without lines that a larger doc_id keeps).
 

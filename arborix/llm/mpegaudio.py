@@ -11,7 +11,9 @@ variable bitrate, with checksums, an ID3v2 tag and a Xing table.
 
 Defined cases: null and empty payloads are stored as 64 zero bytes; a stream
 without a single frame has none, duration 0 and all its bytes skipped; null
-media parse to null; a damaged header is skipped up to the next pair of frames.
+media parse to null; a damaged header is skipped up to the next pair of frames;
+equal texts, repeated rows among them, give equal streams; an empty table gives
+an empty result; a column named like a result is replaced.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ exact as well and its work is linear.
 
 Defined cases: null and empty texts, and texts of blanks, have fingerprint
 zero; texts with fewer words than a shingle have one shingle; repeated rows get
-equal results; an empty table gives an empty result.
+equal results, and one of them stays in ``keep_one``; rows without doc_id are
+kept after those with one; an empty table gives an empty result; all columns of
+the documents pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -264,6 +266,7 @@ def _joined_by_shingles(ids: DataFrame, prints: DataFrame, rooted: DataFrame, sc
         return scratch.save(rooted.join(further, "root", "left").select("fp", "least", "first", F.coalesce("further", "root").alias("root")), "joined")
 
 
+@common.shielded
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """One row of each group of near-duplicates, by fingerprints and by shingles: that of its least doc_id, of repeated
     doc_ids the least hash, of equal rows any."""

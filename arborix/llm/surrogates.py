@@ -290,6 +290,7 @@ def replaced(text: Column, known: Column) -> Column:
     return cut[0]
 
 
+@common.shielded
 def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surrogates") -> DataFrame:
     """Documents with their text's entities replaced and a column n_<kind> for each kind; columns of these names are replaced."""
     spark = documents.sparkSession

@@ -12,7 +12,7 @@ document's place in the whole.
 Defined cases: null and empty texts consist of the end id alone; special tokens
 in a text are what the library's plain call makes of them; repeated doc_ids stand next to each other, in
 the order of their texts' hashes; an empty table gives an empty manifest. Null
-doc_ids come first.
+doc_ids come first; other columns are left out.
 """
 
 from __future__ import annotations
@@ -198,7 +198,7 @@ def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: st
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(documents)
     ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     written = common.arrow_stream("tokens", ranged.select("doc_id", "text"), _writer(folder, path, dtype, end_id, file_tokens), MANIFEST)
     numbered = written.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id(), "dtype": F.lit(dtype)})
@@ -236,7 +236,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         rows = pa.array([bytes(held[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                         yield pa.record_batch([doc, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array([width] * len(rows), pa.int32()), rows], names=["doc_id", "start", "n_tokens", "width", "ids"])
 
-    count = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    count = max(1, manifest.count())  # a file is a task: at most eight million ids
     return common.arrow_stream("tokens", manifest.repartition(count, "file"), run, "doc_id long, start long, n_tokens long, width int, ids binary")
 
 

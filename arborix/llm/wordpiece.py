@@ -12,7 +12,8 @@ blank before it (as in byte-level vocabularies), the others do not. All single
 bytes are pieces, so each word has a count.
 
 Defined cases: null and empty texts and texts of blanks have no words and no
-tokens; any bytes are counted, whole; repeated rows get equal counts.
+tokens; any bytes are counted, whole; repeated rows get equal counts; an empty
+table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -134,6 +135,7 @@ def automaton(path: str) -> Automaton:
 common.held("wordpiece", automaton.cache_clear)
 
 
+@common.shielded
 def with_counts(documents: DataFrame, *, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Documents with n_words, n_tokens and max_word_tokens."""
     path = vocabulary or vocabulary_path()

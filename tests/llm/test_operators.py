@@ -43,6 +43,20 @@ def test_decontamination_in_blocks_is_the_same(documents, items):
     assert sorted(map(str, whole)) == sorted(map(str, blocks))
 
 
+def test_items_may_be_repeated(spark):
+    rows = [(i % 3, "some words that are in a few of the items, all of them together here") for i in range(40)] + [(None, "of the items")]
+    docs = [(1, "It is some words that are in a few of the items, all of them together here."), (2, None)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
+    assert by_id(decontaminate.op1_decontaminate(*tables)) == decontaminate.brute_force(docs, rows)
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "hashed", lambda ws: np.array([len(w) % 2 for w in ws], np.uint64))
+    items = [("a", b"one two six"), ("b", b"six one two"), ("c", b"one two six"), ("d", b"nine four")]
+    found = decontaminate.NgramSet(items, 2)
+    assert {(i, n): s for i, n, s in found.scan(b"two six one two four nine".split())} == {(0, 2): {"a", "c"}, (1, 2): {"b"}, (2, 2): {"a", "b", "c"}}
+
+
 def test_decontamination_removes_documents_or_spans(documents, items, empty):
     _, table = items
     left = decontaminate.decontaminate(documents, table)
@@ -74,17 +88,83 @@ def test_language_of_awkward_texts(documents, empty, texts):
     assert {r.lang_pred for r in langid.op2_langid(nothing).collect()} == {"und"}
 
 
+def counted(texts, order=langid.ORDER):
+    """language -> order -> n-gram (tuple of symbols) -> count, by dictionaries: the highest order's counts, below continuation counts."""
+    grams = {}
+    for lang, t in texts:
+        s, _ = langid.encode([t])
+        row = [0] * (order - 1) + s.tolist()
+        for i in range(len(s)):
+            g = tuple(row[i : i + order])
+            held = grams.setdefault(lang, {order: {}})[order]
+            held[g] = held.get(g, 0) + 1
+    for held in grams.values():
+        for o in range(order - 1, 0, -1):
+            held[o] = {}
+            for g in held[o + 1]:
+                held[o][g[1:]] = held[o].get(g[1:], 0) + 1
+    return grams
+
+
+def plain_kneser_ney(texts, text, order=langid.ORDER):
+    """Bits per symbol of a text in each language, letter by letter."""
+    grams = counted(texts, order)
+    alphabet = len({g for held in grams.values() for g in held[1]}) + 1
+    out = {}
+    for lang, held in grams.items():
+        discount = {o: min(0.9, max(0.1, (n := list(held[o].values())).count(1) / max(1, n.count(1) + 2 * n.count(2)))) for o in held}
+
+        def p(gram, held=held, discount=discount):
+            if not gram:
+                return 1 / alphabet
+            o, followers = len(gram), {g: c for g, c in held[len(gram)].items() if g[:-1] == gram[:-1]}
+            if not followers:
+                return p(gram[1:])
+            total = sum(followers.values())
+            return max(followers.get(gram, 0) - discount[o], 0) / total + discount[o] * len(followers) / total * p(gram[1:])
+
+        s, _ = langid.encode([text])
+        row = [0] * (order - 1) + s.tolist()
+        out[lang] = -sum(np.log2(p(tuple(row[i : i + order]))) for i in range(len(s))) / len(s)
+    return out
+
+
+LEARNED = [("x", "abab abba baba cab"), ("x", "aab bba abab"), ("y", "the old man and the sea, the sea"), ("y", "a man of the sea"), ("z", "größe über maß und muß"), ("z", "das große haus am see")]
+
+
+@pytest.mark.parametrize("max_cells", [12_000_000, 60])
+def test_scores_are_plain_kneser_ney(spark, max_cells):
+    labelled = spark.createDataFrame(LEARNED, "lang string, text string")
+    model = langid.train(labelled, max_cells=max_cells)
+    assert (model.shares > 5) == (max_cells == 60)
+    asked = ["abba cab", "the man", "große see", "qqq zzz", "the old größe baba"]
+    rows = {r.text: r["__p"] for r in model.score(spark.createDataFrame([(t,) for t in [*asked, None, "12 ."]], "text string")).collect()}
+    for t in asked:
+        bits = plain_kneser_ney(LEARNED, t)
+        assert rows[t].bits == pytest.approx(min(bits.values()), abs=1e-4) and rows[t].lang == min(sorted(bits), key=bits.get)
+    assert rows[None].lang == rows["12 ."].lang == "und" and rows[None].rejected
+
+
+def test_other_languages_are_rejected(spark, sf_dir):
+    labelled = common.table(spark, sf_dir, "documents").select("lang", "text")
+    model = langid.train(labelled)
+    strange = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "いろはにほへとちりぬるを わかよたれそつねならむ " * 4, "xqzj kwvx qqzx jjkw vvxz qjxk " * 6]
+    told = model.score(spark.createDataFrame([(t,) for t in strange], "text string")).collect()
+    assert all(r["__p"].rejected for r in told)
+    own = model.score(labelled.filter("lang IS NOT NULL AND length(text) > 20"))
+    assert own.filter("__p.rejected").count() <= 0.01 * own.count()
+
+
 def test_probabilities_sum_to_one():
-    texts = ["abab abba baba", "aab bba abab"]
-    s, ends = langid.encode(texts)
-    keys, n = np.unique(langid.ngrams(s, ends), return_counts=True)
-    model = langid.Model({"x": (keys, n)}, {"x": 0.5})
-    symbols = np.unique(s)
-    for context in (0, int(keys[0] >> np.uint64(15))):
-        grams = (np.uint64(context) << np.uint64(15)) | symbols.astype(np.uint64)
-        seen = (2.0 ** model._logs(grams, langid.ORDER)[:, 0]).sum()
+    held = counted([("x", "abab abba baba"), ("x", "aab bba abab")])["x"]
+    pack = lambda g: sum(c << langid.WIDTH * (len(g) - 1 - i) for i, c in enumerate(g))
+    orders = {o: (np.zeros(len(g), int), np.array([pack(k) for k in g], np.uint64), np.array(list(g.values()))) for o, g in held.items()}
+    symbols = np.array([k[0] for k in held[1]], np.uint64)
+    share = langid.Share(orders, {(0, o): 0.5 for o in held}, 1, len(symbols) + 1)
+    for context in (0, int(orders[4][1][0] >> np.uint64(15))):
+        seen = (2.0 ** share._logs((np.uint64(context) << np.uint64(15)) | symbols, langid.ORDER)[:, 0]).sum()
         assert 0.5 < seen <= 1.0 + 1e-6  # the rest is what an unseen symbol gets
-        assert seen + 2.0 ** model._logs(np.array([(context << 15) | 999], np.uint64), langid.ORDER)[0, 0] == pytest.approx(1.0, abs=1e-5)
+        assert seen + 2.0 ** share._logs(np.array([(context << 15) | 999], np.uint64), langid.ORDER)[0, 0] == pytest.approx(1.0, abs=1e-5)
 
 
 def test_hashed_rows_are_found():
@@ -103,6 +183,27 @@ def test_tokens_are_brute_force(documents, texts, empty):
     assert tokenbin.op3_token_binary(empty).count() == 0
 
 
+def test_words_are_cut_only_where_the_library_does(spark):
+    rng = np.random.default_rng(2)
+    bits = ["a", "B", "é", " ", " ", "  ", "\n", "\n", ",", ".", "1", "²", "_", "'s", "\t", "\u00a0", "\x1c", "中", "x.", "<|endoftext|>", "\u0301", "٣", "don't", "...", "!", "\r\n", " word", " words,\nMore"]
+    rows = [(i, "".join(rng.choice(bits, rng.integers(1, 12)))) for i in range(4000)]
+    assert by_id(tokenbin.op3_token_binary(spark.createDataFrame(rows, "doc_id long, text string"))) == tokenbin.brute_force(rows)
+
+
+def test_special_tokens_as_the_plain_call(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "a <|endoftext| b")]
+    out = by_id(tokenbin.op3_token_binary(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == tokenbin.brute_force(rows) and out[1][1] == 5
+
+
+def test_a_small_memory_encodes_alike(texts, monkeypatch):
+    want = tokenbin.brute_force(texts)
+    monkeypatch.setattr(tokenbin, "GENERATION", 5)
+    encoder = tokenbin.Encoder(tokenbin.vocabulary_path(), "<u2")
+    for doc, text in texts:
+        assert len(encoder.encode(text)) // 2 + 1 == want[doc][1] and len(encoder) <= 6 and len(encoder.old) <= 6
+
+
 def test_token_files_in_memory(spark, documents, texts, tmp_path):
     manifest = tokenbin.write(documents, f"file://{tmp_path}/t", file_tokens=3000)
     assert manifest.count() > 3
@@ -168,6 +269,49 @@ def test_surrogates_are_distinct(spark):
     assert not {r.text.split()[-1] for r in out} & {t.split()[-1] for _, t in rows}
 
 
+def test_short_entities_run_out_of_no_surrogates(spark):
+    hosts = ["com", "net", "org", "de", "fr", "es"]
+    rows = [(i, f"{chr(97 + i % 26)}@{chr(97 + i // 26 % 26)}.{hosts[i // 676]}") for i in range(4056)]
+    out = [r.text for r in surrogates.op4_pii_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(out)) == len(rows) and not set(out) & {t for _, t in rows}
+
+
+def test_persons_are_one_wherever_they_stand(spark):
+    rows = [(1, "Dr. Anna Smith met Mrs. Anna Smith. Smith left; Anna Smith stayed, with Anna's dog and Smith's card."), (2, "Prof. Anna Smith and Anna."), (3, "Smith and Anna, without a title"), (4, "Mr. Robin Lee and Mrs. Robin Lee; Robin Lee.")]
+    out = {r.doc_id: r for r in surrogates.op4_pii_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, last = out[1].text.split()[1:3]
+    assert given in surrogates.GIVEN["f_latin"] and set(last.split("-")) <= set(surrogates.SURNAMES["latin"])
+    assert out[1].text == rows[0][1].replace("Anna", given).replace("Smith", last) and out[1].n_person == 6
+    assert out[2].text == rows[1][1].replace("Anna", given).replace("Smith", last)
+    assert out[3].text == rows[2][1] and out[3].n_entities == 0
+    m, f, x = (out[4].text.split()[k] for k in (1, 5, 7))
+    assert m in surrogates.GIVEN["m_latin"] and f in surrogates.GIVEN["f_latin"] and x in surrogates.GIVEN["x_latin"]
+
+
+def test_surrogates_against_a_plain_search(spark, sf_dir):
+    """Entities as another pattern engine finds them: what stands between stays, equal entities have equal surrogates, different ones different."""
+    import regex
+
+    find = regex.compile(surrogates.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    docs = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
+    out = {r.doc_id: r for r in surrogates.op4_pii_surrogates(common.table(spark, sf_dir, "documents")).collect()}
+    forward, found = {}, 0
+    for doc, text in docs.items():
+        hits = [] if text is None else list(find.finditer(text))
+        assert (out[doc].n_entities > 0) == bool(hits) and out[doc].n_entities >= len(hits)
+        if not hits:
+            assert out[doc].text == text
+        elif out[doc].n_person == 0:  # names may stand without title as well
+            edges = [0, *(p for h in hits for p in h.span()), len(text)]
+            shape = "(.+?)".join(regex.escape(text[a:b]) for a, b in zip(edges[::2], edges[1::2]))
+            whole = regex.fullmatch(shape, out[doc].text, regex.S)
+            assert whole, doc
+            for h, new in zip(hits, whole.groups()):
+                found += 1
+                assert new != h[0] and forward.setdefault(h[0], new) == new
+    assert found > 5 and len(set(forward.values())) == len(forward)
+
+
 def test_surrogates_of_nothing(empty, documents):
     assert surrogates.op4_pii_surrogates(empty).count() == 0
     same = documents.select("doc_id", F.col("text").alias("was")).join(surrogates.op4_pii_surrogates(documents), "doc_id")
@@ -266,6 +410,60 @@ def test_other_layers_and_versions():
     assert mpegaudio.parse(stream)["samples"] == 5 * 576
 
 
+def layer_two(alloc, scfsi, bitrate_index, mode=0, extension=0, flip=0):
+    """A protected MPEG-1 layer II frame at 48 kHz whose allocations and selections are given as bit strings."""
+    word = 0xFFFC << 16 | bitrate_index << 12 | 1 << 10 | mode << 6 | extension << 4
+    h = mpegaudio.header(word)
+    bits = alloc + scfsi
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    crc = 0xFFFF
+    for b in f"{word & 0xFFFF:016b}" + bits:
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15) ^ int(b) else crc << 1) & 0xFFFF
+    return (word.to_bytes(4, "big") + (crc ^ flip).to_bytes(2, "big") + body).ljust(h[6], b"\xa5")
+
+
+def test_checksums_of_layers_one_and_two():
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    alloc, used = "", 0
+    for k, w in enumerate(widths):  # two channels, 192 kbit/s
+        for c in range(2):
+            n = (k * 3 + c) % 3
+            alloc, used = alloc + f"{n:0{w}b}", used + (n > 0)
+    good, bad = layer_two(alloc, "01" * used, 10), layer_two(alloc, "01" * used, 10, flip=4)
+    joint, shared = "", 0
+    for k, w in enumerate(widths):  # joint stereo from subband 8 on
+        for c in range(2 if k < 8 else 1):
+            n = (k + c) % 2
+            joint, shared = joint + f"{n:0{w}b}", shared + (n > 0) * (1 if k < 8 else 2)
+    third = layer_two(joint, "10" * shared, 10, mode=1, extension=1)
+    parsed = mpegaudio.parse(good * 3 + bad + third)
+    assert (parsed["layer"], parsed["frames"], parsed["crc_good"], parsed["crc_bad"], parsed["samples"]) == (2, 5, 4, 1, 5 * 1152)
+    word = 0xFFFE << 16 | 5 << 12 | 1 << 10 | 3 << 6  # layer I, one channel: 16 bytes of allocations
+    body = bytes(range(16))
+    frame = word.to_bytes(4, "big") + mpegaudio.crc16(word.to_bytes(4, "big")[2:] + body).to_bytes(2, "big") + body
+    frame = frame.ljust(mpegaudio.header(word)[6], b"\x11")
+    parsed = mpegaudio.parse(frame * 4)
+    assert (parsed["layer"], parsed["crc_good"], parsed["crc_bad"], parsed["samples"]) == (1, 4, 0, 4 * 384)
+
+
+def test_vbri_seek_table():
+    import struct
+
+    word = 0xFFFB << 16 | 9 << 12 | 1 << 10 | 1 << 6
+    length, small = mpegaudio.header(word)[6], mpegaudio.header(0xFFFB << 16 | 5 << 12 | 1 << 10 | 1 << 6)[6]
+    frames = [(word.to_bytes(4, "big")).ljust(length, b"\0") if k % 3 else (0xFFFB << 16 | 5 << 12 | 1 << 10 | 1 << 6).to_bytes(4, "big").ljust(small, b"\0") for k in range(12)]
+    steps = [sum(map(len, frames[k : k + 4])) for k in range(0, 12, 4)]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, sum(map(len, frames)) + length, 12, 3, 1, 2, 4) + b"".join(struct.pack(">H", n) for n in steps)
+    head = (word.to_bytes(4, "big") + bytes(32) + table).ljust(length, b"\0")
+    parsed = mpegaudio.parse(head + b"".join(frames))
+    assert parsed["table"] == "VBRI" and parsed["table_ok"] and parsed["frames"] == 12 and parsed["variable"]
+    assert parsed["seek"] == [0, *np.cumsum(steps).tolist()] and len(parsed["seek"]) == 4
+    wrong = head.replace(struct.pack(">H", steps[1]), struct.pack(">H", steps[1] + 999))
+    assert not mpegaudio.parse(wrong + b"".join(frames))["table_ok"]
+    xing = mpegaudio.parse(mpegaudio.store(b"payload" * 2100))
+    assert len(xing["seek"]) == 100 and xing["seek"] == sorted(xing["seek"])
+
+
 # ---- mixing
 
 
@@ -380,6 +578,39 @@ def joined(spark, rows, **options):
     return {frozenset(g) for g in groups.values() if len(g) > 1}
 
 
+def test_links_of_a_whole_table_are_those_of_an_exact_join(spark):
+    """TEST_RECALL_DIR: a larger table than the one that is always tried."""
+    import os
+    from collections import Counter
+
+    from arborix.llm import shinglelinks
+
+    table = common.table(spark, os.environ.get("TEST_RECALL_DIR", "/root/testdata/sf0.01"), "documents")
+    rows = [tuple(r) for r in table.filter("text IS NOT NULL").select(F.xxhash64("text").alias("mark"), "text").distinct().collect()]
+    sets = {m: h for m, t in rows if len(h := shinglelinks.shingle_hashes(t.encode()).tolist())}
+    common_ness = Counter(x for h in sets.values() for x in h)
+    index, label, links = {}, {m: m for m in sets}, 0
+    for m, h in sets.items():
+        h = sorted(h, key=lambda x: (common_ness[x], x))
+        seen = set()
+        for x in h[: len(h) - -(-4 * len(h) // 5) + 1]:  # texts at 0.8 share one of their rarest shingles
+            for other in index.setdefault(x, []):
+                if other not in seen:
+                    seen.add(other)
+                    a, b = set(h), set(sets[other])
+                    if len(a & b) >= 0.8 * len(a | b):
+                        links += 1
+                        old, new = label[m], label[other]
+                        if old != new:
+                            label = {k: new if v == old else v for k, v in label.items()}
+            index[x].append(m)
+    groups = {}
+    for m, v in label.items():
+        groups.setdefault(v, set()).add(m)
+    want = {frozenset(g) for g in groups.values() if len(g) > 1}
+    assert links and joined(spark, rows) == want
+
+
 def test_a_failed_guess_hides_no_link(spark):
     rows, want = [], set()
     for g in range(12):  # 204 words, 200 shingles
@@ -418,7 +649,7 @@ def test_counts_are_greedy(documents, texts, empty):
     pieces = set(wordpiece.load_pieces(wordpiece.vocabulary_path()))
     got = by_id(wordpiece.op9_token_counts(documents))
     for i, t in texts:
-        assert got[i] == wordpiece.brute_force(t and t[:3000], pieces) if t is None or len(t) <= 3000 else got[i][0] == len(t.split())
+        assert got[i] == wordpiece.brute_force(t, pieces)
     assert wordpiece.op9_token_counts(empty).count() == 0
 
 
@@ -464,16 +695,42 @@ def test_hard_substrings(spark):
     assert as_rows(out) == sorted(map(str, suffixdedup.brute_force(rows)))
 
 
-def test_pieces_of_long_texts(monkeypatch):
-    text = bytes(np.random.default_rng(3).integers(97, 100, 9000, dtype=np.uint8))
-    whole = list(suffixdedup.segments(text, 360))
-    covered = np.concatenate([np.concatenate([np.arange(s, s + n) for s, n in zip(a, b)]) for a, b, *_ in whole])
-    assert (covered == np.arange(len(text) - 399)).all()
+@pytest.mark.parametrize("few", [32, 2])
+def test_large_groups_of_variants(spark, few):
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in rng.integers(0, 500, 260)]
+    rows = []
+    for i in range(60):  # words changed, so that passages of every length are shared
+        t = base.copy()
+        for at in rng.integers(0, 260, 4):
+            t[at] = f"other{i}"
+        rows.append((i, " ".join(t) if i % 3 else "\n".join(t).upper()))
+    rows += [(90, " ".join(base[:50])), (91, " ".join(base[:51])), (92, "x " * 500), (93, " ".join(base[20:200]).encode().decode() + " é")]
+    marked = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffixdedup.dedup_substrings(marked, few=few).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256), "n_repeated_words", "left")
+    assert as_rows(out) == sorted(map(str, suffixdedup.brute_force(rows)))
+
+
+@pytest.mark.parametrize("piece", [1 << 17, 700])
+def test_pieces_of_long_texts(monkeypatch, piece):
+    monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    suffixdedup.powers.cache_clear()
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 100, 9000, dtype=np.uint8))
+    said = b" ".join(rng.choice([b"ab", b"c", b"d" * 30], 3000))
+    for unit, symbols, size in ((suffixdedup.BYTES, text, len(text)), (suffixdedup.WORDS, said, 3000)):
+        for k in unit.sizes:
+            whole = list(suffixdedup.segments([b"", symbols, None, symbols, b"short"], unit, k))
+            for number in (1, 3):
+                covered = np.concatenate([np.arange(s, s + n) for row, a, b, *_ in whole for r, s, n in zip(row, a, b) if r == number])
+                assert (covered == np.arange(size - unit.window + 1)).all()
+            assert {r for row, *_ in whole for r in row} == {1, 3}
+    suffixdedup.powers.cache_clear()
 
 
 # ---- clashing names, repeated rows
 
-CLASH = ["size", "copies", "target", "source_size", "held_out", "lang_pred", "score", "bits", "rejected", "n_words", "n_hit", "n_items", "items", "contaminated", "n_lines", "n_dropped", "kept", "n_tokens", "fp", "mark", "owner", "runs", "spans", "n_bytes", "n_removed", "known", "len", "n_email", "s", "c", "k", "a.b"]
+CLASH = ["size", "copies", "target", "source_size", "held_out", "lang_pred", "score", "bits", "rejected", "n_words", "n_hit", "n_items", "items", "contaminated", "n_lines", "n_dropped", "kept", "n_tokens", "fp", "mark", "owner", "runs", "spans", "n_bytes", "n_removed", "known", "len", "n_email", "s", "c", "k", "a.b", "__s", "__c", "__hits", "__lose", "__id", "__mark", "__size", "__p", "__new", "__runs", "__copies"]
 
 
 @pytest.fixture(scope="module")
