@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; every stage but the last returns the columns of documents.
+
+Defined cases: null and empty texts and texts without a letter go in the first
+stage, since no language is told for them; of repeated rows and equal texts one
+stays; a row without doc_id stays like others, and its tokens stand first; null
+languages teach nothing, null sources are the last source; an empty table gives
+an empty result after every stage; columns besides those of documents pass all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
