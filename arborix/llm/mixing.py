@@ -6,8 +6,9 @@ random offset in [0, 1) for each source, cross an integer boundary once for
 every copy that the mix takes. Rates are equal within a source, so a prefix sum
 is the rate times the document's rank, and the rank comes from counts of strata
 (source, class of size, salt) plus a row number within the stratum: no source,
-however large, stands in one task. Large documents come first, so that sizes
-taken stay near the target.
+however large, stands in one task. Sizes rise over the odd classes and fall
+over the even ones: both ends of the order are small documents, so that what the
+offset moves weighs little and the words taken stay near the target.
 
 Defined cases: null and empty texts have size 0 and are sampled like others;
 null sources form the last source; a source whose size is 0 has target 0;
@@ -70,6 +71,11 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + F.call_function("shiftright", size, shift) % 8).cast("int")
 
 
+def turn(class_: Column) -> Column:
+    """The place of a class: odd ones up, even ones down again."""
+    return F.when(class_ % 2 == 1, class_).otherwise(1000 - class_)
+
+
 def sized(documents: DataFrame, *, doc_id: str, source: str, text: str, seed: str, salts: int) -> DataFrame:
     """Documents with what decides their place in their source: __source, __size, __class, __salt, __tie, __hash."""
     tie = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-"))).cast("binary"))
@@ -83,7 +89,7 @@ def placed(rows: DataFrame, *, weights: tuple[int, ...], share: float, most: flo
         strata = scratch.keep(rows.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words")))
     totals = targets(strata.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights=weights, share=share, most=most)
     # strata: classes times salts for each source, whatever the number of documents
-    order = Window.partitionBy("__source").orderBy(F.col("__class").desc(), "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__source").orderBy(turn(F.col("__class")), "__salt").rowsBetween(Window.unboundedPreceding, -1)
     based = strata.withColumn("__base", F.coalesce(F.sum("n").over(order), F.lit(0)))
     based = based.join(totals, F.col("__source").eqNullSafe(totals["source"])).select(
         F.col("__source").alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__k"), "__base", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
@@ -127,7 +133,7 @@ def op7_mix(documents: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS tie FROM documents),
 c AS (SELECT *, length(bin(size)) * 8 + (size >> CAST(greatest(length(bin(size)) - 4, 0) AS BIGINT)) % 8 AS class, CAST('0x' || substr(tie, 1, 6) AS BIGINT) % 64 AS salt FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class DESC, salt, size DESC, tie) AS rank FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN class % 2 = 1 THEN class ELSE 1000 - class END, salt, size DESC, tie) AS rank FROM c),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS i FROM d GROUP BY source),
 l AS (SELECT *, CAST([3, 1, 2][i % 3 + 1] AS BIGINT) AS w, 2.0::DOUBLE * source_size AS cap FROM t),
 f AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level

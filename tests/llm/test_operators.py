@@ -492,6 +492,13 @@ def test_mix_counts_words_near_targets(spark, sf_dir):
         assert r.taken == pytest.approx(r.target, rel=0.06)
 
 
+def test_each_source_comes_near_its_target(spark):
+    rows = mixing.op7_mix(common.table(spark, "/root/testdata/sf0.1", "documents"))
+    sources = common.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "source")
+    for r in rows.join(sources, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest")).collect():
+        assert abs(r.taken - r.target) <= max(r.largest, 0.02 * r.target)
+
+
 # ---- SimHash
 
 
