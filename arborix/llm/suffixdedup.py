@@ -248,7 +248,8 @@ def repeated_windows(documents: DataFrame, scratch: common.Scratch, *, units: tu
     try:
         for k in range(batches):
             found.append(scratch.save(index.add(entries.filter(F.col("batch") == k)), f"found{k}"))
-            index.compact()
+            if k + 1 < batches:  # nothing is scanned against the last state
+                index.compact()
     finally:
         index.close()
     # tables, and the same joins at every size: Spark can split a frequent string's rows, and what moves grows as the input does
@@ -256,15 +257,16 @@ def repeated_windows(documents: DataFrame, scratch: common.Scratch, *, units: tu
     close = scratch.save(entries.drop("batch").join(prefixes.hint("merge"), ["head", "anchor"]), "close")
     scratch.drop("entries", "prefixes", *(f"found{k}" for k in range(batches)))
     settle(spark)
-    place = F.struct("owner", "mark", "start", "n", "at").alias("place")
-    different = scratch.save(close.groupBy(*KEY).agg(F.first("kind").alias("kind"), F.count("*").alias("copies"), F.min(place).alias("place")), "different")
+    # any one row of each: an aggregate's firsts are of one row, and numbers need no sort
+    any_row = [F.first(c).alias(c) for c in ("kind", "owner", "mark", "start", "n", "at")]
+    different = scratch.save(close.groupBy(*KEY).agg(F.count("*").alias("copies"), *any_row), "different")
     equal = scratch.save(different.filter("copies > 1").select(*KEY), "equal")
     windows = [scratch.save(close.join(equal.hint("merge"), KEY, "left_semi").select("owner", "mark", "kind", "start", "n"), "whole")]
     scratch.drop("close", "equal")
     # one of each different segment under an anchor that has several, not all of them repeated
     kinds = different.groupBy("head", "anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).filter("kinds > 1 AND fewest = 1")
     kinds = scratch.save(kinds.select("head", "anchor", "kinds"), "kinds")
-    undecided = different.join(kinds.hint("merge"), ["head", "anchor"]).select("anchor", "kind", "kinds", (F.col("copies") == 1).alias("open"), "place.*")
+    undecided = different.join(kinds.hint("merge"), ["head", "anchor"]).select("anchor", "kind", "kinds", (F.col("copies") == 1).alias("open"), "owner", "mark", "start", "n", "at")
     grouped = scratch.save(undecided, "undecided").groupBy("owner", "mark").agg(F.collect_list(F.struct("kind", "start", "n", "at", "anchor", "kinds", "open")).alias("ranges"))
     cut = documents.join(grouped.hint("merge"), ["owner", "mark"]).select("owner", "mark", "text", "ranges")
     held = scratch.save(cut_out(cut, units), "held")
@@ -365,7 +367,7 @@ def finer(held: DataFrame, scratch: common.Scratch, units: tuple[Unit, ...]) ->
     for level in range(1, len(BYTES.sizes)):
         rows = held.select(F.col("id").alias("owner"), F.col("kind").cast("long").alias("mark"), "text")
         entries = scratch.save(union([sample(rows.filter(F.col("mark") == u.kind), (u,), level) for u in units]), f"entries{level}")
-        different = entries.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min(F.struct("owner", "start", "n")).alias("place"))
+        different = entries.groupBy(*KEY).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("owner", "start", "n")])
         different = scratch.save(different, f"different{level}")
         again = entries.join(different.filter("copies > 1").select(*KEY).hint("merge"), KEY, "left_semi").select(F.col("owner").alias("id"), F.col("start").alias("at"), "n")
         placed = held.drop("text").join(again.hint("merge"), "id")  # places inside a segment -> places in its document
@@ -374,7 +376,7 @@ def finer(held: DataFrame, scratch: common.Scratch, units: tuple[Unit, ...]) ->
         if level + 1 < len(BYTES.sizes):
             kinds = different.groupBy("head", "anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).filter("kinds > 1 AND fewest = 1")
             kinds = scratch.save(kinds.select("head", "anchor"), f"kinds{level}")
-            ranges = different.join(kinds.hint("merge"), ["head", "anchor"], "left_semi").select("place.*").groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+            ranges = different.join(kinds.hint("merge"), ["head", "anchor"], "left_semi").groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
             held = scratch.save(cut_again(held.join(ranges.hint("merge"), "id"), units).withColumn("id", F.monotonically_increasing_id()), f"held{level}")
     return out
 
