@@ -56,6 +56,11 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
+#: How scratch tables are written. On a local or mounted disk there are no checksum files beside them: each file takes Hadoop's
+#: local file system another process that sets its mode.
+WRITING = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Tables of one operator run, each written once and read back. What is not dropped or closed before goes when the driver ends."""
 
@@ -65,7 +70,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         where, schema = f"{self.path}/{name}", df.schema
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(where)
+        df.write.options(**WRITING).partitionBy(*by).parquet(where)
         return self.spark.read.schema(schema).parquet(where)
 
     def drop(self, *names: str) -> None:
@@ -76,7 +81,7 @@ class Scratch:
         """Materialises a result, removes everything that led to it, and keeps it until the driver ends."""
         where, schema = f"{self.path}-kept", df.schema
         delete_on_exit(self.spark, where)
-        df.write.mode("append").option("compression", "zstd").parquet(where)
+        df.write.mode("append").options(**WRITING).parquet(where)
         self.close()
         return self.spark.read.schema(schema).parquet(where)
 

@@ -41,7 +41,7 @@ class Runs:
     def _write(self, entries: DataFrame) -> str:
         name = f"{self.label}_{uuid.uuid4().hex}"
         rows = entries.select(*self.keys, *self.merge).repartition(self.buckets, *self.keys)
-        rows.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).options(**common.WRITING).option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def append(self, entries: DataFrame) -> DataFrame:

@@ -202,11 +202,11 @@ def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: st
     ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     written = common.arrow_stream("tokens", ranged.select("doc_id", "text"), _writer(folder, path, dtype, end_id, file_tokens), MANIFEST)
     numbered = written.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id(), "dtype": F.lit(dtype)})
-    numbered.write.parquet(f"{folder}/files")  # once: the files exist from here on
+    numbered.write.options(**common.WRITING).parquet(f"{folder}/files")  # once: the files exist from here on
     files = spark.read.parquet(f"{folder}/files")
     before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = files.withColumns({"number": F.row_number().over(Window.orderBy("at")) - 1, "base": F.coalesce(F.sum("tokens").over(before), F.lit(0))})
-    based.select("number", "file", "first", "docs", "tokens", "size", "base", "dtype").coalesce(1).write.parquet(f"{folder}/manifest")
+    based.select("number", "file", "first", "docs", "tokens", "size", "base", "dtype").coalesce(1).write.options(**common.WRITING).parquet(f"{folder}/manifest")
     known = {r.file for r in files.select("file").toLocalIterator()}
     for info in fs.get_file_info(pafs.FileSelector(base)):  # what lost and repeated tasks left behind
         if info.is_file and info.extension in ("bin", "idx") and info.base_name.partition(".")[0] not in known:
@@ -214,15 +214,17 @@ def write(documents: DataFrame, folder: str, *, doc_id: str = "doc_id", text: st
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document read back from the files, ids as the stored little-endian bytes."""
+def read(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, width, ids): every document read back from the files, ids as the stored little-endian bytes, or
+    as such of ``width`` bytes each."""
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "base", "dtype", "docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         for batch in batches:
             for file, start, dtype, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                width = np.dtype(dtype).itemsize
+                stored = np.dtype(dtype).itemsize
+                given = width or stored
                 with fs.open_input_file(f"{base}/{file}.idx") as f:
                     index = f.read()
                 ids, offsets = np.frombuffer(index, "<i8", docs), np.frombuffer(index, "<u8", docs + 1, 8 * docs).astype(np.int64)
@@ -230,11 +232,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     for a in range(0, docs, common.BATCH_ROWS):
                         cut = offsets[a : a + common.BATCH_ROWS + 1]
                         doc = pa.array(ids[a : a + common.BATCH_ROWS], mask=ids[a : a + common.BATCH_ROWS] == NO_ID)
-                        f.seek(int(cut[0]) * width)
-                        held = memoryview(f.read(int(cut[-1] - cut[0]) * width))
-                        at = ((cut - cut[0]) * width).tolist()
+                        f.seek(int(cut[0]) * stored)
+                        held = memoryview(f.read(int(cut[-1] - cut[0]) * stored))
+                        if given != stored:
+                            held = memoryview(np.frombuffer(held, dtype).astype(f"<u{given}").tobytes())
+                        at = ((cut - cut[0]) * given).tolist()
                         rows = pa.array([bytes(held[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                        yield pa.record_batch([doc, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array([width] * len(rows), pa.int32()), rows], names=["doc_id", "start", "n_tokens", "width", "ids"])
+                        yield pa.record_batch([doc, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array([given] * len(rows), pa.int32()), rows], names=["doc_id", "start", "n_tokens", "width", "ids"])
 
     count = max(1, manifest.count())  # a file is a task: at most eight million ids
     return common.arrow_stream("tokens", manifest.repartition(count, "file"), run, "doc_id long, start long, n_tokens long, width int, ids binary")
@@ -286,11 +290,7 @@ def op3_token_binary(documents: DataFrame) -> DataFrame:
     write(documents, folder)
     common.delete_on_exit(spark, folder)
 
-    def digest(width: pa.Array, ids: pa.Array) -> pa.Array:
-        kinds = {2: "<u2", 4: "<u4"}
-        return pa.array([zlib.crc32(np.frombuffer(b, kinds[w]).astype("<u4").tobytes()) for w, b in zip(width.to_pylist(), ids.to_pylist(), strict=True)], pa.int64())
-
-    return read(spark, folder).select("doc_id", "start", "n_tokens", common.arrow_udf("tokens", digest, "long")("width", "ids").alias("ids_crc32"))
+    return read(spark, folder, width=4).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def brute_force(documents: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int]]:
