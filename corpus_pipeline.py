@@ -64,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(f"{folder}/{k}")
+        out.write.options(**common.WRITING).parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
         if k:
             common.delete(spark, f"{folder}/{k - 1}")
