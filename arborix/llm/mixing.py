@@ -98,7 +98,8 @@ def placed(rows: DataFrame, *, weights: tuple[int, ...], share: float, most: flo
     )
     within = Window.partitionBy("__source", "__class", "__salt").orderBy(F.col("__size").desc(), "__tie", "__hash")
     ranked = rows.withColumn("__rank", F.row_number().over(within))
-    joined = ranked.join(based, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__k")))
+    # null-safe throughout: a filter on keys that are not null would have sizes counted twice
+    joined = ranked.join(based, F.col("__source").eqNullSafe(F.col("__s")) & F.col("__class").eqNullSafe(F.col("__c")) & F.col("__salt").eqNullSafe(F.col("__k")))
     rank = F.col("__base") + F.col("__rank")
     crossed = F.floor(F.col("__rate") * rank + F.col("__offset")) - F.floor(F.col("__rate") * (rank - 1) + F.col("__offset"))
     return joined.withColumn("__copies", crossed.cast("int"))
