@@ -17,6 +17,7 @@ doc_ids come first; other columns are left out.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -36,7 +37,7 @@ END_ID = 0
 #: Null doc_ids in an index.
 NO_ID = -(1 << 63)
 #: Words that a worker remembers in each of two generations.
-GENERATION = 120_000
+GENERATION = 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -51,6 +52,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
 
+#: Letters and digits, and marks behind them that no contraction begins with.
+TAIL = re.compile(r"([^\W_]+)([^\w\s']+)")
+
+
 class Irregular(ValueError):
     """A text that may not be cut at its blanks."""
 
@@ -60,8 +65,8 @@ class Encoder(dict):
 
     A blank between two characters that are not white space begins a pre-token in any case, so the ids of a regular
     text (its blanks all stand so) are those of its words, one after the other. Words of letters only are one pre-token
-    and go straight to the model; a point or comma after a letter or digit, and a line feed inside a word, are cut off as
-    pre-tokens of their own; all else takes the whole way, as do texts that are not regular or hold a special token.
+    and go straight to the model; marks after a letter or digit, and a line feed inside a word, are cut off as pre-tokens
+    of their own; all else takes the whole way, as do texts that are not regular or hold a special token.
 
     The memory has two generations: what is asked for moves to the young one, and when that is full it becomes the old
     one and the words that were not asked for since are forgotten. Keys that begin with a blank stand for words that
@@ -97,8 +102,18 @@ class Encoder(dict):
             return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         if not letters or letters[0].isspace() or letters[-1].isspace():
             raise Irregular
+        if tail := TAIL.fullmatch(letters):
+            return self[word[: -len(tail[2])]] + self.mark(tail[2])
         return self.whole(letters if plain else " " + letters)
 
+    def mark(self, marks: str) -> bytes:
+        """The ids of a run of marks behind a letter or digit: a pre-token of its own."""
+        if (out := self.marks.get(marks)) is None:
+            out = self.whole(marks)
+            if len(marks) < 8 and len(self.marks) < 10_000:
+                self.marks[marks] = out
+        return out
+
     def __missing__(self, word: str) -> bytes:
         if (mark := self.marks.get(word[-1:])) is not None and word[-2:-1].isalnum():
             return self[word[:-1]] + mark  # parts are remembered, not the whole
