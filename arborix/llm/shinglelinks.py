@@ -209,8 +209,9 @@ def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame,
     cell = F.xxhash64("key", F.least("share", "with"), F.greatest("share", "with"))
     members = scratch.save(members.select(cell.alias("cell"), "mark", "root", "share", (F.col("share") == F.col("with")).alias("one")), "members")
     marks = scratch.save(members.select("mark").distinct(), "marks")
-    # copies go before the join, task by task: a join first would bring all copies of a text to one task
-    bodies = texts.dropDuplicates(["mark"]).join(marks.hint("merge"), "mark", "left_semi").select("mark", common.arrow_udf("near", _hashes, "binary")("text").alias("hashes"))
+    # copies go before the join, task by task: a join first would bring all copies of a text to one task (as Spark does
+    # with a semi join, which it moves below the aggregate; marks are distinct, so an inner one is the same)
+    bodies = texts.dropDuplicates(["mark"]).join(marks.hint("merge"), "mark").select("mark", common.arrow_udf("near", _hashes, "binary")("text").alias("hashes"))
     bodies = scratch.save(bodies.join(each.select("mark", "fp", "low").hint("merge"), "mark"), "hashes")
     rows = members.join(bodies.hint("merge"), "mark").select("cell", "mark", "root", "share", "one", "fp", "low", "hashes")
     parts = common.partitions(texts)
@@ -232,7 +233,7 @@ def links(texts: DataFrame, scratch: common.Scratch, *, similarity: float = 0.8,
     found = common.arrow_stream("near", rows.repartition(parts, "key").sortWithinPartitions("key", "mark"), pair_up(similarity - slack, crowd), "a long, b long")
     found = scratch.save(found.distinct(), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    bodies = scratch.save(texts.dropDuplicates(["mark"]).join(ends.hint("merge"), "mark", "left_semi"), "bodies")
+    bodies = scratch.save(texts.dropDuplicates(["mark"]).join(ends.hint("merge"), "mark"), "bodies")
     a, b = (bodies.select(F.col("mark").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in "ab")
     verified = found.join(a, "a").join(b, "b").withColumn("j", common.arrow_udf("near", _jaccards, "double")("text_a", "text_b"))
     first = scratch.save(verified.filter(F.col("j") >= similarity).select("a", "b"), "first")
