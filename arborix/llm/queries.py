@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, mixing, mpegaudio, simhash, suffixdedup, surrogates, tokenbin, wordpiece
+from . import bpe, decontaminate, infill, langid, linededup, mixing, mpegaudio, periodic, simhash, suffixdedup, surrogates, tokenbin, wordpiece
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": on_documents(simhash.op8_simhash),
     "op9_token_counts": on_documents(wordpiece.op9_token_counts),
     "op10_suffix_dedup": on_documents(suffixdedup.op10_suffix_dedup),
+    "op11_infill": on_documents(infill.op11_infill),
+    "op12_periodic": on_documents(periodic.op12_periodic),
+    "op13_bpe": on_documents(bpe.op13_bpe),
     "pipeline": pipeline,
 }
 
@@ -40,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op5_line_dedup": linededup.SQL,
     "op7_mix": mixing.SQL,
+    "op11_infill": infill.SQL,
 }
