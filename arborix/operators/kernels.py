@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kdtree import Tree
+
 XYZ = ["x", "y", "z"]
 
 
-#: Distances that are held at once.
-BLOCK = 1 << 21
+#: Distances that are held at once, and pairs of points from which on a tree finds the nearest sooner.
+BLOCK, LARGE = 1 << 21, 1 << 21
 
 
 def distances2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -307,9 +309,12 @@ def tangents(xyz: np.ndarray, k: int = 5) -> np.ndarray:
 
 def pair_score(query: np.ndarray, target: np.ndarray, table: np.ndarray, distances: np.ndarray, angles: np.ndarray) -> float:
     """Mean over the query's points (x, y, z, tangent) of the table's score for the distance to the nearest target point and the angle between tangents."""
-    near, d2 = np.zeros(len(query), np.int64), np.zeros(len(query))
-    for k, some in blocks(query[:, :3], target[:, :3]):
-        near[k : k + len(some)], d2[k : k + len(some)] = some.argmin(axis=1), some.min(axis=1)
+    if len(query) * len(target) > LARGE:
+        near, d2 = Tree(target[:, :3]).nearest(query[:, :3])
+    else:
+        near, d2 = np.zeros(len(query), np.int64), np.zeros(len(query))
+        for k, some in blocks(query[:, :3], target[:, :3]):
+            near[k : k + len(some)], d2[k : k + len(some)] = some.argmin(axis=1), some.min(axis=1)
     dot = np.abs((query[:, 3:] * target[near, 3:]).sum(axis=1))
     row = np.clip(np.searchsorted(distances, np.sqrt(d2), "right") - 1, 0, len(table) - 1)
     column = np.clip(np.searchsorted(angles, dot, "right") - 1, 0, table.shape[1] - 1)

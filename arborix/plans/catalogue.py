@@ -15,6 +15,9 @@ from ..operators import graph as G
 from ..operators import images as IM
 from ..operators import joins as J
 from ..operators import kernels as K
+from ..operators import kdtree as KD
+from ..operators import near as NE
+from ..operators import paths as P
 from ..operators import ranking as R
 from ..operators import selection as SEL
 from ..operators import skeletonize as T
@@ -511,6 +514,13 @@ def jo1_nearest(em_point, frag_point):
     return J.nearest(frag_point, em_point, 25, ["fp"], ["em_id", "em_pt"]).select("fp", "em_id", "em_pt", F.round("d2", 6).alias("d2"))
 
 
+@query(f"SELECT CAST(f.frag_id AS INT) AS em_id, f.fp, e.em_pt, round({_D2}, 6) AS d2 FROM em_point e JOIN frag_point f ON e.em_id = f.frag_id QUALIFY row_number() OVER (PARTITION BY f.fp ORDER BY {_D2}, e.em_pt) = 1", "em_point", "frag_point")
+def jo1_nearest_unbounded(em_point, frag_point):
+    """The nearest point of its own target for each fragment point, however far."""
+    found = KD.nearest_in_group(frag_point.withColumn("em_id", F.col("frag_id").cast("int")), em_point, ["em_id"], "fp", "em_pt")
+    return found.withColumn("d2", F.round("d2", 6))
+
+
 @query(f"SELECT e.em_id, e.em_pt, f.fp, round({_D2}, 6) AS d2 FROM em_point e JOIN frag_point f ON e.em_id = f.frag_id", "em_point", "frag_point")
 def jo2_all_distances(em_point, frag_point):
     pairs = J.all_distances(em_point, frag_point.withColumn("em_id", F.col("frag_id").cast("int")), ["em_id"])
@@ -968,6 +978,18 @@ def jo10_normalized(swc):
     return K.normalized(files.read_back(_all_pairs(swc), "pairs"))
 
 
+#: Beyond the last edge any two points score the same.
+_NEAR_DISTANCES = np.array([0.0, 2, 5, 10, 20])
+_NEAR_TABLE = np.vstack([np.linspace(1, -0.5, len(_NEAR_DISTANCES) - 1)[:, None] * np.linspace(0.5, 1, len(_ANGLES))[None], np.full((1, len(_ANGLES)), -1.0)])
+
+
+@query(None, "swc")
+def jo10_near(swc):
+    """Every skeleton against every other, the kernel on pairs that share a cell only."""
+    d = files.read_back(K.per_skeleton(swc, K.dotprops(5), _DOTPROPS), "dotprops")
+    return NE.similarity_of_near(d, d, _NEAR_TABLE, _NEAR_DISTANCES, _ANGLES)
+
+
 @query(None, "voxel")
 def ag9_color_centers(voxels):
     return SEL.color_modes(voxels, ["label"])
@@ -1008,6 +1030,43 @@ def gr6_resampled(swc):
     return G.resampled(swc, 10.0)
 
 
+_EDGES = """e AS (SELECT a.skel_id, a.node_id AS a, b.node_id AS b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM swc a JOIN swc b ON a.skel_id = b.skel_id AND (a.parent_id = b.node_id OR b.parent_id = a.node_id))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES},
+    w AS (SELECT skel_id, a AS src, a AS prev, b AS cur, [a, b] AS way, [0.0e0, d] AS ats FROM e WHERE (SELECT count(*) FROM e g WHERE g.skel_id = e.skel_id AND g.a = e.a) = 1
+          UNION ALL SELECT w.skel_id, w.src, w.cur, e.b, list_append(w.way, e.b), list_append(w.ats, w.ats[-1] + e.d) FROM w JOIN e ON e.skel_id = w.skel_id AND e.a = w.cur AND e.b <> w.prev),
+    l AS (SELECT * FROM w WHERE src < cur QUALIFY row_number() OVER (PARTITION BY skel_id ORDER BY round(ats[-1], 9) DESC, src, cur) = 1)
+    SELECT skel_id, way[i] AS node_id, CASE WHEN i = 1 THEN -1 ELSE way[i - 1] END AS parent_id, round(ats[i], 6) AS at FROM l, unnest(range(1, len(way) + 1)) u(i)""",
+    "swc",
+)
+def gr5_spine_skeleton(swc):
+    """The longest path of each skeleton, by length, as a skeleton."""
+    return P.spine(swc).select("skel_id", "node_id", "parent_id", F.round("at", 6).alias("at"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT skel_id, parent_id AS node_id, count(*) AS n FROM swc WHERE parent_id <> -1 GROUP BY 1, 2),
+    k AS (SELECT s.*, s.parent_id = -1 OR coalesce(c.n, 0) <> 1 AS key, coalesce(sqrt((s.x-p.x)*(s.x-p.x)+(s.y-p.y)*(s.y-p.y)+(s.z-p.z)*(s.z-p.z)), 0) AS edge, p.x AS px, p.y AS py, p.z AS pz
+          FROM swc s LEFT JOIN c USING (skel_id, node_id) LEFT JOIN swc p ON p.skel_id = s.skel_id AND p.node_id = s.parent_id),
+    r AS (SELECT k.skel_id, k.node_id, k.node_id AS top, k.parent_id AS upper, k.edge AS arc, k.key FROM k JOIN k u ON u.skel_id = k.skel_id AND u.node_id = k.parent_id AND u.key
+          UNION ALL SELECT k.skel_id, k.node_id, r.top, r.upper, r.arc + k.edge, k.key FROM r JOIN k ON k.skel_id = r.skel_id AND k.parent_id = r.node_id WHERE NOT r.key),
+    t AS (SELECT skel_id, top, upper, node_id AS lower, arc AS total, CASE WHEN arc > 10.0e0 THEN greatest(CAST(ceil(arc / 10.0e0 - 1e-9) AS BIGINT) - 1, 0) ELSE 0 END AS n FROM r WHERE key),
+    b AS (SELECT t.*, coalesce(sum(n) OVER (PARTITION BY t.skel_id ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + g.most AS base FROM t JOIN (SELECT skel_id, max(node_id) AS most FROM swc GROUP BY 1) g USING (skel_id)),
+    x AS (SELECT r.*, k.edge, k.x, k.y, k.z, k.px, k.py, k.pz, k.parent_id, b.total, b.n, b.base FROM r JOIN k USING (skel_id, node_id) JOIN b USING (skel_id, top)),
+    i AS (SELECT *, unnest(range(CAST(floor((arc - edge) / 10.0e0 + 1e-9) AS BIGINT) + 1, least(CAST(floor(arc / 10.0e0 + 1e-9) AS BIGINT), n) + 1)) AS j FROM x WHERE total > 10.0e0),
+    o AS (SELECT skel_id, base + j AS node_id, CASE WHEN j = 1 THEN upper ELSE base + j - 1 END AS parent_id, px + (x - px) * f AS x, py + (y - py) * f AS y, pz + (z - pz) * f AS z FROM (SELECT *, CASE WHEN edge > 0 THEN (j * 10.0e0 - (arc - edge)) / edge ELSE 0 END AS f FROM i)
+          UNION ALL SELECT skel_id, node_id, CASE WHEN total <= 10.0e0 THEN parent_id WHEN n > 0 THEN base + n ELSE upper END, x, y, z FROM x WHERE key OR total <= 10.0e0
+          UNION ALL SELECT skel_id, node_id, -1, x, y, z FROM swc WHERE parent_id = -1)
+    SELECT skel_id, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id AS BIGINT) AS parent_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM o""",
+    "swc",
+)
+def gr6_resampled_segments(swc):
+    """Skeletons with even points along whole segments; what comes out is a skeleton again."""
+    return P.resampled(swc, 10.0).select("skel_id", "node_id", "parent_id", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 @query(None, "swc")
 def gr8_dotprops(swc):
     return K.per_skeleton(swc, K.dotprops(5), _DOTPROPS)

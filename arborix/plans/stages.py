@@ -1,7 +1,7 @@
 """The search as stages that run one by one, each from folders to a folder: ``python -m arborix.plans.stages STAGE --help``.
 
 Paths are relative to ``--data`` (by default the environment's ``ARBORIX_DATA``). A stage whose result is there already
-is left alone unless ``--again`` is given. Sides are told apart by name: the second holds the mirrored fragments.
+is left alone unless ``--again`` is given; ``follow`` goes on where it stopped. Sides are told apart by name: the second holds the mirrored fragments.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import argparse
 import os
 from collections.abc import Callable
 from dataclasses import fields
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as FI
-from ..operators import graph as G
 from ..operators import kernels as K
+from ..operators import near as N
+from ..operators import paths as P
 from ..operators import skeletonize as T
 from ..sources import files, volumes
-from . import search
+from . import progress, search
 
 DOTPROPS = "skel string, node_id int, x double, y double, z double, tx double, ty double, tz double"
 SIDES = ("normal", "flipped")
@@ -53,8 +55,14 @@ def prune(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def resample(spark: SparkSession, o: argparse.Namespace) -> None:
-    """Points along the skeletons at most ``--step`` apart, as a table."""
-    G.resampled(files.read_swc(spark, o.skeletons), o.step, "skel").write.parquet(o.out)
+    """Skeletons with a node every ``--step`` along their segments, a file each."""
+    new = P.resampled(files.read_back(files.read_swc(spark, o.skeletons), "skeletons"), o.step, "skel", ("x", "y", "z", "diameter"))
+    files.write_swc(new.withColumn("node_type", F.lit(0)), o.out)
+
+
+def spines(spark: SparkSession, o: argparse.Namespace) -> None:
+    """The longest path of each skeleton, a file each."""
+    files.write_swc(P.spine(files.read_back(files.read_swc(spark, o.skeletons), "skeletons"), "skel"), o.out)
 
 
 def colors(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -74,7 +82,8 @@ def _sides(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 
 
 def scores(spark: SparkSession, o: argparse.Namespace) -> None:
-    """Each fragment of either side against each target and the target without its short branches."""
+    """Each fragment of either side against each target and the target without its short branches. ``--near 1``: only those that
+    share a cell with it, for a table whose last row holds one value, below the least score."""
     table = np.loadtxt(o.table, delimiter=",", ndmin=2)  # first row: angles; first column: distances
     frags = _sides(spark, o).withColumn("skel", F.concat_ws("|", "side", "skel"))
     sizes = frags.groupBy("skel").agg(F.count("*").alias("frag_points")).filter(F.col("frag_points") > o.least_points)
@@ -82,24 +91,47 @@ def scores(spark: SparkSession, o: argparse.Namespace) -> None:
     out = sizes.withColumnRenamed("skel", "query")
     pairs = None
     for name, folder in (("score_full", o.targets), ("score_pruned", o.pruned)):
-        one = K.similarity(queries, _dotprops(files.read_swc(spark, folder), 5), table[1:, 1:], table[1:, 0], table[0, 1:], ids="string").withColumnRenamed("score", name)
-        pairs = one if pairs is None else pairs.join(one, ["query", "target"])
+        score = partial(N.similarity_of_near, fill=False) if o.near else K.similarity
+        one = score(queries, _dotprops(files.read_swc(spark, folder), 5), table[1:, 1:], table[1:, 0], table[0, 1:], ids="string").withColumnRenamed("score", name)
+        pairs = one if pairs is None else pairs.join(one, ["query", "target"], "full_outer" if o.near else "inner")
+    if o.near:  # what is far from one form of the target may be near the other
+        pairs = pairs.fillna(N.far_score(table[1:, 1:]), ["score_full", "score_pruned"])
     key = F.split("query", r"\|")
     rows = pairs.join(out, "query").select(F.col("target").alias("em_id"), key[0].alias("side"), S.volume_of(key[1]).alias("lm_vol"), S.fragment_of(key[1]).alias("frag_id"), "frag_points", "score_full", "score_pruned")
     rows.filter(FI.either_score(o.least_score, "score_full", "score_pruned")).write.parquet(o.out)
 
 
-def match(spark: SparkSession, o: argparse.Namespace) -> None:
-    """Filters, coverage, matching and ranking: the entries of all targets."""
+def _tables(spark: SparkSession, o: argparse.Namespace) -> tuple[search.SearchOptions, DataFrame, DataFrame, DataFrame]:
+    """Options, the targets' weighted points, the fragments' points and colours."""
     options = search.SearchOptions(**{f.name: getattr(o, f.name) for f in fields(search.SearchOptions)})
     em = files.read_swc(spark, o.targets).withColumnRenamed("skel", "skel_id")
     weights = K.per_skeleton(em, K.weigh, "skel_id string, node_id int, weight double")
     points = em.join(weights, ["skel_id", "node_id"]).select(F.col("skel_id").alias("em_id"), F.col("node_id").alias("em_pt"), "x", "y", "z", F.col("weight").alias("seg_len"))
     frags = _sides(spark, o).select("side", S.volume_of(F.col("skel")).alias("lm_vol"), S.fragment_of(F.col("skel")).alias("frag_id"), F.col("node_id").alias("fp"), "x", "y", "z")
-    found = search.entries(spark.read.parquet(o.scores), files.read_back(points, "points"), files.read_back(frags, "fragments"), spark.read.parquet(o.colors), options)
+    return options, files.read_back(points, "points"), files.read_back(frags, "fragments"), spark.read.parquet(o.colors)
+
+
+def match(spark: SparkSession, o: argparse.Namespace) -> None:
+    """Filters, coverage, matching and ranking: the entries of all targets."""
+    options, points, frags, colors = _tables(spark, o)
+    found = search.entries(spark.read.parquet(o.scores), points, frags, colors, options)
     search.ranked(files.read_back(found, "entries"), options).write.parquet(o.out)
 
 
+def follow(spark: SparkSession, o: argparse.Namespace) -> None:
+    """The same, some volumes at a time: run again after it was stopped, it goes on with the volumes that are left. The ranking
+    is in the folder ``ranked`` of the result; with ``--again`` all volumes are scored anew."""
+    options, points, frags, colors = _tables(spark, o)
+    progress.deal_by_volume(spark.read.parquet(o.scores), f"{o.out}/scores", o.volumes_per_batch)
+
+    def score(batch: DataFrame) -> DataFrame:
+        near = frags.join(batch.select("lm_vol").distinct(), "lm_vol", "left_semi")
+        return search.entries(batch, points, near, colors, options)
+
+    progress.follow(spark, f"{o.out}/scores", o.out, score)
+    search.ranked(progress.entries(spark, o.out), options).write.mode("overwrite").parquet(f"{o.out}/ranked")
+
+
 def report(spark: SparkSession, o: argparse.Namespace) -> None:
     """The best volumes of each target as comma-separated files, a folder each."""
     rows = spark.read.parquet(o.entries).filter((F.col("cov_score") < 0) & (F.col("position") < o.best))
@@ -112,13 +144,19 @@ STAGES: dict[str, tuple[Callable, tuple[str, ...], dict[str, object]]] = {
     "skeletons": (skeletons, ("labels",), {"key": "volumes", "volume": "volume", "least_cable": 0.0}),
     "prune": (prune, ("skeletons",), {"length": 60.0, "rounds": 3}),
     "resample": (resample, ("skeletons",), {"step": 1.0}),
+    "spines": (spines, ("skeletons",), {}),
     "colors": (colors, ("labels", "raw"), {"key": "volumes", "raw_key": "volumes/raw", "volume": "volume"}),
-    "scores": (scores, ("targets", "pruned", "fragments", "table"), {"width": S.WIDTH, "least_points": 10, "least_score": -0.5}),
+    "scores": (scores, ("targets", "pruned", "fragments", "table"), {"width": S.WIDTH, "least_points": 10, "least_score": -0.5, "near": 0}),
     "match": (match, ("targets", "fragments", "scores", "colors"), {"width": S.WIDTH} | {f.name: f.default for f in fields(search.SearchOptions)}),
+    "follow": (follow, ("targets", "fragments", "scores", "colors"), {"width": S.WIDTH, "volumes_per_batch": 1000} | {f.name: f.default for f in fields(search.SearchOptions)}),
     "report": (report, ("entries",), {"best": 150}),
 }
 
 
+#: Stages whose result may be there in part.
+RESUMED = ("follow",)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description=__doc__)
     stages = top.add_subparsers(dest="stage", required=True)
@@ -142,9 +180,10 @@ def run(spark: SparkSession, arguments: list[str]) -> bool:
         setattr(o, path, value if value.startswith("/") or "://" in value else f"{o.data.rstrip('/')}/{value}")
     fs, place = files.folder_of(o.out)
     if fs.get_file_info(place).is_file or fs.get_file_info(f"{place}").type.name == "Directory":
-        if not o.again:
+        if not o.again and o.stage not in RESUMED:
             return False
-        files.remove(spark, o.out)
+        if o.again:
+            files.remove(spark, o.out)
     f(spark, o)
     return True
 

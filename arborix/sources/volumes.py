@@ -1,158 +1,49 @@
-"""Volumes as chunked arrays on disk (zarr, version 2) and as voxel tables.
-
-A chunk is one file and one task's work at a time; background (0) has no rows.
-Metadata and chunks are read by Spark, from any store it can read; chunks are
-written by the task that holds them, under their final name in one step.
-"""
+"""Volumes as voxel tables, read from and written to chunked arrays (``arrays``); background (0) has no rows."""
 
 from __future__ import annotations
 
-import json
-import re
-import struct
-import uuid
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import reading, register
+from .codecs import decompressed  # noqa: F401  part of this module's names
 from .files import folder_of, remove
 
 
-#: Codecs of a Blosc frame, by their number in its flags; the first, its own, is not among them.
-BLOSC = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
-
-
-def unblosc(data: bytes) -> bytes:
-    """The bytes of a Blosc frame: a header of 16 bytes, where each block begins, and each block's streams, its bytes dealt by their place in an item."""
-    flags, size = data[2], data[3]
-    total, block, _ = struct.unpack("<III", data[4:16])
-    if flags & 2:  # stored as they are
-        return data[16 : 16 + total]
-    codec = BLOSC.get(flags >> 5)
-    if codec is None or flags & 4:
-        raise ValueError("Blosc frames of its own codec or with shuffled bits cannot be read")
-    count, out = -(-total // block), []
-    for k, at in enumerate(struct.unpack(f"<{count}I", data[16 : 16 + 4 * count])):
-        n = min(block, total - k * block)
-        streams = size if not flags & 16 and size <= 16 and n == block and block // size >= 128 else 1
-        parts = []
-        for _ in range(streams):
-            packed, want = struct.unpack("<i", data[at : at + 4])[0], n // streams
-            piece = data[at + 4 : at + 4 + packed]
-            parts.append(piece if packed == want else unpacked(piece, codec, want))
-            at += 4 + packed
-        whole = b"".join(parts)
-        if flags & 1 and size > 1:
-            items = n // size * size
-            whole = np.frombuffer(whole[:items], np.uint8).reshape(size, -1).T.tobytes() + whole[items:]
-        out.append(whole)
-    return b"".join(out)
-
-
-def unpacked(data: bytes, codec: str, size: int) -> bytes:
-    return zlib.decompress(data) if codec == "zlib" else pa.decompress(data, size, codec, asbytes=True)
-
-
-def decompressed(data: bytes, kind: str | None) -> bytes:
-    if kind is None:
-        return data
-    if kind in ("zlib", "gzip"):
-        return zlib.decompress(data, 47)
-    if kind == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    if kind == "lz4":  # the size stands before the block
-        return pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], "lz4_raw", asbytes=True)
-    if kind == "blosc":
-        return unblosc(data)
-    raise ValueError(f"chunks compressed by {kind!r} cannot be read")
-
-
-def small_file(spark: SparkSession, path: str) -> str:
-    """A file's text, by Hadoop's file systems: Spark's readers pass over names that begin with a point."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def read_zarr(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(at: array of indices, value) of the values other than 0 of an array of 3 or 4 axes."""
-    meta = json.loads(small_file(spark, f"{path}/{key}/.zarray"))
-    shape, chunks, separator = meta["shape"], meta["chunks"], meta.get("dimension_separator", ".")
-    if meta.get("filters"):
-        raise ValueError("arrays with filters cannot be read")
-    kind, order, dtype = (meta["compressor"] or {}).get("id"), meta["order"], meta["dtype"]
-    pattern = re.compile(r"(\d+(?:[./]\d+)*)$")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", separator == "/").load(f"{path}/{key}")
-
-    def run(batches):
-        for batch in batches:
-            for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tail = "/".join(where.split("/")[-len(shape) :]) if separator == "/" else where.rsplit("/", 1)[-1]
-                if not (m := pattern.fullmatch(tail)):
-                    continue
-                block = np.frombuffer(decompressed(data, kind), dtype).reshape(chunks, order=order)
-                at = np.argwhere(block)
-                values = block[tuple(at.T)].astype(np.int64)
-                at = at + np.array([int(i) for i in m[1].split(separator)]) * np.array(chunks)
-                inside = (at < np.array(shape)).all(axis=1)
-                yield pa.record_batch({"at": pa.array(list(at[inside].astype(np.int32)), pa.list_(pa.int32())), "value": values[inside]})
-
-    return files.select("path", "content").mapInArrow(run, "at array<int>, value long")
-
-
 def load_labels(spark: SparkSession, path: str, key: str = "volumes") -> DataFrame:
-    """(z, y, x, label) of the voxels that belong to a fragment."""
-    return read_zarr(spark, path, key).select(*[F.col("at")[k].alias(c) for k, c in enumerate("zyx")], F.col("value").alias("label"))
+    """(z, y, x, label) of the voxels that belong to a fragment; a box of them reads the chunks it touches."""
+    return reading(spark, path, key, value="label")
 
 
 def load_raw(spark: SparkSession, path: str, key: str = "volumes/raw") -> DataFrame:
     """(z, y, x, r, g, b) of the voxels that are not black."""
-    each = read_zarr(spark, path, key).select(F.col("at")[0].alias("c"), *[F.col("at")[k + 1].alias(a) for k, a in enumerate("zyx")], "value")
-    channel = lambda k: F.coalesce(F.max(F.when(F.col("c") == k, F.col("value"))), F.lit(0)).alias("rgb"[k])
-    return each.groupBy("z", "y", "x").agg(*[channel(k) for k in range(3)])
+    return reading(spark, path, key, channels="r,g,b")
+
 
+def write_zarr(voxels: DataFrame, path: str, key: str, axes: list[str], value: str, shape: list[int], chunks: list[int], dtype: str = "<u8", overwrite: bool = False) -> bool:
+    """Writes values other than 0 as a gzip-compressed array, whole or not at all; leaves an array that is there alone and returns False.
 
-def write_zarr(voxels: DataFrame, path: str, key: str, axes: list[str], value: str, shape: list[int], chunks: list[int], dtype: str = "<u8") -> bool:
-    """Writes values other than 0 as a gzip-compressed array; leaves an array that is there alone and returns False."""
+    The rows of a chunk meet in one task: as many as a chunk has voxels at most.
+    """
     fs, base = folder_of(f"{path}/{key}")
-    if fs.get_file_info(f"{base}/.zarray").type != pafs.FileType.NotFound:
+    if not overwrite and fs.get_file_info(f"{base}/.zarray").type != pafs.FileType.NotFound:
         return False
-    fs.create_dir(base, recursive=True)
-    placed = voxels.filter(F.col(value) != 0).withColumns({f"__c{k}": F.floor(F.col(a) / F.lit(n)).cast("int") for k, (a, n) in enumerate(zip(axes, chunks, strict=True))})
-    names = [f"__c{k}" for k in range(len(axes))]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(chunks, dtype)
-        corner = [int(pdf[n].iloc[0]) for n in names]
-        out[tuple(pdf[a].to_numpy() - c * n for a, c, n in zip(axes, corner, chunks, strict=True))] = pdf[value].to_numpy()
-        store, folder = folder_of(f"{path}/{key}")
-        final, draft = f"{folder}/{'.'.join(map(str, corner))}", f"{folder}/.{uuid.uuid4().hex}"
-        packed = zlib.compressobj(5, zlib.DEFLATED, 31)
-        with store.open_output_stream(draft, compression=None) as f:
-            f.write(packed.compress(out.tobytes()) + packed.flush())
-        store.move(draft, final)
-        return pd.DataFrame({"chunk": [final]})
-
-    placed.groupBy(*names).applyInPandas(run, "chunk string").count()
-    meta = {"zarr_format": 2, "shape": shape, "chunks": chunks, "dtype": dtype, "compressor": {"id": "gzip", "level": 5}, "fill_value": 0, "order": "C", "filters": None}
-    with fs.open_output_stream(f"{base}/.zarray", compression=None) as f:  # last: an array without it is not there
-        f.write(json.dumps(meta).encode())
+    register(voxels.sparkSession)
+    place = [F.floor(F.col(a) / F.lit(n)) for a, n in zip(axes, chunks, strict=True)]
+    rows = voxels.filter(F.col(value) != 0).select(*[F.col(a).cast("int").alias(a) for a in axes], F.col(value).cast("long").alias(value))
+    by_chunk = rows.repartition(*place).sortWithinPartitions(*place)
+    options = {"path": path, "key": key, "axes": ",".join(axes), "value": value, "shape": ",".join(map(str, shape)), "chunks": ",".join(map(str, chunks)), "dtype": dtype}
+    by_chunk.write.format("arborix_zarr").mode("overwrite" if overwrite else "append").options(**options).save()
     return True
 
 
-def read_hdf(spark: SparkSession, path: str, key: str, slab: int = 1 << 22) -> DataFrame:
-    """(file, at, value) of the values other than 0 of a dataset of each HDF5 file of a folder: a file is one task's work, read
-    by slabs of its first axis. Needs h5py on the executors."""
+def read_hdf(spark: SparkSession, path: str, key: str, slab: int = 1 << 22, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """(file, z, y, x, value), or with c before z, of the values other than 0 of a dataset of each HDF5 file of a folder: a file is
+    one task's work, read by slabs of its first axis. One large file goes by chunks instead: ``arborix_zarr`` with the option
+    ``format`` ``hdf``. Needs h5py on the executors."""
     files = spark.read.format("binaryFile").load(path).select("path")
 
     def run(batches):
@@ -171,9 +62,9 @@ def read_hdf(spark: SparkSession, path: str, key: str, slab: int = 1 << 22) -> D
                         at = np.argwhere(block)
                         values = block[tuple(at.T)].astype(np.int64)
                         at[:, 0] += a
-                        yield pa.record_batch({"file": pa.array([where.rsplit("/", 1)[-1]] * len(at), pa.string()), "at": pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), "value": values})
+                        yield pa.record_batch({"file": pa.array([where.rsplit("/", 1)[-1]] * len(at), pa.string()), **{a: at[:, k].astype(np.int32) for k, a in enumerate(axes)}, "value": values})
 
-    return files.repartition(max(1, files.count())).mapInArrow(run, "file string, at array<int>, value long")
+    return files.repartition(max(1, files.count())).mapInArrow(run, f"file string, {', '.join(f'{a} int' for a in axes)}, value long")
 
 
 def cached(table: DataFrame, path: str) -> DataFrame:

@@ -248,12 +248,22 @@ def test_stages_from_volumes_to_reports(spark, tmp_path):
     files.write_swc(target, f"{data}/targets")
     assert stage("prune", "--skeletons", "targets", "--out", "pruned", "--length", "2.5", "--rounds", "1")
     assert files.read_swc(spark, f"{data}/pruned").count() <= 70
-    assert stage("resample", "--skeletons", "targets", "--out", "points", "--step", "0.5") and spark.read.parquet(f"{data}/points").count() > 130
+    assert stage("resample", "--skeletons", "targets", "--out", "even", "--step", "0.5")
+    even = files.read_swc(spark, f"{data}/even")
+    assert even.count() > 130 and even.filter("parent_id = -1").count() == 1
+    assert stage("spines", "--skeletons", "targets", "--out", "spines") and files.read_swc(spark, f"{data}/spines").count() == 70
     (tmp_path / "table.csv").write_text("0,0,0.5\n0,0.5,1\n5,0.2,0.5\n20,-1,-1\n")
     shared = ("--targets", "targets", "--fragments", "fragments", "--width", "160")
     assert stage("scores", *shared, "--pruned", "pruned", "--table", f"{tmp_path}/table.csv", "--out", "scores")
+    assert stage("scores", *shared, "--pruned", "pruned", "--table", f"{tmp_path}/table.csv", "--near", "1", "--out", "near_scores")
+    both = [sorted((r.em_id, r.side, r.lm_vol, r.frag_id, round(r.score_full, 9), round(r.score_pruned, 9)) for r in spark.read.parquet(f"{data}/{n}").collect()) for n in ("scores", "near_scores")]
+    assert both[0] == both[1]
     assert stage("match", *shared, "--scores", "scores", "--colors", "colors", "--out", "entries", "--energy-threshold", "-1.0", "--least-aggregate", "0.1", "--adaptive-factor", "1")
     rows = spark.read.parquet(f"{data}/entries").collect()
     assert [(r.em_id, r.lm_vol, r.frag_ids) for r in rows] == [("7", "R1-line", [1])] and rows[0].cov_score < 0 and not rows[0].mirrored
+    same = ("--scores", "scores", "--colors", "colors", "--energy-threshold", "-1.0", "--least-aggregate", "0.1", "--adaptive-factor", "1")
+    for _ in range(2):  # the second time nothing is left to score
+        assert stage("follow", *shared, *same, "--out", "followed", "--volumes-per-batch", "1")
+        assert sorted(map(str, spark.read.parquet(f"{data}/followed/ranked").collect())) == sorted(map(str, spark.read.parquet(f"{data}/entries").select(spark.read.parquet(f"{data}/followed/ranked").columns).collect()))
     assert stage("report", "--entries", "entries", "--out", "report")
     assert [r.line_name for r in spark.read.csv(f"{data}/report", header=True).collect()] == ["R1-line"]
