@@ -8,7 +8,7 @@ script. So the same entity has the same surrogate in every document and however
 it is written (``+1 (389) 555-5010`` and ``+1 389 555 5010``).
 
 Persons are found by their titles, and then, in the same document, wherever
-their names stand without one. A given name's gender is that of the title;
+their names stand without one, in capitals too. A given name's gender is that of the title;
 where a person (given name and surname) has a title of one gender anywhere in
 the table, it is theirs wherever they stand with another title or none. A
 surname is the same with and without given name.
@@ -19,6 +19,12 @@ distinct; from the fourth attempt on surrogates get longer within their format,
 so that short entities run out of no surrogates. Then each text is cut at its
 entities and joined again around their surrogates.
 
+Formats have bounds, and patterns theirs: a name has 64 letters at most, an
+address of mail 64 before the sign and 127 labels of 63 behind it. A longer word
+behind a title is no name, a longer label no address, and of more labels the
+first 127 count. Secrets may be of any length. All steps are linear in a text's
+length, and no pattern's depth grows with it.
+
 Defined cases: null texts stay null and have no entities; texts without
 entities are untouched; repeated rows get equal texts; an empty table gives an
 empty result; with titles of both genders a person's other mentions are of none;
@@ -57,17 +63,18 @@ TITLES = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"
+#: Every repetition of a group has a bound, as what it stands for has; repetitions of one kind of character need none.
+NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L}))){1,63}(?!\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))"
 TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.?"
 #: In order: of two that begin at the same place, the first counts.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"""(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|passwd|secret|token|api_key|apikey) ?[=:] ?"?)[^\s"=]{8,}""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])|(?<![\d.+-])3\d{3}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
+    "ip": rf"(?<![A-Za-z\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "person": rf"{TITLE}\s{NAME}(?:\s{NAME})?",
 }
 KINDS = tuple(PATTERNS)
@@ -141,36 +148,49 @@ def names_pattern(known: Column) -> Column:
     given = F.filter(F.transform(keys, lambda k: F.when(k.rlike(r"^given\|-\|[^|]*\|$"), F.substring_index(F.substring_index(k, "|", 3), "|", -1))), lambda n: n.isNotNull())
     longest = lambda names: F.array_join(F.reverse(F.array_sort(names)), "|")  # noqa: E731  a name before those it begins with
     full = F.when(F.size(given) > 0, F.concat(F.lit("(?:"), longest(given), F.lit(r")\s(?:"), longest(last), F.lit(")|"))).otherwise("")
-    either = longest(F.concat(last, given))
+    either = longest(F.concat(last, given))  # in capitals as well: the map has them
     return F.when(F.size(last) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), full, F.lit("(?:"), either, F.lit(r"))(?![\p{L}\p{N}])")))
 
 
+def in_capitals(key: Column, surrogate: Column) -> Column:
+    """A key and its surrogate; where it is a name that stands without a title, also both in capitals."""
+    plain = F.struct(key.alias("key"), surrogate.alias("surrogate"))
+    name = F.regexp_replace(key, r"^(?:surname|given\|-)\|", "")
+    loud = F.struct(F.concat(F.substr(key, F.lit(1), F.length(key) - F.length(name)), F.upper(name)).alias("key"), F.upper(surrogate).alias("surrogate"))
+    return F.when((F.length(name) < F.length(key)) & (F.upper(name) != name) & (F.length(F.upper(name)) == F.length(name)), F.array(plain, loud)).otherwise(F.array(plain))
+
+
 def matches_of(text: Column, pattern: Column | None = None) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN) if pattern is None else pattern, F.lit(0))
 
 
 def stream(key: str, kind: Column, value: Column, attempt: Column, size: Column) -> Column:
-    """Hexadecimal digits, two for each of ``size`` places, from keyed digests."""
-    seed = F.concat_ws("|", kind, value, attempt.cast("string"))
-    inner = lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.sha2(F.concat_ws("|", F.lit(key), seed, b.cast("string")), 256)), 256)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / 32).cast("int")), inner), "")
+    """Two hexadecimal digits for each of ``size`` places, as an array, from keyed digests."""
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
+    # the seed is an element, not part of the function: it is digested once
+    blocks = F.transform(F.array_repeat(seed, F.floor((F.greatest(size, F.lit(1)) - 1) / 32).cast("int") + 1), lambda s, b: F.sha2(F.concat_ws("|", F.lit(key), F.sha2(F.concat_ws("|", F.lit(key), s, b.cast("string")), 256)), 256))
+    return F.regexp_extract_all(F.array_join(blocks, ""), F.lit(".."), F.lit(0))
 
 
-def byte_at(hexes: Column, i: Column) -> Column:
-    return F.conv(F.substr(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def byte_at(hexes: Column, i: int) -> Column:
+    return F.conv(F.element_at(hexes, i + 1), 16, 10).cast("int")
 
 
 def like(value: Column, hexes: Column) -> Column:
     """The value with other digits for digits and other letters of the same case for letters; a leading digit stays from 1 to 9."""
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    span = F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), 6).otherwise(26)  # hexadecimal stays so
 
-    def other(c: Column, i: Column) -> Column:
-        b = byte_at(hexes, i)
-        letter = lambda s: F.substr(F.lit(s), b % span + 1, F.lit(1))
-        return F.when(c.rlike("[1-9]") & (i == 0), (b % 9 + 1).cast("string")).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), letter(lower)).when(c.rlike("[A-Z]"), letter(upper)).otherwise(c)
+    def others(span: int) -> Column:
+        def other(c: Column, h: Column) -> Column:
+            b = F.conv(h, 16, 10).cast("int")
+            letter = lambda s: F.substr(F.lit(s), b % span + 1, F.lit(1))
+            return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), letter(lower)).when(c.rlike("[A-Z]"), letter(upper)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, "(?!^)(?=.)"), other), "")
+        chars = F.split(value, "(?!^)(?=.)")
+        return F.array_join(F.zip_with(chars, F.slice(hexes, F.lit(1), F.size(chars)), other), "")
+
+    drawn = F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), others(6)).otherwise(others(26))  # hexadecimal stays so
+    return F.when(value.rlike("^[1-9]"), F.concat((byte_at(hexes, 0) % 9 + 1).cast("string"), F.substr(drawn, F.lit(2), F.length(drawn)))).otherwise(drawn)
 
 
 def luhn(digits: Column) -> Column:
@@ -185,8 +205,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, "(?!^)(?=.)"), term), F.lit(0), lambda a, t: a + t)
 
 
+def mod97(value: Column) -> Column:
+    """What an IBAN without its check digits, country and two zeros behind it, leaves when letters count from 10 on; 98 less this are its digits."""
+    moved = F.concat(F.substr(value, F.lit(5), F.length(value)), F.substr(value, F.lit(1), F.lit(2)), F.lit("00"))
+    return F.aggregate(F.split(moved, "(?!^)(?=.)"), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def check_digits(value: Column) -> Column:
+    return F.lpad((98 - mod97(value)).cast("string"), 2, "0")
+
+
 def pick(names: list[str], hexes: Column, at: int) -> Column:
-    number = F.conv(F.substr(hexes, F.lit(at * 8 + 1), F.lit(8)), 16, 10).cast("long")
+    number = F.conv(F.array_join(F.slice(hexes, at * 4 + 1, 4), ""), 16, 10).cast("long")
     return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
 
 
@@ -195,6 +225,7 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     and with each further four attempts all but addresses of machines are a letter or digit longer."""
     grown = F.floor(attempt / 4).cast("int")
     right = luhn(value) % 10 == 0
+    sound = F.substr(value, F.lit(3), F.lit(2)) == check_digits(value)  # an IBAN whose check digits are right keeps that
     drawn_from = F.when(kind == "email", F.concat(F.repeat(F.lit("a"), grown), value)).when(kind.isin("card", "ssn", "phone", "iban"), F.concat(value, F.repeat(F.lit("1"), grown))).otherwise(F.concat(value, F.repeat(F.lit("a"), grown)))
     size = F.greatest(F.length(value) + grown, F.lit(32))
     hexes = stream(key, kind, value, attempt, size)
@@ -204,8 +235,9 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     domain = F.concat(like(F.substring_index(host, ".", 1), F.reverse(hexes)), F.lit(".example."), pick(["com", "net", "org"], hexes, 3))
     body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(general, F.lit(2), F.length(value) - 2))
     check = (10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    wrong = F.when(right, 0).otherwise(byte_at(hexes, F.lit(31)) % 9 + 1)
-    octets = F.concat_ws(".", *[(byte_at(hexes, F.lit(k)) % (223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
+    wrong = F.when(right, 0).otherwise(byte_at(hexes, 31) % 9 + 1)
+    plain = F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(general, F.lit(3), F.length(value)))
+    octets = F.concat_ws(".", *[(byte_at(hexes, k) % (223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
     code = F.when(F.substr(value, F.lit(1), F.lit(1)) == "1", F.lit(1)).otherwise(F.lit(2))  # the country's digits stay
     phone = F.concat(F.substr(value, F.lit(1), code), F.substr(general, code + 1, F.length(value)))
     out = (
@@ -214,7 +246,7 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         .when(kind == "ip", octets)
         .when(kind == "phone", phone)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substr(general, F.lit(2), F.length(value))))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(general, F.lit(3), F.length(value))))
+        .when(kind == "iban", F.when(sound, F.concat(F.substr(plain, F.lit(1), F.lit(2)), check_digits(plain), F.substr(plain, F.lit(5), F.length(plain)))).otherwise(plain))
         .when(kind == "secret", F.when(value.rlike("^(?:AKIA|ASIA)"), F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(general, F.lit(5), F.length(value)))).otherwise(general))
     )
     for names, prefix in ((GIVEN, "given_"), (SURNAMES, "surname_")):
@@ -227,6 +259,8 @@ def draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 
 #: Rounds of drawing: by then surrogates are 16 letters or digits longer, and only addresses of machines can have run out.
 ATTEMPTS = 64
+#: The session's setting with the key.
+KEY_SETTING = "spark.arborix.pii.key"
 
 
 def surrogate_table(entities: DataFrame, key: str, scratch: common.Scratch) -> DataFrame:
@@ -291,9 +325,15 @@ def replaced(text: Column, known: Column) -> Column:
 
 
 @common.shielded
-def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surrogates") -> DataFrame:
-    """Documents with their text's entities replaced and a column n_<kind> for each kind; columns of these names are replaced."""
+def replace_pii(documents: DataFrame, *, text: str = "text", key: str | None = None) -> DataFrame:
+    """Documents with their text's entities replaced and a column n_<kind> for each kind; columns of these names are replaced.
+
+    ``key`` is secret: who has it can draw the same surrogates. By default it is the session's ``KEY_SETTING``; without either it is an error.
+    """
     spark = documents.sparkSession
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"surrogates need a key: an argument, or {KEY_SETTING} of the session")
     body = F.col(f"`{text}`")
     with common.Scratch(spark, "pii") as scratch:
         found = documents.select(body.alias("t")).withColumn("m", matches_of(F.col("t"))).filter(F.size("m") > 0)
@@ -302,7 +342,8 @@ def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surroga
         parts = scratch.save(parts_of(scratch.save(each, "each"), scratch), "parts")
         names = surrogate_table(parts.select("kind", "value").distinct(), key, scratch)
         pairs = F.collect_set(F.struct("key", "surrogate"))
-        maps = scratch.keep(parts.join(names, ["kind", "value"]).groupBy(F.col("mark").alias("__mark"), F.col("len").alias("__len")).agg(F.map_from_entries(pairs).alias("__known")))
+        named = parts.join(names, ["kind", "value"]).select("mark", "len", F.explode(in_capitals(F.col("key"), F.col("surrogate"))).alias("k")).select("mark", "len", "k.*")
+        maps = scratch.keep(named.groupBy(F.col("mark").alias("__mark"), F.col("len").alias("__len")).agg(F.map_from_entries(pairs).alias("__known")))
     on = (F.xxhash64(body) == F.col("__mark")) & (F.length(body) == F.col("__len"))
     joined = documents.join(maps.hint("merge"), on, "left")  # the same join at every size
     out = joined.withColumn("__new", F.when(F.col("__known").isNotNull(), replaced(body, F.col("__known"))))
@@ -313,7 +354,8 @@ def replace_pii(documents: DataFrame, *, text: str = "text", key: str = "surroga
 
 
 def op4_pii_surrogates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_entities, n_<kind> for each kind, text, text_sha256) of each document."""
-    out = replace_pii(documents.select("doc_id", "text"))
+    """(doc_id, n_entities, n_<kind> for each kind, text, text_sha256) of each document. Where the session has no key, one that
+    is no secret serves this query, so that it can be tried out."""
+    out = replace_pii(documents.select("doc_id", "text"), key=documents.sparkSession.conf.get(KEY_SETTING, None) or "surrogates")
     total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
     return out.withColumns({"n_entities": total, "text_sha256": F.sha2(F.col("text").cast("binary"), 256)})

@@ -5,6 +5,13 @@ import pytest
 WORDS = "the of and river stone light über größe été maison niño año lamp seven 42 x1 don't Ünï A.B".split()
 
 
+@pytest.fixture(scope="session", autouse=True)
+def pii_key(spark):
+    from arborix.llm import surrogates
+
+    spark.conf.set(surrogates.KEY_SETTING, "key of the tests")
+
+
 @pytest.fixture(scope="session")
 def texts():
     """Documents of every awkward kind: null, empty, blank, short, very long, equal, nearly equal, sharing lines and passages."""
