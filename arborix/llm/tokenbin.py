@@ -36,8 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Null doc_ids in an index.
 NO_ID = -(1 << 63)
-#: Words that a worker remembers in each of two generations.
-GENERATION = 250_000
+#: Words that a worker remembers in each of two generations, and the longest of them: about 170 MB at most, whatever the texts.
+GENERATION, LONGEST = 250_000, 32
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -123,10 +123,11 @@ class Encoder(dict):
                 first, *rest = word.split("\n")
                 return self[first] + b"".join([self.line + self[" " + r] for r in rest])
             out = self._new(word)
-        if len(self) >= GENERATION:
-            self.old = dict(self)
-            self.clear()
-        self[word] = out
+        if len(word) <= LONGEST:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words whose count a worker remembers, and transitions it keeps.
-REMEMBERED = 250_000
+#: Words whose count a worker remembers, the longest of them, and transitions it keeps: about 150 MB at most, whatever the texts.
+REMEMBERED, LONGEST, STEPS = 250_000, 64, 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -102,6 +102,8 @@ class Automaton:
         for byte in self.mark + word:
             key = state << 8 | byte
             if (known := steps.get(key)) is None:
+                if len(steps) >= STEPS:
+                    steps.clear()
                 known = steps[key] = self._step(state, byte)
             state, popped = known
             total += popped
@@ -110,20 +112,22 @@ class Automaton:
             state = self.fail[state]
         return total
 
+    def known(self, word: bytes) -> int:
+        """The count of a word, from memory where it is short and was seen."""
+        if (n := self.counts.get(word)) is None:
+            n = self.count(word)
+            if len(word) <= LONGEST:
+                if len(self.counts) >= REMEMBERED:
+                    self.counts.clear()
+                self.counts[word] = n
+        return n
+
     def text(self, text: bytes | None) -> tuple[int, int, int]:
         """(words, tokens, most tokens of a word) of a text."""
         words = (text or b"").split()
         if not words:
             return 0, 0, 0
-        known = self.counts
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.count(w)
-        counts = [known[w] for w in words]
-        if len(self.steps) > 4 * REMEMBERED:
-            self.steps.clear()
+        counts = list(map(self.known, words))
         return len(words), sum(counts), max(counts)
 
 
