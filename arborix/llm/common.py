@@ -56,9 +56,8 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
-#: How scratch tables are written. On a local or mounted disk there are no checksum files beside them: each file takes Hadoop's
-#: local file system another process that sets its mode.
-WRITING = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: How scratch tables are written.
+WRITING = {"compression": "zstd"}
 
 
 class Scratch:
