@@ -11,10 +11,17 @@ whose texts are in several components, every pair of two components whose share
 allows it is verified, so a guess that fails never hides another link.
 
 In the first pass a band with over ``crowd`` texts is not paired up: each of its
-texts is compared with the leaders before it and becomes one itself if it is like
-none of them. That only saves work: the second pass compares all texts of such a
-band that are still apart, dealt over cells of about ``crowd`` texts for each two
-shares of the band, so that no task holds more than two shares.
+texts is compared with the first ``crowd`` leaders, texts that are like none
+before them, so a band takes time in proportion to its texts. That only saves
+work: the second pass compares all texts of such a band that are still apart.
+Those outside of the band's largest component meet each other and it, dealt over
+cells of about ``crowd`` texts for each two shares, so that no task holds more than
+two shares; the texts of the largest component, which need not meet each other,
+are copied for the shares of the others only.
+
+Defined cases: null texts and texts without words have no signature and no link;
+a text of fewer than five words is one shingle, so it is linked to equal words only;
+equal texts have one mark and count once; an empty table gives no links.
 """
 
 from __future__ import annotations
@@ -120,10 +127,11 @@ def pair_up(similarity: float, crowd: int):
                     best = order[share[order] >= similarity]
                     if len(best):
                         yield pa.record_batch({"a": ids[new[best]], "b": ids[old[best]]})
-                    if n + m > crowd:  # only leaders stay: those like none before them
+                    if n + m > crowd:  # only leaders stay, those like none before them, and no more than a crowd of these
                         follows = np.zeros(n + m, bool)
                         follows[new[best]] = True
-                        ids, fps, low = ids[~follows], fps[~follows], low[~follows]
+                        stay = np.flatnonzero(~follows)[:crowd]
+                        ids, fps, low = ids[stay], fps[stay], low[stay]
 
     return run
 
@@ -202,10 +210,17 @@ def rest(texts: DataFrame, wanted: DataFrame, each: DataFrame, first: DataFrame,
     rounds.close()
     labelled = wanted.join(roots.withColumnRenamed("node", "mark").hint("merge"), "mark", "left").select("key", "mark", "size", F.coalesce("root", "mark").alias("root"))
     labelled = scratch.save(labelled, "labelled")
-    shares = F.ceil(F.greatest(F.count("*") / F.lit(crowd), F.sum("size") / F.lit(SHARE))).cast("int")
-    apart = labelled.groupBy("key").agg(shares.alias("shares"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key", "shares")
-    members = labelled.join(scratch.save(apart, "apart").hint("merge"), "key")
-    members = members.withColumn("share", F.pmod(F.xxhash64("mark"), "shares").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = scratch.save(parts, "parts")
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most")).filter(F.col("n") > F.col("most.n"))
+    shares = lambda n, size: F.ceil(F.greatest(n / F.lit(crowd), size / F.lit(SHARE))).cast("int")
+    of_others, of_most = shares(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")), shares(F.col("most.n"), F.col("most.size"))
+    apart = scratch.save(whole.select("key", F.col("most.root").alias("largest"), of_others.alias("others"), of_most.alias("rest")), "apart")
+    members = labelled.join(apart.hint("merge"), "key").withColumn("in_largest", F.col("root") == F.col("largest"))
+    # shares are numbered through: those of the others first
+    mine = F.when(F.col("in_largest"), F.col("others") + F.pmod(F.xxhash64("mark"), "rest")).otherwise(F.pmod(F.xxhash64("mark"), "others")).cast("int")
+    upto = F.when(F.col("in_largest"), F.col("others")).otherwise(F.col("others") + F.col("rest")) - 1
+    members = members.withColumn("share", mine).withColumn("with", F.explode(F.sequence(F.lit(0), upto)))
     cell = F.xxhash64("key", F.least("share", "with"), F.greatest("share", "with"))
     members = scratch.save(members.select(cell.alias("cell"), "mark", "root", "share", (F.col("share") == F.col("with")).alias("one")), "members")
     marks = scratch.save(members.select("mark").distinct(), "marks")

@@ -635,6 +635,39 @@ def test_a_failed_guess_hides_no_link(spark):
     assert all(any(w <= f for f in found) for w in want)
 
 
+def test_a_band_of_unlike_texts_takes_time_in_proportion():
+    """What a text is compared with in the first pass has a bound, and each text is compared."""
+    import pyarrow as pa
+
+    from arborix.llm import shinglelinks
+
+    rng, compared = np.random.default_rng(1), []
+    held = shinglelinks.likeness
+    shinglelinks.likeness = lambda low, fps, a, b: compared.append(len(a)) or np.zeros(len(a))
+    try:
+        for n in (4000, 16_000):
+            compared.clear()
+            low = rng.integers(0, 1 << 32, (n, shinglelinks.BINS), dtype=np.uint32)
+            batches = [pa.record_batch([pa.array(np.zeros(400, np.int64)), pa.array(np.arange(k, k + 400)), pa.array(rng.integers(0, 1 << 62, 400)), pa.array([r.tobytes() for r in low[k : k + 400]], pa.binary())], names=["key", "mark", "fp", "low"]) for k in range(0, n, 400)]
+            assert not list(shinglelinks.pair_up(0.7, 512)(iter(batches)))
+            assert n * 500 < sum(compared) < n * 800
+    finally:
+        shinglelinks.likeness = held
+
+
+def test_a_large_component_is_not_paired_with_itself(spark):
+    """Hundreds of copies of one text, joined already, and some near copies that the first pass cannot see."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    rows = []
+    for k in range(300):
+        own = list(words)
+        own[k % 300] = f"changed{k}"
+        rows.append((k, " ".join(own)))
+    others = [(1000 + k, " ".join(f"o{k}x{j}" for j in range(120))) for k in range(40)]
+    assert joined(spark, rows + others, crowd=32) == {frozenset(range(300))}
+
+
 def test_a_crowd_loses_no_link(spark):
     """Texts on one template, unlike one another but like the first in the share of minimum hashes; later ones are their near copies."""
     words, n = [f"w{k}" for k in range(204)], 1400
