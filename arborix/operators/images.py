@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.files import read_back
 from . import aggregates as A
 
 RGB = list("rgb")
@@ -53,3 +56,47 @@ def by_depth(view: DataFrame) -> DataFrame:
     d = F.col("depth")
     ramp = {"r": F.least(F.lit(1.0), F.greatest(F.lit(0.0), 4 * d - 2)), "g": F.least(F.lit(1.0), F.least(4 * d, 4 - 4 * d)), "b": F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 - 4 * d))}
     return view.select("y", "x", *[F.floor(c * F.col("intensity")).cast("int").alias(n) for n, c in ramp.items()])
+
+
+def distances(pixels: DataFrame, group: list[str], axes: list[str], shape: list[int], most: int | None = None) -> DataFrame:
+    """(group, axes, distance) of each group's pixels: steps, straight or diagonal, to the nearest place of the image that is not
+    the group's; up to ``most`` steps, or all. Pixels that nothing else is near in the whole image have none and are left out.
+
+    Rounds go inward: the first frontier has a neighbour that the group lacks; each further one is what is left beside the last.
+    A round is a join with the last frontier's neighbours only.
+    """
+    steps = [o for o in itertools.product((-1, 0, 1), repeat=len(axes)) if any(o)]
+    around = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(axes, o, strict=True)]) for o in steps])
+    inside = [(F.col(f"n_{a}") >= 0) & (F.col(f"n_{a}") < n) for a, n in zip(axes, shape, strict=True)]
+
+    def beside(df: DataFrame) -> DataFrame:
+        moved = df.withColumn("o", F.explode(around)).select(*group, *axes, *[(F.col(a) + F.col(f"o.{a}")).cast("int").alias(f"n_{a}") for a in axes])
+        for condition in inside:
+            moved = moved.filter(condition)
+        return moved
+
+    key, near = [*group, *axes], [*group, *[f"n_{a}" for a in axes]]
+    left = read_back(pixels.select(*group, *[F.col(a).cast("int").alias(a) for a in axes]).distinct(), "pixels")
+    own = left.select(*group, *[F.col(a).alias(f"n_{a}") for a in axes])
+    frontier = read_back(beside(left).join(own, near, "left_anti").select(*key).distinct(), "frontier")
+    out, k = frontier.withColumn("distance", F.lit(1)), 1
+    while most is None or k < most:
+        left = read_back(left.join(frontier, key, "left_anti"), "pixels")
+        reached = beside(frontier).select(*group, *[F.col(f"n_{a}").alias(a) for a in axes]).distinct()
+        frontier, k = read_back(left.join(reached, key, "left_semi"), "frontier"), k + 1
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier.withColumn("distance", F.lit(k)))
+    return out
+
+
+def outlines(labels: DataFrame, shape: list[int], raw: DataFrame | None = None, *, clip: float = 510.0) -> DataFrame:
+    """(y, x, r, g, b): the outlines of labels (label, y, x) in their colours, over a grey image (y, x, v) where one is given;
+    where outlines meet, that of the greatest label is seen."""
+    edge = distances(labels.filter("label <> 0"), ["label"], ["y", "x"], shape, most=1)
+    seen = edge.groupBy("y", "x").agg(F.max("label").alias("label"))
+    drawn = seen.select("y", "x", *[c.cast("int").alias(n) for n, c in zip(RGB, S.palette_color(F.col("label")), strict=True)])
+    if raw is None:
+        return drawn
+    grey = raw.select("y", "x", F.floor(F.col("v") / F.lit(clip) * 255).cast("int").alias("grey"))
+    return grey.join(drawn, ["y", "x"], "full_outer").select("y", "x", *[F.coalesce(c, "grey").alias(c) for c in RGB])

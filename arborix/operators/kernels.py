@@ -100,54 +100,67 @@ def optimal_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6,
     """The same under an optimal assignment: each target point goes to one fragment point at most, each of these takes
     ``cap`` at most, and the sum of (distance - radius) is least.
 
-    Target points enter one after the other along a cheapest augmenting path, which keeps the assignment optimal.
+    Target points enter one after the other along a cheapest augmenting path, which keeps the assignment optimal. Prices of
+    both sides keep every reduced cost from falling below 0, so a path is looked for from near to far and the search
+    ends at the first fragment point with room, mostly at once; to stay without a partner costs 0 and has room always.
     ``near``: how many nearest partners are candidates, of each fragment point or of each target point.
     """
     e, f, d2 = near_pairs(em, frag, radius)
     able = (place_within(f, d2, e) if by_fragment else place_within(e, d2, f)) < near
     e, f, d2 = e[able], f[able], d2[able]
-    partners: list[dict[int, float]] = [{} for _ in range(len(em))]
+    none = len(frag)  # the place of those without a partner
+    partners: list[list[tuple[int, float]]] = [[(none, 0.0)] for _ in range(len(em))]
     for a, b, c in zip(e.tolist(), f.tolist(), (d2 - radius * radius if squared else np.sqrt(d2) - radius).tolist(), strict=True):
-        partners[a][b] = c
-    choice, takers = [-1] * len(em), {b: set() for b in set(f.tolist())}
+        if c < -1e-12:
+            partners[a].append((b, c))
+    room = [cap] * none + [len(em) + 1]
+    choice, takers = [none] * len(em), [set() for _ in range(none + 1)]
+    price, own = [0.0] * (none + 1), [0.0] * len(em)  # of fragment points, and of target points
     for start in range(len(em)):
-        # label-correcting search over target points; a point may also end up without a partner, at cost 0
-        best, via, queue = {start: 0.0}, {}, [(0.0, start)]
-        end, end_cost = None, -1e-12
-        while queue:
-            c, x = heapq.heappop(queue)
-            if c > best[x] + 1e-12:
-                continue
-            if x != start and c < end_cost:
-                end, end_cost = (x, -1), c
-            for b, cost in partners[x].items():
-                if choice[x] == b:
-                    continue
-                at_b = c + cost
-                if len(takers[b]) < cap:
-                    if at_b < end_cost:
-                        end, end_cost = (x, b), at_b
-                    continue
-                for other in sorted(takers[b]):
-                    new = at_b - partners[other][b]
-                    if new < best.get(other, np.inf) - 1e-12:
-                        best[other], via[other] = new, (x, b)
-                        heapq.heappush(queue, (new, other))
-        if end is None:
+        if len(partners[start]) == 1:
             continue
-        x, b = end
-        path = [(x, b)]
-        while x != start:
-            x, b = via[x]
-            path.append((x, b))
-        for x, _ in path:
-            if choice[x] >= 0:
-                takers[choice[x]].discard(x)
-        for x, b in path:
+        own[start] = min(c - price[b] for b, c in partners[start])
+        best, via, settled, queue = {}, {}, {}, []
+
+        def reach(x: int, so_far: float) -> None:
+            base = so_far - own[x]
+            for b, c in partners[x]:
+                new = base + c - price[b]
+                if b not in settled and new < best.get(b, np.inf):
+                    best[b], via[b] = new, x
+                    heapq.heappush(queue, (new, -b))  # of equal ways the one without a partner
+
+        reach(start, 0.0)
+        while True:
+            c, b = heapq.heappop(queue)
+            b = -b
+            if b in settled or c > best[b]:
+                continue
+            settled[b] = c
+            if room[b]:
+                break
+            for x in sorted(takers[b]):
+                reach(x, c)
+        end = c
+        own[start] += end
+        for k, at in settled.items():
+            if k != b:
+                price[k] += at - end
+                for x in takers[k]:
+                    own[x] += end - at
+        room[b] -= 1
+        while True:  # back along the path: each gives up its place to the one before
+            x = via[b]
+            left = choice[x]
+            if x != start:
+                takers[left].discard(x)
             choice[x] = b
-            if b >= 0:
+            if b != none:
                 takers[b].add(x)
-    return np.flatnonzero(np.array(choice) >= 0)
+            if x == start:
+                break
+            b = left
+    return np.flatnonzero(np.array(choice, np.int64) != none)
 
 
 def cover(em: np.ndarray, frag: np.ndarray, radius: float, *, version: str = "", cap: int = 6, step: float = 1.0) -> np.ndarray:
@@ -209,9 +222,100 @@ def peeled_weights(parents: np.ndarray, power: float = 1.0, chop: int = 50, last
     node. While there are more than ``last``, the shortest segment that ends in a
     tip is peeled off and its points weigh its length; what is left in the end
     shares one weight, but for the ends of its segments.
+
+    Segments stand in a linked list, those with tips in a heap. Peeling one takes a child from its branch; a branch with
+    one child left is none any more, and that child's segment goes on the one before it. So n nodes with s segments
+    take n + s log s steps.
     """
-    parent = np.where(parents == -1, -1, parents - 1)
-    ids, weight, peeled = np.arange(len(parent)), np.zeros(len(parent)), 1.0
+    n = len(parents)
+    parent, weight, peeled = np.where(parents == -1, -1, parents - 1), np.zeros(n), 1.0
+    if not n:
+        return weight
+    count, children = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # by parent, -1 last: how many, and the sum of their numbers
+    np.add.at(count, parent, 1)
+    np.add.at(children, parent, np.arange(n))
+    first = np.flatnonzero((count[parent] > 1) | (parent == -1))
+    stop = np.append(first[1:], n) - 1
+    segments, starts = len(first), first.tolist()
+    ends, size = stop.tolist(), (stop - first + 1).tolist()
+    tip = (count[stop] <= 1).tolist()
+    before, after = list(range(-1, segments - 1)), [*range(1, segments), -1]
+    pieces, tail = [-1] * segments, list(range(segments))  # a segment's pieces of the file: the next one, and its last
+    at_start, at_end = {a: k for k, a in enumerate(starts)}, {b: k for k, b in enumerate(ends)}
+    there, left, head = [True] * segments, segments, 0
+    loose = np.zeros(n, bool)  # of no segment: before the first start
+    loose[: starts[0] if starts else n] = True
+    gone = np.zeros(n, bool)
+    heap = [(size[k] + 1, starts[k], k) for k in range(segments) if tip[k]]
+    heapq.heapify(heap)
+
+    def held(k: int):
+        while k >= 0:
+            yield slice(int(first[k]), int(stop[k]) + 1)
+            k = pieces[k]
+
+    def unlink(k: int) -> None:
+        nonlocal left, head
+        there[k], left = False, left - 1
+        if before[k] >= 0:
+            after[before[k]] = after[k]
+        else:
+            head = after[k]
+        if after[k] >= 0:
+            before[after[k]] = before[k]
+
+    while left > last:
+        while heap and not (there[heap[0][2]] and tip[heap[0][2]] and size[heap[0][2]] + 1 == heap[0][0]):
+            heapq.heappop(heap)
+        if not heap:  # no segment ends in a tip: the file is in another order
+            rest = np.flatnonzero(~gone)
+            return _peeled_by_rounds(rest, parent[rest], weight, peeled, power, chop, last)
+        length, start, k = heapq.heappop(heap)
+        peeled = float(length) ** power
+        for part in held(k):
+            weight[part], gone[part] = peeled, True
+        unlink(k)
+        p = int(parent[start])
+        count[p] -= 1
+        children[p] -= start
+        if p < 0 or count[p] != 1:
+            continue
+        joins = at_start[int(children[p])]
+        onto = before[joins]
+        unlink(joins)
+        if onto >= 0:
+            pieces[tail[onto]], tail[onto] = joins, tail[joins]
+            size[onto] += size[joins]
+            ends[onto], tip[onto] = ends[joins], tip[joins]
+            at_end[ends[onto]] = onto
+        else:
+            for part in held(joins):
+                loose[part] = True
+        ending = at_end.get(p, -1)
+        if ending >= 0 and there[ending] and ends[ending] == p:
+            tip[ending] = True
+        for m in {onto, ending}:
+            if m >= 0 and there[m] and tip[m]:
+                heapq.heappush(heap, (size[m] + 1, starts[m], m))
+    rest, k, lengths, stops = ~gone, head, [], []
+    while k >= 0:
+        lengths.append(size[k] + 1)
+        stops.append(ends[k])
+        k = after[k]
+    _share_the_rest(weight, np.flatnonzero(rest), stops, np.array(lengths, np.int64), peeled, power, chop)
+    return weight
+
+
+def _share_the_rest(weight: np.ndarray, ids: np.ndarray, stops: list[int], lengths: np.ndarray, peeled: float, power: float, chop: int) -> None:
+    ends = np.minimum(lengths, chop)
+    weight[ids] = max(peeled, max(0.0, (len(ids) - ends.sum()) / max(1, len(lengths))) ** power)
+    for stop, n in zip(stops, ends.tolist(), strict=True):
+        window = np.arange(stop - n, stop + 1)  # numbers of the whole skeleton: may reach beyond the segment
+        weight[window[window >= 0] if stop - n >= 0 else window] = n**power
+
+
+def _peeled_by_rounds(ids: np.ndarray, parent: np.ndarray, weight: np.ndarray, peeled: float, power: float, chop: int, last: int) -> np.ndarray:
+    """The same, looking at all nodes for each segment: for files in which some round finds no tip."""
     while len(ids):
         values, counts = np.unique(parent, return_counts=True)
         branches = set(values[counts > 1].tolist())
@@ -219,11 +323,7 @@ def peeled_weights(parents: np.ndarray, power: float = 1.0, chop: int = 50, last
         stops = np.append(starts[1:], len(ids)) - 1
         lengths = stops - starts + 2
         if len(starts) <= last:
-            ends = np.minimum(lengths, chop)
-            weight[ids] = max(peeled, max(0.0, (len(ids) - ends.sum()) / len(starts)) ** power)
-            for stop, n in zip(ids[stops].tolist(), ends.tolist(), strict=True):
-                window = np.arange(stop - n, stop + 1)  # numbers of the whole skeleton: may reach beyond the segment
-                weight[window[window >= 0] if stop - n >= 0 else window] = n**power
+            _share_the_rest(weight, ids, ids[stops].tolist(), lengths, peeled, power, chop)
             break
         tip = np.array([ids[s] not in branches for s in stops])
         k = int(np.argmin(np.where(tip, lengths, 2 * lengths.max())))

@@ -14,31 +14,32 @@ STEPS = [s for s in itertools.product((-1, 0, 1), repeat=3) if any(s)]
 
 
 def boundary_distance(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each voxel to the nearest one outside, axis by axis."""
+    """Euclidean distance of each voxel to the nearest one outside, axis by axis. Memory is linear in the box: along an axis
+    squares are spread one step further at a time, until no step can lower any."""
     d2 = np.where(np.pad(mask, 1), np.inf, 0.0)
     for axis in range(3):
-        n = d2.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None]) ** 2
-        moved = np.moveaxis(d2, axis, -1)
-        rows = moved.reshape(-1, n)
-        out = np.empty_like(rows)
-        for a in range(0, len(rows), 1024):
-            out[a : a + 1024] = (rows[a : a + 1024, None, :] + gap[None]).min(axis=2)
-        d2 = np.moveaxis(out.reshape(moved.shape), -1, axis)
+        before = np.moveaxis(d2, axis, -1)
+        out = before.copy()
+        for k in range(1, before.shape[-1]):
+            if k * k >= out.max():
+                break
+            np.minimum(out[..., k:], before[..., :-k] + k * k, out=out[..., k:])
+            np.minimum(out[..., :-k], before[..., k:] + k * k, out=out[..., :-k])
+        d2 = np.moveaxis(out, -1, axis)
     return np.sqrt(d2[1:-1, 1:-1, 1:-1])
 
 
-def shortest(place: dict, cost: dict | None, root: tuple) -> tuple[dict, dict]:
-    """(distance, predecessor) over 26 neighbours; with costs, a voxel's cost times the step is what a step costs."""
-    distance, before, queue = {root: 0.0}, {root: None}, [(0.0, root)]
+def shortest(inside: bytes, steps: list[tuple[int, float]], cost: list[float] | None, root: int) -> tuple[dict[int, float], dict[int, int]]:
+    """(distance, predecessor) over 26 neighbours, from places of a box with a border to places; with costs, a step costs that of
+    the place it leads to as well."""
+    distance, before, queue = {root: 0.0}, {root: -1}, [(0.0, root)]
     while queue:
         d, v = heapq.heappop(queue)
         if d > distance[v]:
             continue
-        for s in STEPS:
-            w = (v[0] + s[0], v[1] + s[1], v[2] + s[2])
-            if w in place:
-                step = (s[0] * s[0] + s[1] * s[1] + s[2] * s[2]) ** 0.5
+        for off, step in steps:
+            w = v + off
+            if inside[w]:
                 new = d + (step if cost is None else cost[w] + step)
                 if new < distance.get(w, np.inf):
                     distance[w], before[w] = new, v
@@ -48,38 +49,41 @@ def shortest(place: dict, cost: dict | None, root: tuple) -> tuple[dict, dict]:
 
 def skeleton(voxels: np.ndarray, *, scale: float = 3.0, const: float = 4.0, penalty: float = 5000.0, power: float = 16.0) -> list[tuple[int, tuple, int, float]]:
     """(node from 1 on, voxel, parent or -1, distance to the boundary) of one label's voxels, all its parts."""
-    low = voxels.min(axis=0)
-    mask = np.zeros(voxels.max(axis=0) - low + 1, bool)
+    low = voxels.min(axis=0) - 1  # a border of one
+    mask = np.zeros(voxels.max(axis=0) - low + 2, bool)
     mask[tuple((voxels - low).T)] = True
-    inner = boundary_distance(mask)
-    left, nodes, out = {tuple(v) for v in (voxels - low).tolist()}, {}, []
-    depth = {v: float(inner[v]) for v in left}
-    top = max(depth.values()) * 1.01
-    cost = {v: penalty * (1 - d / top) ** power for v, d in depth.items()}
-    while left:
-        start = min(left)
-        reach, _ = shortest(left, None, start)
+    depth = boundary_distance(mask)
+    inside, (_, h, w) = mask.tobytes(), mask.shape
+    steps = [((z * h + y) * w + x, (z * z + y * y + x * x) ** 0.5) for z, y, x in STEPS]
+    cost = np.where(mask, penalty * (1 - depth / (depth.max() * 1.01)) ** power, 0.0).ravel().tolist()
+    places = np.flatnonzero(mask.ravel()).tolist()  # in order of z, y, x
+    seen, nodes, out = bytearray(len(inside)), {}, []
+    for start in places:
+        if seen[start]:
+            continue
+        reach, _ = shortest(inside, steps, None, start)
+        for v in reach:
+            seen[v] = 1
         root = max(reach, key=lambda v: (reach[v], v))
-        part = set(reach)
-        far, _ = shortest(part, None, root)
-        _, before = shortest(part, cost, root)
-        open_ = sorted(part, key=lambda v: (-far[v], v))
-        gone: set = set()
-        for tip in open_:
-            if tip in gone:
+        far, _ = shortest(inside, steps, None, root)
+        _, before = shortest(inside, steps, cost, root)
+        gone = np.zeros(mask.shape, bool)
+        for tip in sorted(reach, key=lambda v: (-far[v], v)):
+            if gone.flat[tip]:
                 continue
             path, v = [], tip
-            while v is not None and v not in nodes:
+            while v >= 0 and v not in nodes:
                 path.append(v)
                 v = before[v]
             for v in reversed(path):
-                nodes[v] = len(out) + 1
-                parent = before[v]
-                out.append((nodes[v], tuple(int(c) for c in np.array(v) + low), nodes[parent] if parent is not None else -1, depth[v]))
-                r = scale * depth[v] + const
-                ball = [range(max(0, int(c - r)), int(c + r) + 1) for c in v]
-                gone |= {w for w in itertools.product(*ball) if w in part and sum((p - q) ** 2 for p, q in zip(v, w)) <= r * r}
-        left -= part
+                nodes[v], parent = len(out) + 1, before[v]
+                at = tuple(int(c) for c in np.unravel_index(v, mask.shape))
+                inner = float(depth[at])
+                out.append((nodes[v], tuple(int(c + o) for c, o in zip(at, low, strict=True)), nodes[parent] if parent >= 0 else -1, inner))
+                r = scale * inner + const
+                ball = [np.arange(max(0, int(c - r)), min(n, int(c + r) + 1)) for c, n in zip(at, mask.shape, strict=True)]
+                away = [(b - c) ** 2 for b, c in zip(ball, at, strict=True)]
+                gone[ball[0][0] : ball[0][-1] + 1, ball[1][0] : ball[1][-1] + 1, ball[2][0] : ball[2][-1] + 1] |= away[0][:, None, None] + away[1][:, None] + away[2] <= r * r
     return out
 
 

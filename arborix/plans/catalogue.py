@@ -21,6 +21,7 @@ from ..operators import paths as P
 from ..operators import ranking as R
 from ..operators import selection as SEL
 from ..operators import skeletonize as T
+from ..sources import documents as D
 from ..sources import files, pages, volumes
 from . import match, search
 from .views import COVERED, covered, oracle, points, view
@@ -135,6 +136,24 @@ def src8_merge_files(scores):
     return files.merge_scores(parts, ["em_id", "lm_vol", "frag_id"], "score_full")
 
 
+@query("SELECT em_id, lm_vol, frag_id, CASE WHEN lm_vol % 3 = 1 THEN score_pruned ELSE score_full END AS score, CASE WHEN lm_vol % 3 = 2 THEN 2 ELSE 1 END AS parts FROM frag_score", "frag_score")
+def src8_deep_merge(scores):
+    """Nested score documents of three files merged: in the second some scores are replaced, in the third some lists go on."""
+    def document(k, rows, leaf):
+        inner = rows.groupBy("em_id", "lm_vol").agg(F.map_from_entries(F.collect_list(F.struct(F.col("frag_id").cast("string"), leaf))).alias("m"))
+        return inner.groupBy("em_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("lm_vol").cast("string"), "m"))).alias("m")).select(F.lit(k).alias("file"), F.to_json(F.create_map(F.col("em_id").cast("string"), "m")).alias("value"))
+
+    named = lambda score: F.create_map(F.lit("score"), F.array(score))
+    single = lambda score: F.create_map(F.lit("score"), score)
+    third = [scores.filter(F.col("lm_vol") % 3 == k) for k in range(3)]
+    documents = document(0, third[0], single(F.col("score_full"))).unionByName(document(0, third[1], single(F.col("score_full")))).unionByName(document(0, third[2], named(F.col("score_full"))))
+    documents = documents.unionByName(document(1, third[1], single(F.col("score_pruned")))).unionByName(document(2, third[2], named(F.col("score_pruned"))))
+    path, values = F.col("path"), F.from_json("value", "array<double>")
+    score = F.coalesce(values[0], F.col("value").try_cast("double"))
+    key = [path[k].cast(t).alias(c) for k, (c, t) in enumerate((("em_id", "long"), ("lm_vol", "long"), ("frag_id", "long")))]
+    return D.deep_merge(documents).select(*key, score.alias("score"), F.when(F.size(values) > 1, F.size(values)).otherwise(1).alias("parts"))
+
+
 @query("SELECT CAST(lm_vol AS VARCHAR) AS lm_vol, CAST(frag_id AS INT) AS frag_id, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM frag_color", "frag_color")
 def src9_color_documents(colors):
     text = F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("int") for c in "rgb"]), F.lit("]"))
@@ -761,6 +780,40 @@ def gr10_depth(voxels, swc):
     return out.withColumns({"depth": F.round("depth", 6), "intensity": F.round("intensity", 6)})
 
 
+_SIZE = "s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM voxel), d AS (SELECT DISTINCT label, y, x FROM voxel WHERE label <> 0)"
+_NEAR8 = "(SELECT unnest([-1, 0, 1]) AS a) i, (SELECT unnest([-1, 0, 1]) AS b) j"
+
+
+def _image_shape(voxels) -> list[int]:
+    return [int(m) + 1 for m in voxels.agg(F.max("y"), F.max("x")).first()]
+
+
+@query(
+    f"""WITH {_SIZE}, n AS (SELECT d.label, d.y, d.x, d.y + a AS ny, d.x + b AS nx FROM d, {_NEAR8}),
+    e AS (SELECT n.label, n.y, n.x FROM n CROSS JOIN s LEFT JOIN d ON d.label = n.label AND d.y = ny AND d.x = nx WHERE d.y IS NULL AND ny BETWEEN 0 AND h - 1 AND nx BETWEEN 0 AND w - 1),
+    o AS (SELECT y, x, max(label) AS label FROM e GROUP BY 1, 2), g AS (SELECT y, x, CAST(floor(max(r) / 510.0e0 * 255.0e0) AS INT) AS v FROM voxel GROUP BY 1, 2)
+    SELECT coalesce(o.y, g.y) AS y, coalesce(o.x, g.x) AS x, CASE WHEN o.y IS NULL THEN v ELSE CAST(label * 7919 % 10007 % 255 + 1 AS INT) END AS r,
+           CASE WHEN o.y IS NULL THEN v ELSE CAST(label * 104729 % 20011 % 255 + 1 AS INT) END AS g, CASE WHEN o.y IS NULL THEN v ELSE CAST(label * 1299709 % 30011 % 255 + 1 AS INT) END AS b
+    FROM g FULL JOIN o ON o.y = g.y AND o.x = g.x""",
+    "voxel",
+)
+def gr10_outline(voxels):
+    """The outlines of all labels, seen along the depth, over the raw image."""
+    return IM.outlines(voxels.select("label", "y", "x").distinct(), _image_shape(voxels), voxels.groupBy("y", "x").agg(F.max("r").alias("v")))
+
+
+@query(
+    f"""WITH {_SIZE}, c AS (SELECT d.label, d.y, d.x, min(greatest(abs(d.y - q.y), abs(d.x - q.x))) AS distance
+      FROM d CROSS JOIN s, LATERAL (SELECT d.y + a AS y, d.x + b AS x FROM (SELECT unnest(range(-3, 4)) AS a) i, (SELECT unnest(range(-3, 4)) AS b) j) q
+      WHERE q.y BETWEEN 0 AND h - 1 AND q.x BETWEEN 0 AND w - 1 AND NOT EXISTS (SELECT 1 FROM d z WHERE z.label = d.label AND z.y = q.y AND z.x = q.x) GROUP BY 1, 2, 3)
+    SELECT label, y, x, CAST(distance AS INT) AS distance FROM c WHERE distance <= 3""",
+    "voxel",
+)
+def gr9_distances(voxels):
+    """How far inside its label each pixel is, up to three steps."""
+    return IM.distances(voxels.filter("label <> 0"), ["label"], ["y", "x"], _image_shape(voxels), most=3)
+
+
 @query(f"WITH {_RASTER}, {_VIEW.format('')}, bright AS (SELECT y, x, {', '.join(f'{_scaled(c, '510.0e0')} AS {c}' for c in 'rgb')} FROM largest) {_painted(0, 255, 255)}", "voxel", "swc")
 def or10_viewer(voxels, swc):
     """A whole volume's projection with a skeleton on it."""

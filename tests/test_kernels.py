@@ -217,6 +217,27 @@ def test_weights_like_their_twin(seed):
     assert K.peeled_weights(np.array(parents)).tolist() == slow_weights(parents)
 
 
+def test_weights_of_several_roots_and_few_segments():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        parents = []
+        for _ in range(int(rng.integers(1, 4))):
+            parents += [p + len(parents) if p > 0 else -1 for p in tree_in_file_order(rng, int(rng.integers(2, 40)))]
+        for last in (1, 2, 5):
+            assert K.peeled_weights(np.array(parents), last=last).tolist() == slow_weights(parents, last)
+
+
+def test_weights_of_a_large_skeleton():
+    """Ten thousand tips: looking at all nodes for each would take minutes."""
+    import time
+
+    parents = tree_in_file_order(np.random.default_rng(5), 100_000)
+    assert len(set(range(1, 100_001)) - set(parents)) > 10_000
+    began = time.perf_counter()
+    assert (K.peeled_weights(np.array(parents)) > 0).all()
+    assert time.perf_counter() - began < 10
+
+
 def test_similarity_of_itself_is_best():
     rng = np.random.default_rng(0)
     p = rng.uniform(0, 100, (20, 3))
