@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -89,6 +90,8 @@ class Codec(dict):
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.cut, self.wide = certain_cuts([t for i, t in self.tokens.items() if i not in added])
         self.old: dict[bytes, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # of arrays of that width
 
     def fragments(self, data: bytes) -> list[bytes]:
         """A text without special tokens, cut wherever that is certain."""
@@ -101,9 +104,19 @@ class Codec(dict):
         ends = [0, *at.tolist(), len(data)]
         return [data[x:y] for x, y in zip(ends, ends[1:])]  # noqa: B905
 
+    def _new(self, fragment: bytes) -> bytes:
+        """The library's ids of a fragment. Letters alone, behind a blank or not, are one piece for the pattern and go straight to the merges."""
+        text = fragment.decode("utf-8", "replace")
+        letters = text[1:] if text[0] == " " else text
+        if letters.isalpha() and (letters.isascii() or max(letters) < "⺀"):  # the pattern's letters, to there, are Python's
+            ids = [t.id for t in self.model.tokenize(fragment.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
     def __missing__(self, fragment: bytes) -> bytes:
         if (out := self.old.get(fragment)) is None:
-            out = np.array(self.tokenizer.encode(fragment.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+            out = self._new(fragment)
         if len(fragment) <= REMEMBER:
             if len(self) >= GENERATION:
                 self.old = dict(self)

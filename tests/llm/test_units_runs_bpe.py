@@ -160,7 +160,7 @@ def test_bpe_of_random_texts(codec):
 
 
 def test_bpe_at_every_character(codec):
-    for point in [*range(1, 0xD800, 7), *range(0xE000, 0x30000, 41), *map(ord, bpe.BLANKS)]:
+    for point in [*range(1, 0x3000), *range(0x3000, 0xD800, 7), *range(0xE000, 0x30000, 41), *map(ord, bpe.BLANKS)]:
         text = f"a{chr(point)}b {chr(point)}  {chr(point)}{chr(point)}'s"
         assert ids_of(codec, text) == codec.tokenizer.encode(text, add_special_tokens=False).ids, hex(point)
 
