@@ -524,10 +524,6 @@ _D2 = "(e.x-f.x)*(e.x-f.x)+(e.y-f.y)*(e.y-f.y)+(e.z-f.z)*(e.z-f.z)"
 _NEAR = "SELECT e.em_id, f.fp, e.em_pt, {0} AS d2 FROM em_point e, frag_point f WHERE {0} <= {1}"
 
 
-def _near(em_point, frag_point, radius, **options):
-    return J.radius_join(em_point, frag_point, radius, **options)
-
-
 @query(f"WITH p AS ({_NEAR.format(_D2, 625)}) SELECT fp, em_id, em_pt, round(d2, 6) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY fp ORDER BY p.d2, em_id, em_pt) = 1", "em_point", "frag_point")
 def jo1_nearest(em_point, frag_point):
     return J.nearest(frag_point, em_point, 25, ["fp"], ["em_id", "em_pt"]).select("fp", "em_id", "em_pt", F.round("d2", 6).alias("d2"))
@@ -555,23 +551,26 @@ def _nearest_sql(k, radius2, op, by, tie):
     return f"WITH p AS ({_NEAR.format(_D2, radius2).replace('<= ' + str(radius2), op + ' ' + str(radius2))}) SELECT em_id, em_pt, fp, round(d2, 6) AS d2, CAST(row_number() OVER (PARTITION BY {by} ORDER BY p.d2, {tie}) AS INT) AS nth FROM p QUALIFY nth <= {k}"
 
 
-def _k_nearest(pairs, by, tie, k):
-    return J.k_nearest(pairs, by, tie, k).select("em_id", "em_pt", "fp", F.round("d2", 6).alias("d2"), "nth")
+def _fragments_to_targets(em_point, frag_point, k, **options):
+    """For each fragment point the k nearest points of every target."""
+    found = KD.k_nearest_within(frag_point, em_point, 25, k, ["fp"], ["em_pt"], each=("em_id",), **options)
+    return found.select("em_id", "em_pt", "fp", F.round("d2", 6).alias("d2"), "nth")
 
 
 @query(_nearest_sql(15, 625, "<", "em_id, fp", "em_pt"), "em_point", "frag_point")
 def jo4_fifteen_nearest(em_point, frag_point):
-    return _k_nearest(_near(em_point, frag_point, 25, strict=True), ["em_id", "fp"], ["em_pt"], 15)
+    return _fragments_to_targets(em_point, frag_point, 15, strict=True)
 
 
 @query(_nearest_sql(50, 625, "<=", "em_id, fp", "em_pt"), "em_point", "frag_point")
 def jo5_fifty_within(em_point, frag_point):
-    return _k_nearest(_near(em_point, frag_point, 25), ["em_id", "fp"], ["em_pt"], 50)
+    return _fragments_to_targets(em_point, frag_point, 50)
 
 
 @query(_nearest_sql(25, 625, "<=", "em_id, em_pt", "fp"), "em_point", "frag_point")
 def jo6_fragments_near_target(em_point, frag_point):
-    return _k_nearest(_near(em_point, frag_point, 25), ["em_id", "em_pt"], ["fp"], 25)
+    found = KD.k_nearest_within(em_point, frag_point, 25, 25, ["em_id", "em_pt"], ["fp"])
+    return found.select("em_id", "em_pt", "fp", F.round("d2", 6).alias("d2"), "nth")
 
 
 @query("SELECT s.em_id, s.lm_vol, s.frag_id, s.score_full, c.r, c.g, c.b FROM frag_score s JOIN frag_color c ON s.frag_id = c.frag_id", "frag_score", "frag_color")
@@ -911,7 +910,7 @@ def so7_pages(scores):
 
 @query(_nearest_sql(6, 625, "<=", "em_id, fp", "em_pt"), "em_point", "frag_point")
 def so8_six_nearest(em_point, frag_point):
-    return _k_nearest(_near(em_point, frag_point, 25), ["em_id", "fp"], ["em_pt"], 6)
+    return _fragments_to_targets(em_point, frag_point, 6)
 
 
 @query("SELECT em_id, lm_vol, frag_id, score_full FROM frag_score QUALIFY row_number() OVER (PARTITION BY em_id ORDER BY score_full, lm_vol, frag_id) <= 5", "frag_score")
