@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import costs as CO
 from ..operators import filters as FI
 from ..operators import graph as G
 from ..operators import images as IM
@@ -826,17 +827,13 @@ def ag18_best_channel(voxels):
 
 @query(f"WITH {_PAIRS}, ends AS (SELECT lm_vol, a_id AS frag_id, cost FROM p UNION ALL SELECT lm_vol, b_id, cost FROM p) SELECT lm_vol, frag_id, round(sum(cost), 4) AS cost FROM ends GROUP BY 1, 2", "frag_color")
 def ag19_sum_of_costs(colors):
-    costs = _costs(colors)
-    both = costs.select("lm_vol", F.col("a_id").alias("frag_id"), "cost").unionByName(costs.select("lm_vol", F.col("b_id").alias("frag_id"), "cost"))
-    return both.groupBy("lm_vol", "frag_id").agg(F.round(F.sum("cost"), 4).alias("cost"))
+    return CO.cost_sums(_bright(colors), "lm_vol", "frag_id").withColumn("cost", F.round("cost", 4))
 
 
 @query(f"WITH {_PAIRS}, ends AS (SELECT lm_vol, a_id AS frag_id, cost FROM p UNION ALL SELECT lm_vol, b_id, cost FROM p), s AS (SELECT lm_vol, frag_id, sum(cost) AS cost, frag_id % 13 AS u FROM ends GROUP BY 1, 2) SELECT lm_vol, round(-sum(u) + 0.5e0 / (count(*) - 1) * sum(u * cost), 4) AS energy FROM s GROUP BY 1", "frag_color")
 def ag20_energy(colors):
     """The energy of choosing all fragments of a volume, for a unary that depends on the id."""
-    costs = _costs(colors)
-    both = costs.select("lm_vol", F.col("a_id").alias("frag_id"), "cost").unionByName(costs.select("lm_vol", F.col("b_id").alias("frag_id"), "cost"))
-    each = both.groupBy("lm_vol", "frag_id").agg(F.sum("cost").alias("cost")).withColumn("u", F.col("frag_id") % 13)
+    each = CO.cost_sums(_bright(colors), "lm_vol", "frag_id").withColumn("u", F.col("frag_id") % 13)
     return each.groupBy("lm_vol").agg(F.round(-F.sum("u") + F.lit(0.5) / (F.count("*") - 1) * F.sum(F.col("u") * F.col("cost")), 4).alias("energy"))
 
 
