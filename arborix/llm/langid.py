@@ -5,9 +5,9 @@ counts per task, summed by key), and the lower orders follow by continuation
 counts; nothing is cut. Probabilities are resolved for all languages and kept
 in arrays sorted by a hash of the n-gram, with a directory of the hash's first
 bits: scoring a text is a few array reads for each character. The language of
-least cross-entropy per character wins; the least entropies of a sample of each
-language's labelled texts calibrate above which a text counts as no known
-language.
+least cross-entropy per character wins; the least entropies of all of each
+language's different labelled texts calibrate above which a text counts as no
+known language.
 
 Arrays of more than ``max_cells`` probabilities are cut into shares by the last
 letter but one of an n-gram. All orders and contexts that a position needs have
@@ -21,7 +21,7 @@ and are rejected; documents without language or text teach nothing, those
 without id are not held out; with
 nothing to learn from, every text is ``und``; ties go to the first language in
 code point order; repeated rows count as often as they occur; a language none of
-whose sampled texts is told right has no limit, and nothing told to be in it is
+whose texts is told right has no limit, and nothing told to be in it is
 rejected; an empty table gives an empty result; columns named like a result are
 replaced.
 """
@@ -306,9 +306,9 @@ class Model:
 REJECT = 10.0
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_cells: int = 12_000_000, sample: int = 1000) -> Model:
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_cells: int = 12_000_000) -> Model:
     """A model from labelled texts: every n-gram of every one of them, in shares of at most about ``max_cells``
-    probabilities. Rejection is calibrated on about ``sample`` different texts of each language, or all that it has."""
+    probabilities. Rejection is calibrated on all different texts of each language."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     scratch = common.Scratch(spark, "langid")
@@ -329,12 +329,9 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_ce
     shares = max(1, -(-sum(r.kinds for r in kinds) * len(langs) // max_cells))
     model = Model(spark, scratch, orders, langs, discounts, alphabet, shares)
     if langs:
-        mark = F.xxhash64("text")
-        number = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-        every = F.element_at(F.create_map(*[F.lit(x) for g, n in number.items() for x in (g, max(1, n // sample))]), F.col("lang"))
-        some = scratch.save(rows.filter(F.pmod(mark, every) == 0).dropDuplicates(["lang", "text"]), "sample")
-        right = F.when(F.col("__p.lang") == F.col("lang"), F.col("__p.bits"))  # in the aggregate: as a filter it would score each text twice
-        limits = model.score(some).groupBy("lang").agg(F.avg(right).alias("mean"), F.stddev_pop(right).alias("spread")).filter("mean IS NOT NULL").collect()
+        mark, right = F.struct(F.xxhash64("text"), F.crc32("text"), F.length("text")), F.when(F.col("__p.lang") == F.col("lang"), F.col("__p.bits"))
+        each = model.score(rows).groupBy("lang", mark.alias("mark")).agg(F.max(right).alias("bits"))  # equal texts, equal bits: a text counts once, and only its marks move
+        limits = each.groupBy("lang").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("spread")).filter("mean IS NOT NULL").collect()
         model.limits = {r.lang: (r.mean, REJECT * max(r.spread, 0.05)) for r in limits}
     if shares == 1:  # all there is has been broadcast
         model._share(0)
