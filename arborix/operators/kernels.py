@@ -10,6 +10,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +80,41 @@ def place_within(*keys: np.ndarray) -> np.ndarray:
 # ---- coverage ----------------------------------------------------------------
 
 
+def nearest_inside(points: np.ndarray, of: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index, squared distance) of the nearest of the other points that is nearer than the radius, of equally near ones the first;
+    -1 where there is none. Small sides meet in blocks, large ones ask a tree: memory is linear in both."""
+    found, d2 = np.full(len(points), -1, np.int64), np.full(len(points), np.inf)
+    if not len(of):
+        return found, d2
+    if len(points) * len(of) > LARGE:
+        found, d2 = Tree(of).nearest(points, radius)
+        return np.where(found < len(of), found, -1), d2
+    for k, some in blocks(points, of):
+        found[k : k + len(some)], d2[k : k + len(some)] = some.argmin(axis=1), some.min(axis=1)
+    found[~(d2 < radius * radius)] = -1
+    return found, d2
+
+
 def greedy_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6, step: float = 1.0) -> np.ndarray:
     """Indices of target points that a fragment covers, each of its points at most ``cap`` in a round.
 
     A point that is nearest to too many target points keeps its nearest ones and
     leaves; those it gave up and those it kept look for another point in the
-    next round, until a round covers nothing new.
+    next round, until a round covers nothing new. Of the near pairs only each
+    target point's nearest one is held: the next is looked for when its point leaves.
     """
-    e, f, d2 = near_pairs(em, frag, radius)
-    inside = d2 < radius * radius
-    e, f, d2 = e[inside], f[inside], d2[inside]
-    at = np.searchsorted(e, np.arange(len(em)))  # each target point's nearest pair that is left
-    end = np.searchsorted(e, np.arange(len(em)), "right")
-    left, covered = np.zeros(len(frag), bool), np.zeros(len(em), bool)
+    left, covered = ~np.isfinite(frag).all(axis=1), np.zeros(len(em), bool)  # what has no place is near to nothing
+    at, near, todo = np.full(len(em), -1, np.int64), np.full(len(em), np.inf), np.arange(len(em))
     for _ in range(int(radius / step + 1)):
-        mine = np.flatnonzero(at < end)
-        owner = f[at[mine]]
+        there = np.flatnonzero(~left)
+        found, near[todo] = nearest_inside(em[todo], frag[there], radius)
+        at[todo] = np.append(there, -1)[found]
+        mine = np.flatnonzero(at >= 0)
+        owner = at[mine]
         full = np.bincount(owner, minlength=len(frag)) > cap
         crowd = full[owner]
         kept = ~crowd
-        kept[crowd] = place_within(owner[crowd], d2[at[mine]][crowd], mine[crowd]) < cap
+        kept[crowd] = place_within(owner[crowd], near[mine][crowd], mine[crowd]) < cap
         now = mine[kept]
         if covered[now].all():
             break
@@ -107,10 +123,6 @@ def greedy_cover(em: np.ndarray, frag: np.ndarray, radius: float, cap: int = 6,
             break
         left |= full
         todo = mine[crowd]
-        while len(todo):  # on to the next point that has not left
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
-            todo = todo[left[f[at[todo]]]]
     return np.flatnonzero(covered)
 
 
@@ -217,16 +229,20 @@ def coverage(em_points: DataFrame, frag_points: DataFrame, radius: float, *, key
     frag_side = frag.join(touching.select(*group, *cell).distinct(), [*keys, *cell])
     packed = pack(em_side, "em", "em_pt").join(pack(frag_side, "frag", "fp"), group)
 
+    def sides(column: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        name, *xyz = column.values.flatten()
+        return column.offsets.to_numpy(), name, np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in xyz])
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for *key, em, frag in pdf.itertuples(index=False, name=None):
-                e, f = (np.array([tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in side], float) for side in (em, frag))
-                # the group holds what is near: a round number that depends on all points stays the same
-                rows += [(*key, int(e[k, 0])) for k in cover(e[:, 1:], f[:, 1:], radius, version=version, cap=cap, step=step)]
-            yield pd.DataFrame(rows, columns=[*group, "em_pt"])
+        for batch in batches:
+            (e_at, name, e), (f_at, _, f) = (sides(batch.column(side)) for side in ("em", "frag"))
+            # the group holds what is near: a round number that depends on all points stays the same
+            found = [e_at[k] + cover(e[e_at[k] : e_at[k + 1]], f[f_at[k] : f_at[k + 1]], radius, version=version, cap=cap, step=step) for k in range(batch.num_rows)]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            points = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64))
+            yield pa.record_batch([*(batch.column(c).take(which) for c in group), name.take(points)], names=[*group, "em_pt"])
 
-    return packed.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*group, "em_pt"]))
+    return packed.select(*group, "em", "frag").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in [*group, "em_pt"]))
 
 
 # ---- skeletons ---------------------------------------------------------------
@@ -434,8 +450,8 @@ def tangents(xyz: np.ndarray, k: int = 5) -> np.ndarray:
     return out
 
 
-def pair_score(query: np.ndarray, target: np.ndarray, table: np.ndarray, distances: np.ndarray, angles: np.ndarray) -> float:
-    """Mean over the query's points (x, y, z, tangent) of the table's score for the distance to the nearest target point and the angle between tangents."""
+def point_scores(query: np.ndarray, target: np.ndarray, table: np.ndarray, distances: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """The table's score of each of the query's points (x, y, z, tangent) for the distance to the nearest target point and the angle between tangents."""
     if len(query) * len(target) > LARGE:
         near, d2 = Tree(target[:, :3]).nearest(query[:, :3])
     else:
@@ -445,7 +461,12 @@ def pair_score(query: np.ndarray, target: np.ndarray, table: np.ndarray, distanc
     dot = np.abs((query[:, 3:] * target[near, 3:]).sum(axis=1))
     row = np.clip(np.searchsorted(distances, np.sqrt(d2), "right") - 1, 0, len(table) - 1)
     column = np.clip(np.searchsorted(angles, dot, "right") - 1, 0, table.shape[1] - 1)
-    return float(table[row, column].mean())
+    return table[row, column]
+
+
+def pair_score(query: np.ndarray, target: np.ndarray, table: np.ndarray, distances: np.ndarray, angles: np.ndarray) -> float:
+    """Mean of the points' scores."""
+    return float(point_scores(query, target, table, distances, angles).mean())
 
 
 def per_skeleton(nodes: DataFrame, kernel, schema: str, group: str = "skel_id") -> DataFrame:
@@ -497,8 +518,10 @@ def similarity(queries: DataFrame, targets: DataFrame, table: np.ndarray, distan
     b = targets.select(F.col("skel_id").alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in cols], number(m, "skel_id").alias("t_block")).withColumn("q_block", every(n)).repartition(tasks, "q_block", "t_block")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = [(t, p[[f"t_{c}" for c in cols]].to_numpy(float)) for t, p in right.groupby("t_id")]
-        rows = [(q, t, len(x) * pair_score(x, y, table, distances, angles), len(x)) for q, x in ((q, p[cols].to_numpy(float)) for q, p in left.groupby("skel_id")) for t, y in held]
+        x, places, rows = left[cols].to_numpy(float), left.groupby("skel_id").indices, []
+        for t, p in right.groupby("t_id"):  # all queries' points at once: a large target's tree is built once
+            scores = point_scores(x, p[[f"t_{c}" for c in cols]].to_numpy(float), table, distances, angles)
+            rows += [(q, t, len(at) * float(scores[at].mean()), len(at)) for q, at in places.items()]
         return pd.DataFrame(rows, columns=["query", "target", "total", "points"])
 
     parts = a.groupBy("qb", "tb").cogroup(b.groupBy("q_block", "t_block")).applyInPandas(run, f"query {ids}, target {ids}, total double, points long")

@@ -1,5 +1,7 @@
 """Kernels of large groups hold what they need, not all near pairs, and give what small ones do."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -39,3 +41,37 @@ def test_similarity_shares_a_large_query(spark, monkeypatch):
     held = {s: np.array([r[1:] for r in rows if r[0] == s]) for s in (1, 2)}
     for r in K.similarity(df, df, table, edges, angles, block=20).collect():
         assert abs(r.score - K.pair_score(held[r.query], held[r.target], table, edges, angles)) < 1e-12
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_greedy_coverage_by_tree(monkeypatch, grid):
+    rng = np.random.default_rng(10)
+    em, frag = (rng.integers(0, 7, (n, 3)).astype(float) if grid else rng.random((n, 3)) * 7 for n in (200, 40))
+    small = K.greedy_cover(em, frag, 3.0, 2).tolist()
+    monkeypatch.setattr(K, "LARGE", 0)
+    assert small and K.greedy_cover(em, frag, 3.0, 2).tolist() == small
+
+
+def test_greedy_coverage_holds_no_pairs():
+    rng = np.random.default_rng(11)
+    em, frag = rng.normal(0, 12.5, (6000, 3)), rng.normal(0, 12.5, (1200, 3))  # 7 million pairs, most of them near
+    tracemalloc.start()
+    covered = K.greedy_cover(em, frag, 25.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(covered) and peak < 100 << 20
+
+
+def test_greedy_coverage_passes_points_without_a_place():
+    em, frag = np.array([[0.0, 0, 0], [np.nan, 0, 0], [5, 0, 0]]), np.array([[np.nan, 0, 0], [1.0, 0, 0]])
+    assert K.greedy_cover(em, frag, 3.0).tolist() == [0]
+
+
+def test_similarity_scores_a_block_as_its_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, *map(float, rng.normal(0, 10, 6))) for s in range(20) for _ in range(5)]
+    df = spark.createDataFrame(rows, "skel_id long, x double, y double, z double, tx double, ty double, tz double")
+    table, edges, angles = rng.random((4, 3)), np.array([0.0, 3, 6, 12]), np.array([0.0, 0.3, 0.6])
+    held = {s: np.array([r[1:] for r in rows if r[0] == s]) for s in range(20)}
+    got = K.similarity(df, df, table, edges, angles).collect()
+    assert len(got) == 400 and all(r.score == K.pair_score(held[r.query], held[r.target], table, edges, angles) for r in got)
