@@ -149,7 +149,7 @@ def src8_deep_merge(scores):
     third = [scores.filter(F.col("lm_vol") % 3 == k) for k in range(3)]
     documents = document(0, third[0], single(F.col("score_full"))).unionByName(document(0, third[1], single(F.col("score_full")))).unionByName(document(0, third[2], named(F.col("score_full"))))
     documents = documents.unionByName(document(1, third[1], single(F.col("score_pruned")))).unionByName(document(2, third[2], named(F.col("score_pruned"))))
-    path, values = F.col("path"), F.from_json("value", "array<double>")
+    path, values = F.col("path"), F.when(F.col("value").startswith("["), F.from_json("value", "array<double>"))  # a scalar is a broken list: dear
     score = F.coalesce(values[0], F.col("value").try_cast("double"))
     key = [path[k].cast(t).alias(c) for k, (c, t) in enumerate((("em_id", "long"), ("lm_vol", "long"), ("frag_id", "long")))]
     return D.deep_merge(documents).select(*key, score.alias("score"), F.when(F.size(values) > 1, F.size(values)).otherwise(1).alias("parts"))

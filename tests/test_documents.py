@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from arborix.sources import documents
 
 
@@ -62,3 +64,27 @@ def test_score_files(spark):
     table = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "file int, value string")
     got = {(r.em, r.name): r.scores for r in documents.merged_scores(table).collect()}
     assert got == {("7", "R1_1"): [0.5, -0.25], ("7", "R1_2"): [1.0, 2.0], ("7", "R2_1"): [0.125, 0.0], ("8", "R1_1"): [0.75, 0.5, 3.0]}
+
+
+@pytest.mark.parametrize("small", [0, 20, 1 << 14])
+def test_leaves_that_meet_members_at_many_depths(spark, monkeypatch, small):
+    """What is a leaf here and has members there, above and below what others overruled, in texts on both sides of ``SMALL``."""
+    monkeypatch.setattr(documents, "SMALL", small)
+    rng = random.Random(16 + small)
+    docs = [{k: random_document(rng, 6) for k in rng.sample("ab", 2)} for _ in range(9)]
+    assert run(spark, docs) == folded(docs), docs
+    docs = [{"a": {"b": {"c": 1}}}, {"a": {"b": {"c": {"d": 1}}}}, {"a": 5}, {"a": {"b": {"c": {}}}}, {"a": {"b": {"n": None}}}]
+    assert run(spark, docs) == folded(docs) == {("a", "b", "c"): {}, ("a", "b", "n"): None}
+
+
+def test_names_and_texts_that_look_like_json(spark):
+    docs = [{"a.b": {"": {"$": "[1]"}}, "t": "{\"x\": 1}", "q": "\"", "l": ["[", {"k": []}], "n": None}, {"l": [], "a.b": {"": {"x,y": "{}"}}}, {"l": [None, "],["]}]
+    assert run(spark, docs) == folded(docs)
+
+
+def test_documents_of_one_shape_are_written_once(spark, monkeypatch):
+    """Score documents are opened in one pass: neither a table for each level nor a search for leaves that meet members."""
+    labels, written = [], documents.read_back
+    monkeypatch.setattr(documents, "read_back", lambda table, label: labels.append(label) or written(table, label))
+    docs = [{"7": {"1": {"5": {"score": 0.5}}}}, {"7": {"1": {"5": {"score": 0.25}, "6": {"score": 1.0}}}}]
+    assert run(spark, docs) == folded(docs) and labels == ["leaves"]
